@@ -25,5 +25,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_bpe": op10_bpe}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.packing import harmonic_pack
+
+    return harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=2, keep_ids=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_packing": op8_packing,
+    "op10_bpe": op10_bpe,
+}
 ORACLES: dict[str, str] = {}
