@@ -25,6 +25,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.fingerprint import edit_fingerprints
 
@@ -38,6 +44,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op6_fingerprint": op6_fingerprint,
     "op8_packing": op8_packing,
     "op10_bpe": op10_bpe,
