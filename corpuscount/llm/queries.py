@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.bpe import bpe_round_trip
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_fingerprint": op6_fingerprint,
     "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
