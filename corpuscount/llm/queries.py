@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +44,30 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch date of their own: page_id stands in for it, a day of 2024 each."""
+    from corpuscount.llm.urls import example_lists, judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 366 as int))").alias("fetched"))
+    return judge(pages, example_lists(spark)).drop("url").withColumn("fetched", F.col("fetched").cast("string"))
+
+
+def _op7_sql() -> str:
+    from corpuscount.llm.urls import EXAMPLE_LISTS
+
+    rows = ", ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in EXAMPLE_LISTS)
+    return f"""
+    WITH e AS (SELECT list, host, CAST(dated AS DATE) AS dated, action FROM (VALUES {rows}) AS v(list, host, dated, action)),
+    iv AS (SELECT *, lead(dated) OVER (PARTITION BY list, host ORDER BY dated) AS until FROM e),
+    p AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1)) AS host FROM pages),
+    a AS (SELECT p.page_id, length(iv.host) AS n, iv.host AS matched, min(iv.action) AS verdict, string_agg(DISTINCT iv.list, ',' ORDER BY iv.list) AS lists
+          FROM p JOIN iv ON (p.host = iv.host OR ends_with(p.host, '.' || iv.host)) AND p.fetched >= iv.dated AND (iv.until IS NULL OR p.fetched < iv.until)
+          WHERE iv.action IN ('allow', 'block') GROUP BY 1, 2, 3),
+    b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC) AS k FROM a)
+    SELECT p.page_id, CAST(p.fetched AS VARCHAR) AS fetched, p.host, coalesce(b.verdict, 'none') AS verdict, b.matched, b.lists
+    FROM p LEFT JOIN b ON p.page_id = b.page_id AND b.k = 1"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.packing import harmonic_pack
 
@@ -52,8 +77,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_fingerprint": op6_fingerprint,
+    "op7_urls": op7_urls,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_urls": _op7_sql()}
