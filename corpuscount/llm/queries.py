@@ -38,6 +38,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.fingerprint import edit_fingerprints
 
@@ -76,6 +82,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op3_neighbours": op3_neighbours,
     "op6_fingerprint": op6_fingerprint,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
