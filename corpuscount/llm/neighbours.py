@@ -224,7 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     graphs = written(dealt.groupBy("shard", "dim", "band").applyInPandas(index, schema))
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = asked.select("query", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
-    queries = queries.join(graphs.select("shard", "dim", "band", "block"), ["dim", "block"])  # blocks of queries with every graph of their dimension
+    queries = queries.join(graphs.select(*[F.col(c).alias(c) for c in ("shard", "dim", "band", "block")]), ["dim", "block"])  # blocks of queries with every graph of their dimension
 
     def find(key: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
