@@ -44,6 +44,12 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.jaccard import join_components
+
+    return join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.fingerprint import edit_fingerprints
 
@@ -83,6 +89,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_neighbours": op3_neighbours,
+    "op4_jaccard": op4_jaccard,
     "op6_fingerprint": op6_fingerprint,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
