@@ -21,9 +21,10 @@ import json
 import re
 import struct
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,7 +184,11 @@ class Trie:
 
 
 class Pieces:
-    """Maps each piece between white space to (its ids as little-endian bytes, its decoded text)."""
+    """Maps each piece between white space to its ids as little-endian bytes, and to its decoded text.
+
+    words: "trie" encodes new words over the trie and keeps decoded texts; "library" has the library encode
+    them, and keeps no texts.
+    """
 
     def __init__(self, path: str, words: str = "trie"):
         from tokenizers import Tokenizer
@@ -198,9 +203,11 @@ class Pieces:
         self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.text = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.specials.items()}
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.ends = {i for t, i in model["vocab"].items() if end and t.endswith(end)}
+        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.decoded: dict[str, str] | None = {} if words == "trie" else None
+        self.ends = np.zeros(max(self.text) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if end and t.endswith(end)]] = True
         self.trie = Trie(model["vocab"], model["merges"], end) if words == "trie" else None
         self.unletter = {x: bytes([n]) for n, x in enumerate(byte_letters())}
 
@@ -213,41 +220,39 @@ class Pieces:
         unletter = self.unletter
         return [b"".join(unletter[x] for x in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)]
 
-    def ids_of(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
+    def ids_of(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
         if self.trie is not None:
             for w, ids in self.trie.encode([w.encode() for w in words]):
-                yield w.decode(), ids
+                yield w.decode(), array("I", ids).tobytes()
             return
         # one call of the library for all words: each word ends with a token of a word end
         order = list(words)
-        ids: list[int] = []
-        at = iter(order)
-        for i in self.library.encode(" ".join(order), add_special_tokens=False).ids:
-            ids.append(i)
-            if i in self.ends:
-                yield next(at), ids
-                ids = []
-        if ids or next(at, None) is not None:
+        ids = np.array(self.library.encode(" ".join(order), add_special_tokens=False).ids, np.uint32)
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(order) or stops and stops[-1] != 4 * len(ids):
             raise ValueError("the vocabulary's words can't be told apart")
+        raw = ids.tobytes()
+        for w, a, b in zip(order, [0, *stops], stops, strict=False):
+            yield w, raw[a:b]
 
     def learn(self, pieces: set[str]) -> None:
         """Encode what a block has of new pieces; their words are encoded once."""
-        kept, words = self.kept, self.words
+        kept, words, decoded = self.kept, self.words, self.decoded
         new = pieces.difference(kept)
         if len(new) + len(kept) > KEPT_PIECES:
             kept.clear()
             words.clear()
+            if decoded is not None:
+                decoded.clear()
             new = pieces
         split = {p: self.words_of(p) for p in new}
-        text = self.text
-        for w, ids in self.ids_of({w for ws in split.values() for w in ws}.difference(words)):
-            words[w] = array("I", ids).tobytes(), " ".join([text[i] for i in ids])
+        words.update(self.ids_of({w for ws in split.values() for w in ws}.difference(words)))
         for p, ws in split.items():
-            if len(ws) == 1:
-                kept[p] = words[ws[0]]
-            else:
-                own = [words[w] for w in ws]
-                kept[p] = b"".join([a for a, _ in own]), " ".join([b for _, b in own])
+            kept[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        if decoded is not None:
+            text = self.text
+            for p in new:
+                decoded[p] = " ".join([text[i] for i in memoryview(kept[p]).cast("I")])
 
     def pieces(self, text: str | None) -> list[str]:
         if not text:
@@ -262,8 +267,8 @@ class Pieces:
             return [x if k % 2 else self.pieces(x) for k, x in enumerate(found)]
         return [self.pieces(text)]
 
-    def encoded(self, texts: list[str | None]) -> Iterator[tuple[bytes, Callable[[], str]]]:
-        """For each text: its ids as little-endian unsigned 32-bit integers, and how to get the decoded text."""
+    def encoded(self, texts: list[str | None]) -> Iterator[tuple[bytes, str | None]]:
+        """For each text: its ids as little-endian unsigned 32-bit integers, and the decoded text if kept."""
         block: list[list] = []
         chars = 0
         for t in texts:
@@ -274,17 +279,22 @@ class Pieces:
                 block, chars = [], 0
         yield from self._block(block)
 
-    def _block(self, block: list[list]) -> Iterator[tuple[bytes, Callable[[], str]]]:
+    def _block(self, block: list[list]) -> Iterator[tuple[bytes, str | None]]:
         wanted: set[str] = set()
         for parts in block:
             for x in parts:
                 if not isinstance(x, str):
                     wanted.update(x)
         self.learn(wanted)
-        kept, specials = self.kept, self.specials
+        kept, decoded, specials = self.kept, self.decoded, self.specials
         for parts in block:
-            got = [e for x in parts for e in ([(struct.pack("<I", specials[x]), x)] if isinstance(x, str) else map(kept.__getitem__, x))]
-            yield b"".join([a for a, _ in got]), lambda got=got: " ".join([b for _, b in got])
+            if len(parts) == 1:
+                own = parts[0]
+                yield b"".join(map(kept.__getitem__, own)), " ".join(map(decoded.__getitem__, own)) if decoded is not None else None
+                continue
+            raw = [struct.pack("<I", specials[x]) if isinstance(x, str) else b"".join(map(kept.__getitem__, x)) for x in parts]
+            texts = [x if isinstance(x, str) else " ".join(map(decoded.__getitem__, x)) for x in parts if x] if decoded is not None else None
+            yield b"".join(raw), " ".join(texts) if texts is not None else None
 
 
 @lru_cache(maxsize=2)
@@ -308,8 +318,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         gc.disable()  # millions of small tuples live long and form no cycles
         for b in batches:
             n, digests, decoded, ids, texts = [], [], [], [], []
-            for raw, text_of in own.encoded(b.column(1).to_pylist()):
-                text = text_of()
+            for raw, text in own.encoded(b.column(1).to_pylist()):
                 n.append(len(raw) // 4)
                 digests.append(hashlib.sha256(raw).hexdigest())
                 decoded.append(hashlib.sha256(text.encode()).hexdigest())
