@@ -38,6 +38,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.language import fold
+    from corpuscount.llm.scoring import score
+
+    return score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.neighbours import nearest
 
@@ -88,6 +95,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_scoring": op2_scoring,
     "op3_neighbours": op3_neighbours,
     "op4_jaccard": op4_jaccard,
     "op6_fingerprint": op6_fingerprint,
