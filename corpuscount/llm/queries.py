@@ -57,6 +57,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscount.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscount.llm.fingerprint import edit_fingerprints
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_scoring": op2_scoring,
     "op3_neighbours": op3_neighbours,
     "op4_jaccard": op4_jaccard,
+    "op5_suffixes": op5_suffixes,
     "op6_fingerprint": op6_fingerprint,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
