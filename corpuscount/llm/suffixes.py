@@ -347,7 +347,8 @@ def covered(first: np.ndarray, masks: np.ndarray, n: int, length: int) -> tuple[
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
-    """(h1, h2, n_bytes, n_removed, n_spans, kept_sha256, kept) for every distinct text: ``kept`` is what stays, as bytes."""
+    """(h1, h2, n_bytes, n_removed, n_spans, kept_sha256, kept) for every distinct text: ``kept`` is what stays
+    of one that loses something, without code points that lose only some bytes."""
     spark = docs.sparkSession
     blocks = buckets = parallelism(spark)
     if length < K + TILE:
@@ -419,11 +420,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200) -
                     a, b = covered(own.first[at[i:j]], mask[i:j], len(raw), length)
                 ends = [0, *b.tolist()]
                 kept = b"".join([raw[p:q] for p, q in zip(ends, [*a.tolist(), len(raw)], strict=True)])
-                out.append((own.names[k, 0], own.names[k, 1], len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((own.names[k, 0], own.names[k, 1], len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if len(a) else None))
         return pd.DataFrame(out, columns=["h1", "h2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     again = blocks_of(docs, text_col, blocks)
-    return again.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(cover, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return again.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(cover, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -440,3 +441,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     full = rows.where(~F.col("none")).join(found, ["h1", "h2"], "left").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
     zero = F.lit(0).cast("long")
     return full.unionByName(rows.where("none").select(id_col, zero.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), none.alias("kept_sha256")))
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, size_col: str = "n_chars") -> DataFrame:
+    """docs with the repeated strings taken out of their texts, and size_col, if there is one, counted anew.
+
+    A code point of which only some bytes go goes whole. Null texts stay null; rows and other columns stay as they are.
+    """
+    prepare(docs.sparkSession)
+    found = repeated_spans(docs, text_col, length)
+    # of texts that lose something, what is left
+    new = found.where("n_removed > 0").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("kept").alias("_kept"))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
+    both = keyed.join(new, (keyed["_k1"] == new["_h1"]) & (keyed["_k2"] == new["_h2"]), "left")
+    put = F.when(text.isNull(), text).otherwise(F.coalesce("_kept", text))
+    out = both.select(*[put.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(size_col, F.char_length(text).cast("long")) if size_col in docs.columns else out
