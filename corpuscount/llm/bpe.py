@@ -39,6 +39,8 @@ _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Pieces kept between blocks by a worker; when there are more, the worker starts afresh.
 KEPT_PIECES, KEPT_PAIRS = 400_000, 1_000_000
+#: Where no decoded texts are kept, there is room for more pieces.
+KEPT_WITHOUT_TEXT = 1_000_000
 #: A block of texts is encoded at once: at most so many characters (one text more than this is a block alone).
 BLOCK_CHARS = 8_000_000
 
@@ -239,7 +241,7 @@ class Pieces:
         """Encode what a block has of new pieces; their words are encoded once."""
         kept, words, decoded = self.kept, self.words, self.decoded
         new = pieces.difference(kept)
-        if len(new) + len(kept) > KEPT_PIECES:
+        if len(new) + len(kept) > (KEPT_WITHOUT_TEXT if decoded is None else KEPT_PIECES):
             kept.clear()
             words.clear()
             if decoded is not None:
