@@ -88,7 +88,9 @@ def acquire(spark: SparkSession, wanted: int, local: str, remote: DataFrame) ->
 
     Fails where neither exists. Reading is Spark's: remote paths may be of any file system that it knows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "commoncrawl-*.txt").load(local).select("path")
+    # Spark's own listing of the folder: a scan would leave out empty files
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "commoncrawl-*.txt").load(local).inputFiles()
+    files = spark.createDataFrame([(p,) for p in listed], "path string")
     here = files.select(split_id(F.col("path")).alias("split_id"), F.col("path").alias("local"))
     there = remote.select(F.col("index").cast("int").alias("split_id"), F.col("path").alias("remote"))
     ids = spark.range(wanted).select(F.col("id").cast("int").alias("split_id"))
@@ -99,7 +101,6 @@ def acquire(spark: SparkSession, wanted: int, local: str, remote: DataFrame) ->
 def ingest(spark: SparkSession, sources: list[str], target: str, mode: str = "predownload") -> None:
     """Clean each source into one split file of the target folder, numbered in order (also with gzip sources)."""
     for k, path in enumerate(sources):  # one small plan each; a single file is written for each split
-        spark.conf.set("spark.sql.sources.commitProtocolClass", "org.apache.spark.sql.execution.datasources.SQLHadoopMapReduceCommitProtocol")
         cleaned(read_lines(spark, path).select("text"), mode).coalesce(1).write.mode("overwrite").text(f"{target}/split_id={k:04d}")
 
 
