@@ -6,11 +6,12 @@ enough share an n-gram within their prefixes, the first n - ceil(t n) + 1 in tha
 its own set holds can't be shared. So only classes matter whose prefix has an n-gram that occurs elsewhere.
 
 Of these, all with equal prefixes and sizes form a group. Groups that share a prefix n-gram are joined, and
-filtered by size and by the n-grams that each shares with anything at all; then members are verified by their
-sets. Components are wanted, not pairs, so this happens in two rounds. In the first each group meets, for
-each of its n-grams, one group drawn for that n-gram, and each member its group's first: as many pairs at most as
-there are entries. In the second only members that are still in different components meet. No link between different
-texts is missed, and a group of thousands of copies never makes all its pairs.
+filtered by size, by the n-grams that each shares with anything at all, by where the n-gram stands (two sets of
+known sizes must meet within the shorter prefixes that these sizes leave), and by bitmaps: the bits in which the
+parities of two sets' hashes differ are no more than the n-grams in which the sets do. Then members are verified by their sets. Components are wanted, not pairs. So in DRAWS rounds each group meets, for each of its n-grams, one group
+drawn for that n-gram, and each member its group's first: as many pairs at most as there are entries. At last
+only members that are still in different components meet. No link between different texts is missed, and a group of
+thousands of copies that link never makes all its pairs.
 
 The counts come from an exchange of compact sorted hash lists: each block of texts sends its hashes to the
 buckets of their ranges, and gets their counts back.
@@ -33,6 +34,11 @@ from corpuscount.runtime import parallelism, prepare, written
 
 #: Bits of an n-gram's hash in the exchange.
 BITS = 56
+#: Longs of a bitmap, and their columns.
+LONGS = 8
+MAP = [f"b{k}" for k in range(LONGS)]
+#: Rounds of partners drawn by n-gram, before all that are still apart meet.
+DRAWS = 2
 #: Texts hashed together.
 CHARS = 2_000_000
 
@@ -137,7 +143,7 @@ def _block_sets(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def candidates(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """(f1, f2, n, shared, prefix) of the classes whose prefix has an n-gram that another class has too.
+    """(f1, f2, n, shared, prefix, bitmap) of the classes whose prefix has an n-gram that another class has too.
 
     shared: hashes of all its n-grams that others have; prefix: those of its prefix.
     """
@@ -174,13 +180,14 @@ def candidates(docs: DataFrame, text_col: str, words: int, percent: int) -> Data
             for k in np.flatnonzero(alone < size):
                 s, d = h[off[k] : off[k + 1]].astype(np.int64), df[off[k] : off[k + 1]]
                 order = np.lexsort((s, d))
-                rows.append((names[k, 0], names[k, 1], n[k], s[d > 1], s[order[alone[k] : size[k]]]))
-        return pd.DataFrame(rows, columns=["f1", "f2", "n", "shared", "prefix"])
+                bits = np.packbits(np.bincount(s % (64 * LONGS), minlength=64 * LONGS) & 1).view(np.int64)
+                rows.append((names[k, 0], names[k, 1], n[k], s[d > 1], s[order[alone[k] : size[k]]], *bits))
+        return pd.DataFrame(rows, columns=["f1", "f2", "n", "shared", "prefix", *MAP])
 
     again = blocks_of(docs, text_col, blocks)
-    found = again.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(choose, "f1 long, f2 long, n long, shared array<long>, prefix array<long>")
+    found = again.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(choose, "f1 long, f2 long, n long, shared array<long>, prefix array<long>, " + ", ".join(f"{c} long" for c in MAP))
     # texts of several blocks may have one set
-    return found.groupBy("f1", "f2").agg(F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), F.any_value("prefix").alias("prefix"))
+    return found.groupBy("f1", "f2").agg(F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), F.any_value("prefix").alias("prefix"), *[F.any_value(c).alias(c) for c in MAP])
 
 
 def linked(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
@@ -197,39 +204,67 @@ def _possible(na: str, sa: str, nb: str, sb: str, percent: int) -> Column:
     return (F.least(sa, sb) >= need) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
+def _early(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
+    """Whether an n-gram at these places lies in the prefixes in which sets of these sizes must meet."""
+    need = F.ceil(percent * (F.col(na) + F.col(nb)) / F.lit(100.0 + percent) - 1e-9)
+    return (F.col(pa) <= F.col(na) - need) & (F.col(pb) <= F.col(nb) - need)
+
+
+def _alike(na: str, nb: str, percent: int) -> Column:
+    """Whether the bitmaps (MAP, and MAP with an x) leave sets of these sizes similar enough; null where one is null."""
+    need = F.ceil(percent * (F.col(na) + F.col(nb)) / F.lit(100.0 + percent) - 1e-9)
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}x"))) for c in MAP[1:]), F.bit_count(F.col(MAP[0]).bitwiseXOR(F.col(f"{MAP[0]}x"))))
+    return apart <= F.col(na) + F.col(nb) - 2 * need
+
+
 def links(cand: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes, enough of them to join all that belong to one component.
 
-    cand: (k, n, shared, prefix), k naming the class.
+    cand: (k, n, shared, prefix, bitmap), k naming the class.
     """
     cand = written(cand)
     groups = cand.groupBy("prefix", "n").agg(F.min("k").alias("g"))
-    members = written(cand.join(groups, ["prefix", "n"]).select("g", "k", "n", F.size("shared").alias("s"), F.when(F.col("g") == F.col("k"), F.col("prefix")).alias("prefix")))
-    tops = members.groupBy("g").agg(F.max("s").alias("s"))
-    entries = members.where("prefix is not null").select("g", "n", F.explode("prefix").alias("gram")).join(tops, "g")
-    # first round: one partner for each entry
-    drawn = entries.groupBy("gram").agg(F.min_by(F.struct("g", "n", "s"), F.xxhash64("g", "gram")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    drawn = drawn.select("gram", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"))
-    star = entries.join(drawn, "gram").where(F.col("g") != F.col("pg")).where(_possible("n", "s", "pn", "ps", percent))
-    star = star.select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).union(members.where("g <> k").select(F.col("g").alias("a"), F.col("k").alias("b"))).distinct()
-    star = written(star)
-    first = written(linked(star, cand, percent))
-    # second round: what is still apart
-    roots = components(first)
-    members = written(members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
-    spans = members.groupBy("g").agg(F.max("s").alias("s"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    entries = members.where("prefix is not null").select("g", "n", F.explode("prefix").alias("gram")).join(spans, "g")
+    members = written(cand.join(groups, ["prefix", "n"]).select("g", "k", "n", F.size("shared").alias("s"), *MAP, F.when(F.col("g") == F.col("k"), F.col("prefix")).alias("prefix")))
+    # places count from 0 and include those that no other set has
+    alone = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100.0) - 1e-9) + 1 - F.size("prefix")
+    placed = members.where("prefix is not null").select("g", "n", alone.alias("alone"), F.posexplode("prefix").alias("pos", "gram")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
+    members = members.drop("prefix").withColumn("root", F.col("k"))
+
+    def reach() -> DataFrame:
+        return placed.join(members.groupBy("g").agg(F.max("s").alias("s"), F.min("root").alias("r0"), F.max("root").alias("r1"), *[F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(c) for c in MAP]), "g")
+
+    apart = F.expr("not (r0 = r1 and q0 = q1 and r0 = q0)")
+    found = tried = None
+    for step in range(DRAWS):  # one partner for each entry: the one with most in common with others, then any
+        entries = reach()
+        order = F.struct(*[F.col("s")] * (step == 0), F.xxhash64("g", "gram", F.lit(step)))
+        drawn = entries.groupBy("gram").agg(F.max_by(F.struct("g", "n", "s", "r0", "r1", *MAP), order).alias("p"), F.count("*").alias("c")).where("c > 1")
+        drawn = drawn.select("gram", F.col("p.g").alias("g2"), F.col("p.n").alias("n2"), F.col("p.s").alias("s2"), F.col("p.r0").alias("q0"), F.col("p.r1").alias("q1"), *[F.col(f"p.{c}").alias(f"{c}x") for c in MAP])
+        star = entries.join(drawn, "gram").where(F.col("g") != F.col("g2")).where(apart & _possible("n", "s", "n2", "s2", percent) & F.coalesce(_alike("n", "n2", percent), F.lit(True)))
+        star = star.select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b"))
+        if step == 0:
+            star = star.union(members.where("g <> k").select(F.col("g").alias("a"), F.col("k").alias("b")))
+        star = star.distinct()
+        star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        tried = star if tried is None else tried.union(star)
+        new = written(linked(star, cand, percent))
+        found = new if found is None else found.union(new)
+        roots = components(found).withColumnRenamed("node", "k").withColumnRenamed("root", "to")
+        members = written(members.join(roots, "k", "left").select("g", "k", "n", "s", *MAP, F.coalesce("to", "k").alias("root")))
+    # what is still apart
+    entries = reach()
     mixed = entries.groupBy("gram").agg(F.min("r0").alias("m0"), F.max("r1").alias("m1"), F.count("*").alias("c")).where("c > 1 and m0 <> m1").select("gram")
     left = written(entries.join(mixed, "gram"))
-    right = left.select("gram", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("r0").alias("q0"), F.col("r1").alias("q1"))
-    apart = F.expr("not (r0 = r1 and q0 = q1 and r0 = q0)")
-    pairs = left.join(right, (left["gram"] == right["gram"]) & (left["g"] < right["g2"]) & apart & _possible("n", "s", "n2", "s2", percent)).select("g", "g2").distinct()
-    one = members.select(F.col("g"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("s").alias("xa"), F.col("root").alias("ra"))
-    two = members.select(F.col("g").alias("g2"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("s").alias("xb"), F.col("root").alias("rb"))
-    wide = pairs.join(one, "g").join(two, "g2").where("ra <> rb").where(_possible("na", "xa", "nb", "xb", percent)).select("a", "b")
-    inner = one.join(two, (one["g"] == two["g2"]) & (one["a"] < two["b"]) & (one["ra"] != two["rb"])).where(_possible("na", "xa", "nb", "xb", percent)).select("a", "b")
-    rest = wide.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return first.union(linked(written(rest), cand, percent))
+    right = left.select("gram", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("pos").alias("pos2"), F.col("r0").alias("q0"), F.col("r1").alias("q1"), *[F.col(c).alias(f"{c}x") for c in MAP])
+    pairs = left.join(right, (left["gram"] == right["gram"]) & (left["g"] < right["g2"]) & apart & _possible("n", "s", "n2", "s2", percent) & _early("n", "pos", "n2", "pos2", percent) & F.coalesce(_alike("n", "n2", percent), F.lit(True)))
+    pairs = pairs.select("g", "g2").distinct()
+    one = members.select(F.col("g"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("s").alias("xa"), F.col("root").alias("ra"), *MAP)
+    two = members.select(F.col("g").alias("g2"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("s").alias("xb"), F.col("root").alias("rb"), *[F.col(c).alias(f"{c}x") for c in MAP])
+    fit = _possible("na", "xa", "nb", "xb", percent) & _alike("na", "nb", percent)
+    wide = pairs.join(one, "g").join(two, "g2").where("ra <> rb").where(fit).select("a", "b")
+    inner = one.join(two, (one["g"] == two["g2"]) & (one["a"] < two["b"]) & (one["ra"] != two["rb"]) & fit).select("a", "b")
+    rest = wide.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return found.union(linked(written(rest), cand, percent))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -243,7 +278,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     rows = written(named_sets(docs, id_col, text_col, words))
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("k"))
-    cand = candidates(docs, text_col, words, percent).join(classes.where("k is not null"), ["f1", "f2"]).select("k", "n", "shared", "prefix")
+    cand = candidates(docs, text_col, words, percent).join(classes.where("k is not null"), ["f1", "f2"]).select("k", "n", "shared", "prefix", *MAP)
     roots = components(links(cand, percent))
     least = written(roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select(F.col("node").alias("k"), "component"))
     named = classes.join(least, "k", "left").select("f1", "f2", F.coalesce("component", "k").alias("component"))
