@@ -32,6 +32,8 @@ BITS = (56, 44)
 #: Held-out texts for the weights: one in so many training texts.
 DELETED = 9
 ROUNDS = 60
+#: Blocks of texts for each shuffle partition: a task holds one at a time, with some ten arrays over its tokens.
+BLOCKS = 3
 #: Estimates are told apart, for the weights only, to a quarter of a binary logarithm.
 GRID = 4
 NONE = -(1 << 20)
@@ -174,11 +176,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """
     spark = prepare(docs.sparkSession)
     n = parallelism(spark)
-    fold_blocks = max(1, n // (DELETED + 1))
+    blocks = BLOCKS * n
+    fold_blocks = max(1, blocks // (DELETED + 1))
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), h.alias("h"))
     deleted = F.col("train") & (F.pmod(F.xxhash64("h"), F.lit(DELETED)) == 0)
-    block = F.when(deleted, F.pmod("h", F.lit(fold_blocks))).otherwise(fold_blocks + F.pmod("h", F.lit(n))).cast("int")
+    block = F.when(deleted, F.pmod("h", F.lit(fold_blocks))).otherwise(fold_blocks + F.pmod("h", F.lit(blocks))).cast("int")
     texts = rows.select("id", "text", "train", "h", block.alias("block"))
     back = _exchange(texts.select("block", "train", "text"), n, fold_blocks)
     tokens, distinct = _sizes(back, 0)
