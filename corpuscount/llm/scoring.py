@@ -75,44 +75,56 @@ class Block:
 
 
 def _exchange(texts: DataFrame, buckets: int, fold_blocks: int) -> DataFrame:
-    """(block, kind, bucket, counts): for each block its hashes' totals (kinds 0 and 1, of words and bigrams), without
-    the deleted texts' for kinds 2 and 3, which only their blocks get; and block -1: (kind, totals and distinct words)."""
+    """(block, bucket, c0, c1, c2, c3): for each block the totals of its words (c0) and bigrams (c1) in that bucket, and for
+    the deleted texts' blocks also those without the deleted texts (c2, c3). Block -1: c0 and c2 hold the bucket's tokens
+    and distinct words. One row for each pair of block and bucket, both ways."""
 
     def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = Block(pdf["text"].tolist())
-        out = []
+        out: dict[int, list] = {}
         for order in (0, 1):
             u, c = own.distinct[order], own.counts(order, pdf["train"].to_numpy(bool))
-            out += [(order * buckets + b, key[0], grams.packed(u[i:j], low), grams.packed_counts(c[i:j])) for b, low, i, j in grams.dealt(u, BITS[order], buckets)]
-        return pd.DataFrame(out, columns=["bucket", "block", "hashes", "counts"])
+            for b, low, i, j in grams.dealt(u, BITS[order], buckets):
+                row = out.setdefault(b, [b, key[0], None, None, None, None])
+                row[2 + 2 * order : 4 + 2 * order] = grams.packed(u[i:j], low), grams.packed_counts(c[i:j])
+        return pd.DataFrame(list(out.values()), columns=["bucket", "block", "h0", "n0", "h1", "n1"])
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order, bucket = divmod(key[0], buckets)
-        low = grams.bounds(BITS[order], buckets)[bucket]
-        counts = [grams.unpacked_counts(x) for x in pdf["counts"]]
-        total, places = grams.totals([grams.unpacked(x, low) for x in pdf["hashes"]], counts)
-        rest = total.copy()  # without the deleted texts
-        for b, c, p in zip(pdf["block"], counts, places, strict=True):
-            if b < fold_blocks:
-                rest[p] -= c
-        rows = [(b, order, bucket, grams.packed_counts(total[p])) for b, p in zip(pdf["block"], places, strict=True)]
-        rows += [(b, 2 + order, bucket, grams.packed_counts(rest[p])) for b, p in zip(pdf["block"], places, strict=True) if b < fold_blocks]
-        if not order:
-            rows += [(-1, 2 * k, bucket, grams.packed_counts(np.array([t.sum(), (t > 0).sum()]))) for k, t in enumerate((total, rest))]
-        return pd.DataFrame(rows, columns=["block", "kind", "bucket", "counts"])
-
-    sent = texts.groupBy("block").applyInPandas(emit, "bucket int, block int, hashes binary, counts binary")
-    return written(sent.groupBy("bucket").applyInPandas(count, "block int, kind int, bucket int, counts binary"))
+        bucket = key[0]
+        rows = {b: [b, bucket, None, None, None, None] for b in pdf["block"]}
+        rows[-1] = [-1, bucket, None, None, None, None]
+        for order in (0, 1):
+            own = pdf[pdf[f"h{order}"].notna()]
+            if not len(own):
+                continue
+            low = grams.bounds(BITS[order], buckets)[bucket]
+            counts = [grams.unpacked_counts(x) for x in own[f"n{order}"]]
+            total, places = grams.totals([grams.unpacked(x, low) for x in own[f"h{order}"]], counts)
+            rest = total.copy()  # without the deleted texts
+            for b, c, p in zip(own["block"], counts, places, strict=True):
+                if b < fold_blocks:
+                    rest[p] -= c
+            for b, p in zip(own["block"], places, strict=True):
+                rows[b][2 + order] = grams.packed_counts(total[p])
+                if b < fold_blocks:
+                    rows[b][4 + order] = grams.packed_counts(rest[p])
+            if not order:
+                for k, t in ((2, total), (4, rest)):
+                    rows[-1][k] = grams.packed_counts(np.array([t.sum(), (t > 0).sum()]))
+        return pd.DataFrame(list(rows.values()), columns=["block", "bucket", "c0", "c1", "c2", "c3"])
+
+    sent = texts.groupBy("block").applyInPandas(emit, "bucket int, block int, h0 binary, n0 binary, h1 binary, n1 binary")
+    return written(sent.groupBy("bucket").applyInPandas(count, "block int, bucket int, c0 binary, c1 binary, c2 binary, c3 binary"))
 
 
 def _sizes(back: DataFrame, kind: int) -> tuple[int, int]:
     """(tokens, distinct words): a row for each bucket."""
-    rows = [grams.unpacked_counts(r[0]) for r in back.where((F.col("block") == -1) & (F.col("kind") == kind)).select("counts").toLocalIterator()]
+    rows = [grams.unpacked_counts(r[0]) for r in back.where("block = -1").select(f"c{kind}").toLocalIterator() if r[0] is not None]
     return (int(sum(x[0] for x in rows)), int(sum(x[1] for x in rows))) if rows else (0, 0)
 
 
 def _got(pdf: pd.DataFrame, kind: int) -> np.ndarray:
-    parts = pdf[pdf["kind"] == kind].sort_values("bucket")["counts"]
+    parts = pdf[pdf[f"c{kind}"].notna()].sort_values("bucket")[f"c{kind}"]
     return np.concatenate([grams.unpacked_counts(x) for x in parts]) if len(parts) else np.zeros(0, np.int64)
 
 
@@ -160,7 +172,7 @@ def _learn(texts: DataFrame, back: DataFrame) -> Weights:
         out, n = np.unique(np.concatenate([bucket_of(before)[:, None], q], axis=1), axis=0, return_counts=True)
         return pd.DataFrame(out, columns=names).assign(n=n)
 
-    got = texts.groupBy("block").cogroup(back.where("block >= 0 and kind >= 2").groupBy("block")).applyInPandas(cells, "bucket long, q2 long, q1 long, q0 long, n long")
+    got = texts.groupBy("block").cogroup(back.where("block >= 0 and (c2 is not null or c3 is not null)").select("block", "bucket", "c2", "c3").groupBy("block")).applyInPandas(cells, "bucket long, q2 long, q1 long, q0 long, n long")
     # at most one row for each cell of the grid, whatever the number of tokens
     return expectation_maximisation(got.groupBy("bucket", "q2", "q1", "q0").agg(F.sum("n").alias("n")).orderBy("bucket", "q2", "q1", "q0").toPandas())
 
@@ -205,4 +217,4 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         })
 
     own = texts.select("block", "id", "train", "text").groupBy("block")
-    return own.cogroup(back.where("block >= 0 and kind < 2").groupBy("block")).applyInPandas(scored, schema)
+    return own.cogroup(back.where("block >= 0").select("block", "bucket", "c0", "c1").groupBy("block")).applyInPandas(scored, schema)
