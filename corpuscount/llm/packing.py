@@ -20,6 +20,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from corpuscount.runtime import prepare
 
 #: Remainders below C/SMALLEST share one class.
 SMALLEST = 32
+#: Documents whose pieces are handed on together.
+ROWS = 512
 #: A piece: (document, tokens of the document before it, the document's tokens, the piece's ids as bytes).
 Piece = tuple[object, int, int, bytes]
 
@@ -118,13 +121,16 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                     for col, v in zip(cols, (doc, at, size, zlib.crc32(raw), n, made, offset), strict=True):
                         col.append(v)
                     if keep_ids:
-                        ids.append(memoryview(raw).cast("I").tolist())
+                        ids.append(raw)
                     offset += size
                 made += 1
             data = {x: pa.array(col, id_type if x == id_col else pa.int64()) for x, col in zip(names, cols, strict=True)}
-            return pa.RecordBatch.from_pydict(data | ({"ids": pa.array(ids, pa.list_(pa.int64()))} if keep_ids else {}))
+            if keep_ids:  # from bytes to Arrow without a Python number for each id
+                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+                data["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int64)))
+            return pa.RecordBatch.from_pydict(data)
 
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             id_type = b.schema.field(0).type
             full: list[list[Piece]] = []
             for doc, (raw, _) in zip(b.column(0).to_pylist(), own.encoded(b.column(1).to_pylist()), strict=True):
