@@ -1,14 +1,21 @@
 """Personal data: rules for four kinds, and bootstrapped contextual extraction of more.
 
-The rules' findings are the seeds. Every other token with a digit in it is a candidate. A token's *pattern* is
-the word before it with the token's shape (runs of digits and of letters generalised); its *instance* is the
-token's own text. Patterns and instances form a bipartite graph, weighted by how often they meet. In each round
+The rules' findings are the seeds, each with its own span. Candidates are spans of what no seed covers, of any length:
+
+- runs of digit groups, as the rules for phones and cards join them, with blanks and without,
+- x@y with or without a dot, and x at y, written out or in brackets,
+- other tokens with a digit.
+
+A span's *instance* is its own text. Its *patterns* are the word before it with the span's shape (runs of digits and of
+letters generalised) and, where that word has a letter, the word with no more than what the span is: a number; x@y; any
+address, with @ or at. Patterns and instances form a bipartite graph, weighted by how often they meet. In each round
 
 - a pattern's score is the weighted mean of its instances' scores, with PRIOR more of weight and none of score,
 - an instance's score is 1 for a seed, and otherwise 1 - prod(1 - score) over its patterns, weighted.
 
-After the last round, patterns of a score of at least CONFIDENT that met MET different seeds extract their
-candidates, under the kind of most of their seeds. All of it is DataFrame and SQL functions. Texts
+After the last round, patterns of a score of at least CONFIDENT (times the share of the kind of most of their seeds)
+that met MET different seeds extract their candidates whole, under that kind; of spans within each other the
+longest. All of it is DataFrame and SQL functions. Texts
 are scanned once; what the rounds exchange are patterns and instances, summed up before each exchange.
 """
 
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpuscount.runtime import prepare, written
 
@@ -28,10 +36,30 @@ REGEX = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A candidate: a token with a digit, from its first letter, digit or plus sign on.
-TOKEN = r"[A-Za-z0-9+][^\s0-9]*+[0-9]\S*+|[0-9]\S*+"
+_NUMBER = r"(?:\+|\((?=[0-9]++\)[%s().-]*+[0-9]))?[0-9](?:[%s().-]*+[0-9])*+"
+_LOCAL, _HOST = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++", r"[\p{L}\p{N}-]++"
+#: Candidates. A token starts at its first letter, digit or plus sign.
+SHAPES = {
+    "groups": _NUMBER % (r"\x20", r"\x20"),
+    "number": _NUMBER % ("", ""),
+    "address": rf"{_LOCAL}@{_HOST}(?:\.{_HOST})*+",
+    "spelled": rf"{_LOCAL}(?<=[\p{{L}}\p{{N}}])(?:\x20++(?:[Aa][Tt]|@)\x20++|\x20*+(?:\[\x20*+(?:[Aa][Tt]|@)\x20*+\]|\(\x20*+(?:[Aa][Tt]|@)\x20*+\))\x20*+){_HOST}"
+    rf"(?:(?:\.|\x20++[Dd][Oo][Tt]\x20++|\x20*+(?:\[\x20*+(?:[Dd][Oo][Tt]|\.)\x20*+\]|\(\x20*+(?:[Dd][Oo][Tt]|\.)\x20*+\))\x20*+){_HOST})*+",
+    "token": r"[A-Za-z0-9+][^\s0-9]*+[0-9]\S*+|[0-9]\S*+",
+}
+#: What a candidate must hold once seeds are cut out of it; no span is in two of these.
+_LEFT = {
+    "groups": r"t.core rlike '[0-9].*\\x20.*[0-9]'",
+    "number": "t.core rlike '[0-9]'",
+    "address": r"t.core rlike '[\\p{L}\\p{N}._%+-]@[\\p{L}\\p{N}-]'",
+    "spelled": r"t.core rlike '[\\p{L}\\p{N}][\\x20\\[(]+([Aa][Tt]|@)[\\x20\\])]+[\\p{L}\\p{N}-]'",
+    "token": r"t.core rlike '[0-9]' and t.core rlike '[^0-9+().-]' and not t.core rlike '[\\p{L}\\p{N}._%+-]@[\\p{L}\\p{N}-]'",
+}
+#: Patterns beside the shape, by what a span is.
+NUMBER, ADDRESS, ANY_ADDRESS = "\u0002#", "\u0002@", "\u0002at"
+COARSE = {"groups": (NUMBER,), "number": (NUMBER,), "address": (ADDRESS, ANY_ADDRESS), "spelled": (ANY_ADDRESS,), "token": (), "email": (ADDRESS, ANY_ADDRESS), "ip": (NUMBER,), "card": (NUMBER,), "phone": (NUMBER,)}
 #: Where one of these isn't in a text, its regular expression isn't run.
-NEEDS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "token": "digits"}
+NEEDS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "groups": "digits", "number": "digits", "token": "digits", "address": "instr(text, '@') > 0", "spelled": "at"}
 
 
 def _quoted(regex: str) -> str:
@@ -39,7 +67,7 @@ def _quoted(regex: str) -> str:
 
 
 def located(name: str, regex: str, needs: str) -> str:
-    """SQL: array of (start, end, found, before) of all matches in ``text``, in code points.
+    """SQL: array of (start, end, found, before) of all matches in ``text``, in code points; before is the word before.
 
     Starts are sums of the lengths before them: of whole blocks of 64 matches, and within the block.
     """
@@ -57,7 +85,7 @@ def located(name: str, regex: str, needs: str) -> str:
         'start', offs[cast(i div 64 as int)] + aggregate(slice(lens, cast((i div 64) * 64 + 1 as int), i % 64), 0, (s, v) -> s + v) + length(x.g[i]),
         'end', offs[cast(i div 64 as int)] + aggregate(slice(lens, cast((i div 64) * 64 + 1 as int), i % 64), 0, (s, v) -> s + v) + length(x.g[i]) + length(x.m[i]),
         'found', x.m[i],
-        'before', coalesce(regexp_extract(right(x.g[i], 64), '(\\\\S+)\\\\s*$', 1), ''))) end)[0])[0])[0] as {name}"""
+        'before', coalesce(regexp_extract(concat(case when i > 0 and length(x.g[i]) < 64 then right(x.m[i - 1], 64) else '' end, right(x.g[i], 64)), '(\\\\S+)\\\\s*$', 1), ''))) end)[0])[0])[0] as {name}"""
 
 
 def _luhn(found: str) -> str:
@@ -92,27 +120,48 @@ def shape(token: Column) -> Column:
     return F.translate(F.regexp_replace(short, "[0-9]{33,}", "9"), "0123456789\u0001", "9999999999x")
 
 
+def _apart(name: str) -> str:
+    """SQL: array of (start, before, core) of what the seeds in ``base`` leave of the spans in ``name``."""
+    piece = "substr(r.found, p.start - r.start + 1, p.end - p.start)"
+    skip = "length(regexp_extract(" + piece + r", '^(?:[^\\p{L}\\p{N}+(]|\\((?![0-9]+\\)))*', 0))"
+    pieces = f"""transform(
+      aggregate(array_sort(transform(filter(base, s -> s.start < r.end and r.start < s.end), s -> named_struct('start', s.start, 'end', s.end))),
+        named_struct('at', r.start, 'out', cast(array() as array<struct<start: int, end: int>>)),
+        (acc, s) -> named_struct('at', greatest(acc.at, s.end), 'out', case when s.start > acc.at then concat(acc.out, array(named_struct('start', acc.at, 'end', s.start))) else acc.out end),
+        acc -> case when acc.at < r.end then concat(acc.out, array(named_struct('start', acc.at, 'end', r.end))) else acc.out end),
+      p -> named_struct('start', p.start + {skip},
+        'before', regexp_extract(right(concat(r.before, ' ', substr(r.found, 1, p.start - r.start + {skip})), 64), '(\\\\S+)\\\\s*$', 1),
+        'core', substr({piece}, {skip} + 1)))"""
+    left = f"""transform(flatten(transform({name}, r -> case
+      when exists(base, s -> s.start < r.end and r.start < s.end) then {pieces}
+      else array(named_struct('start', r.start, 'before', r.before, 'core', r.found)) end)),
+      t -> named_struct('start', t.start, 'before', t.before, 'core', regexp_replace(t.core, '[^\\\\p{{L}}\\\\p{{N}}]+$', '')))"""
+    return f"filter({left}, t -> {_LEFT[name]}) as {name}"
+
+
 def candidates(scanned: DataFrame) -> DataFrame:
-    """Adds ``tokens``: array of (start, end, kind or null, pattern, instance); kind where a seed covers the token."""
+    """Adds ``base`` (all seeds) and ``tokens``: array of (start, end, kind of a seed or null, patterns, instance)."""
     lists = "concat(" + ", ".join(f"transform({k}, y -> named_struct('kind', '{k}', 'start', y.start, 'end', y.end))" for k in KINDS) + ")"
-    scanned = scanned.selectExpr("*", f"{lists} as base", located("raw", TOKEN, NEEDS["token"]))
-    raw = F.transform("raw", lambda t: F.struct(t["start"].alias("start"), t["before"].alias("before"), F.regexp_replace(t["found"], r"[^\p{L}\p{N}]+$", "").alias("core")))
-    scanned = scanned.withColumn("raw", F.filter(raw, lambda t: F.length(t["core"]) >= 6))
-    # a token and a seed that overlap name the same thing
-    kind = lambda t: F.get(F.filter("base", lambda s: (s["start"] < t["start"] + F.length(t["core"])) & (t["start"] < s["end"])), F.lit(0))["kind"]
-    return scanned.withColumn(
-        "tokens",
-        F.transform(
-            "raw",
-            lambda t: F.struct(
+    scanned = scanned.withColumn("at", F.col("text").rlike(r"(?<!\p{L})[Aa][Tt](?!\p{L})|[\[( ]@"))
+    scanned = scanned.selectExpr("*", f"{lists} as base", *[located(k, SHAPES[k], NEEDS[k]) for k in SHAPES])
+    scanned = scanned.selectExpr(*[c for c in scanned.columns if c not in SHAPES], *[_apart(k) for k in SHAPES])
+
+    def span(name: str, core: str) -> Column:
+        def one(t: Column) -> Column:
+            before = F.regexp_replace(F.lower(t["before"]), "[0-9]+", "9")
+            exact = F.array(F.concat_ws(" ", before, shape(t[core])))
+            coarse = F.array(*[F.concat_ws(" ", before, F.lit(c)) for c in COARSE[name]]) if COARSE[name] else None
+            return F.struct(
                 t["start"].alias("start"),
-                (t["start"] + F.length(t["core"])).alias("end"),
-                kind(t).alias("kind"),
-                F.concat_ws(" ", F.regexp_replace(F.lower(t["before"]), "[0-9]+", "9"), shape(t["core"])).alias("pattern"),
-                F.lower(t["core"]).alias("instance"),
-            ),
-        ),
-    ).drop("raw", "digits")
+                (t["start"] + F.length(t[core])).alias("end"),
+                F.lit(name if name in KINDS else None).cast("string").alias("kind"),
+                (exact if coarse is None else F.when(before.rlike(r"\p{L}"), F.concat(exact, coarse)).otherwise(exact)).alias("patterns"),
+                F.lower(t[core]).alias("instance"),
+            )
+
+        return F.transform(name, one)
+
+    return scanned.withColumn("tokens", F.concat(*[span(k, "found") for k in KINDS], *[span(k, "core") for k in SHAPES])).drop(*SHAPES, "digits", "at")
 
 
 def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -122,7 +171,7 @@ def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     edges = written(tokens.groupBy("pattern", "instance", "kind").agg(F.count("*").cast("double").alias("w")))
     met = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("met"))
-    best = met.groupBy("pattern").agg(F.max_by("kind", F.struct("met", "kind")).alias("kind"), F.sum("met").alias("met"))
+    best = met.groupBy("pattern").agg(F.max_by("kind", F.struct("met", "kind")).alias("kind"), F.sum("met").alias("met"), (F.max("met") / F.sum("met")).alias("share"))
     scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     of_pattern = None
     for k in range(rounds):
@@ -131,7 +180,7 @@ def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             open_ = edges.where("kind is null").join(of_pattern, "pattern")
             of_instance = open_.groupBy("instance").agg((1 - F.exp(F.sum(F.col("w") * F.log1p(-F.least(F.col("p"), F.lit(0.99)))) / F.sum("w"))).alias("i"))
             scored = edges.where("kind is not null").withColumn("score", F.lit(1.0)).unionByName(edges.where("kind is null").join(of_instance, "instance").select("pattern", "instance", "kind", "w", F.col("i").alias("score")))
-    return of_pattern.where(F.col("p") >= CONFIDENT).join(best.where(F.col("met") >= MET), "pattern").select("pattern", "kind", F.col("p").alias("score"))
+    return of_pattern.join(best.where(F.col("met") >= MET), "pattern").where(F.col("p") * F.col("share") >= CONFIDENT).select("pattern", "kind", F.col("p").alias("score"))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -143,8 +192,13 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 def all_spans(scanned: DataFrame) -> DataFrame:
     """scanned with ``spans``: base spans and those that the confident patterns add, by kind and start."""
     tokens = scanned.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
+    tokens = tokens.select("row", "start", "end", "kind", "instance", F.explode("patterns").alias("pattern"))
     patterns = learned_patterns(tokens.select("pattern", "instance", "kind"))
-    more = tokens.where("kind is null").drop("kind").join(patterns, "pattern")
+    more = tokens.where("kind is null").drop("kind", "instance").join(patterns, "pattern")
+    more = more.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    # of spans within each other the longest
+    reach = F.max("end").over(W.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1))
+    more = more.withColumn("reach", reach).where("reach is null or end > reach")
     more = more.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     # rows without an open token have nothing to gain and stay where they are
     gains = F.exists("tokens", lambda t: t["kind"].isNull())

@@ -201,6 +201,26 @@ def test_bootstrapping_finds_unseen(spark):
     assert rows[12] == "card:9:25" and rows[13] == rows[14] == ""
 
 
+def test_bootstrapping_finds_whole_spans(spark):
+    rng = random.Random(5)
+
+    def card(valid):
+        while True:
+            x = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(x) == valid:
+                return " ".join(x[k : k + 4] for k in range(0, 16, 4))
+
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    every = [f"card {card(True)} today" for _ in range(8)]
+    every += [f"phone +1 ({k}17) 555-77{k}3 today" for k in range(1, 9)]
+    every += [f"mail {name()}@{name()}.org today" for _ in range(8)]
+    unseen = [("card 4111 1111 1111 1112 too", "card:5:24"), ("phone 020 7946 0958 too", "phone:6:19"), ("phone (017) 555-7713 too", "phone:6:20"), ("phone 112", "phone:6:9"), ("mail jane@localhost too", "email:5:19"), ("mail jane at example too", "email:5:20"), ("mail jane [at] example [dot] org too", "email:5:32"), ("mail é at é", "email:5:11")]
+    unseen += [("phone +1 (017) 555-7713 phone (020) 7946", "phone:6:23,phone:30:40"), ("card 1.2.3.4 (020) phone 1.2.3.4 5", "ip:5:12,ip:25:32")]
+    unseen += [("we met at noon in room 12", ""), ("on 020 7946 0958", "")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(table(spark, every + [t for t, _ in unseen])).collect()}
+    assert [rows[len(every) + k] for k in range(len(unseen))] == [w for _, w in unseen]
+
+
 def test_redaction(spark):
     every = ["mail a@b.co now", "clean 12 text", None, "1.2.3.4 and x@y.zz"]
     df = table(spark, every)
