@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -213,6 +214,15 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in seen["packing"]} == {1, 5, 6, 7}
 
 
+def test_pipeline_without_labels(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    made = [(1, "plain words " * 40, None, "s", 0), (2, "12 34", None, "s", 0), (3, None, None, "s", 0), (4, "\u65e5\u672c", None, "s", 0)]
+    docs = spark.createDataFrame(made, schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()) == [1, 4]
+    one = spark.createDataFrame([(k, "plain words " * 40, "en", "s", 0) for k in range(40) if zlib.crc32(str(k).encode()) % 3 == 1], schema)
+    assert corpus_pipeline.identify_language(spark, one, SMALL).count() == one.count() > 0
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").count() == 0
