@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuscount.runtime import prepare
 
@@ -97,6 +98,30 @@ def bundles(texts: list[str], dimensions: int) -> np.ndarray:
     return out
 
 
+def expected(text: str, dimensions: int) -> tuple[np.ndarray, int]:
+    """The vector that independent letters would give on average, as often used and in words as long as the text's; and the number of distinct trigrams."""
+    spans = list(trigrams(text))
+    if not spans:
+        return np.zeros(dimensions), 0
+    keys, times = np.unique(np.concatenate(spans), return_counts=True)
+    a, b, c = ((keys >> s) & 0x1FFFFF for s in (42, 21, 0))
+    kinds = np.bincount((a == BLANK) * 4 + (b == BLANK) * 2 + (c == BLANK), weights=times, minlength=8)
+    inner = b != BLANK
+    letters, place = np.unique(b[inner], return_inverse=True)
+    share = np.bincount(place, weights=times[inner])
+    mean, blank = np.zeros(dimensions), letter_vector(BLANK, dimensions).astype(np.float64)
+    for x, n in zip(letters.tolist(), share / share.sum(), strict=True):
+        mean += n * letter_vector(x, dimensions)
+    of = (mean, blank)
+    out = sum(n * np.roll(of[k >> 2 & 1], 2) * np.roll(of[k >> 1 & 1], 1) * of[k & 1] for k, n in enumerate(kinds) if n)
+    return out, len(keys)
+
+
+def structures(texts: list[str], dimensions: int) -> np.ndarray:
+    """bundles() less expected(), in whole numbers: how letters follow one another. Near 0 in any direction for random letters."""
+    return np.rint(bundles(texts, dimensions) - np.stack([expected(x, dimensions)[0] for x in texts]))
+
+
 @dataclass(frozen=True)
 class Prototypes:
     """Languages in alphabetical order, and a prototype for each, of length 1."""
@@ -113,8 +138,8 @@ class Prototypes:
 MOST_LANGUAGES = 10_000
 
 
-def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Prototypes:
-    """Prototypes from all rows of training with a language and a text.
+def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, vectors=bundles) -> Prototypes:
+    """Prototypes from all rows of training with a language and a text; vectors: bundles or structures.
 
     Every partition bundles its rows by language; what is exchanged and gathered has a row for each language and
     dimension (and partition), whatever the number of texts.
@@ -126,7 +151,7 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(texts), TEXTS):
-                own = bundles(texts[at : at + TEXTS], dimensions)
+                own = vectors(texts[at : at + TEXTS], dimensions)
                 for lang, v in zip(langs[at : at + TEXTS], own, strict=True):
                     sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
@@ -139,9 +164,9 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     if not len(got):
         return Prototypes((), np.zeros((0, dimensions)))
     grid = got.pivot(index="lang", columns="dim", values="v").sort_index()
-    vectors = grid.to_numpy(np.float64)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Prototypes(tuple(grid.index), np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
+    sums = grid.to_numpy(np.float64)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return Prototypes(tuple(grid.index), np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0))
 
 
 def cosines(texts: list[str], known: Prototypes) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +212,46 @@ def predict(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix:
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
+def likeness(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix: str = "__") -> DataFrame:
+    """docs with three more columns: ``letters``, ``distinct`` and ``like`` (with a prefix to their names).
+
+    letters: whether the text has one; distinct: how many distinct trigrams; like: the largest cosine of the text's
+    structure with those of known (learned with vectors=structures), 0 where none is known. Null texts count as empty.
+    """
+    spark = prepare(docs.sparkSession)
+    schema = StructType(list(docs.schema))
+    names = [*docs.columns, *[f"{prefix}{c}" for c in ("letters", "distinct", "like")]]
+    place = docs.columns.index(text_col)
+    model = spark.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for b in batches:
+            texts = [x or "" for x in b.column(place).to_pylist()]
+            distinct, like = [], []
+            for at in range(0, len(texts), TEXTS):
+                part = texts[at : at + TEXTS]
+                means, n = zip(*[expected(x, own.dimensions) for x in part], strict=True)
+                distinct += n
+                if not own.languages:
+                    like += [0.0] * len(part)
+                    continue
+                v = np.rint(bundles(part, own.dimensions) - np.stack(means))
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                like += (np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ own.vectors.T).max(axis=1).tolist()
+            letters = [any(c.isalpha() for c in x) for x in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(letters, pa.bool_()), pa.array(distinct, pa.int32()), pa.array(like, pa.float64())], names)
+
+    for c, t in zip(names[-3:], ("boolean", "integer", "double"), strict=True):
+        schema = schema.add(c, t)
+    return docs.mapInArrow(run, schema)
+
+
+def chance(known: Prototypes, odds: float = 1e-3) -> float:
+    """A cosine that a random vector reaches with the nearest of the prototypes at these odds or less."""
+    return float(np.sqrt(2 * np.log(max(1, len(known.languages)) / odds) / known.dimensions))
+
+
 def fold(id_col: str, n: int):
     """crc32 of the id as text, modulo n; ids that are null count as fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))

@@ -223,6 +223,20 @@ def test_pipeline_without_labels(spark):
     assert corpus_pipeline.identify_language(spark, one, SMALL).count() == one.count() > 0
 
 
+def test_pipeline_rejects_gibberish_of_any_length(spark):
+    import random
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 10))) for _ in range(n // 6))
+    made = [(-k, noise(n), None, "s", 0) for k, n in enumerate([150] * 4 + [400] * 4 + [5000] * 4 + [20000] * 4, 1)]
+    made += [(1000000 + k, t[:n], None, "s", 0) for k, (t, n) in enumerate((t, n) for t in texts[:40] if t for n in (30, 150, 300))]
+    more = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, more, SMALL).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {r[0] for r in made if r[0] > 0}
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").count() == 0
