@@ -237,6 +237,13 @@ def test_pipeline_rejects_gibberish_of_any_length(spark):
     assert kept == {r["doc_id"] for r in docs.collect()} | {r[0] for r in made if r[0] > 0}
 
 
+def test_pipeline_finds_repeats_of_short_words(spark):
+    passage = " ".join(chr(97 + k * k % 23) for k in range(51))
+    made = [(k, f"{w} {passage} {w}", "en", "s", 0) for k, w in enumerate(("alpha", "beta"))]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(len(r["text"]) < 20 for r in corpus_pipeline.remove_repeats(spark, docs, SMALL).collect())
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").count() == 0
