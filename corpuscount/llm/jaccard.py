@@ -272,15 +272,16 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns id, n_shingles, component_id: the smallest id that links lead to, itself included. A text with fewer
     than ``words`` words is one n-gram as a whole; without words, or null, it is empty and linked with nothing, and so
-    its own component. Rows with equal texts are one component; each row stays. A null id is never the smallest;
-    other columns are left out; an empty table gives none.
+    its own component. Rows with equal texts are one component; each row stays. Rows that share an id aren't linked by it.
+    A null id is never the smallest, but links run through its row as through others; other columns are left out; an empty table gives none.
     """
     prepare(docs.sparkSession)
     rows = written(named_sets(docs, id_col, text_col, words))
-    classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("k"))
-    cand = candidates(docs, text_col, words, percent).join(classes.where("k is not null"), ["f1", "f2"]).select("k", "n", "shared", "prefix", *MAP)
+    # a class has a key of its own: ids may be null, or shared by unlike texts
+    classes = written(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id")).withColumn("k", F.monotonically_increasing_id()))
+    cand = candidates(docs, text_col, words, percent).join(classes, ["f1", "f2"]).select("k", "n", "shared", "prefix", *MAP)
     roots = components(links(cand, percent))
-    least = written(roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select(F.col("node").alias("k"), "component"))
-    named = classes.join(least, "k", "left").select("f1", "f2", F.coalesce("component", "k").alias("component"))
+    of_class = written(classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("f1", "f2", "id", F.coalesce("root", "k").alias("root")))
+    named = of_class.join(of_class.groupBy("root").agg(F.min("id").alias("component")), "root").select("f1", "f2", "component")
     full = rows.where("n > 0").join(named, ["f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return full.unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

@@ -90,6 +90,22 @@ def test_jaccard_empty(spark):
     assert [r["component_id"] for r in jaccard.join_components(two).collect()] == [1, 1, 1]
 
 
+def test_jaccard_keys(spark):
+    a = [f"w{k}" for k in range(60)]
+    b = [*a[:57], "x1", "x2", "x3"]
+    c = ["y1", "y2", "y3", "y4", "y5", "y6", *b[6:]]  # like b, not like a
+    other = " ".join(f"v{k}" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    chain = spark.createDataFrame([(1, " ".join(a), "en", "s", 0), (None, " ".join(b), "en", "s", 0), (2, " ".join(c), "en", "s", 0), (1, other, "en", "s", 0)], schema)
+    rows = jaccard.join_components(chain.where("text not like 'v%'"), words=5, percent=80).collect()
+    assert {r["component_id"] for r in rows} == {1}
+    got = corpus_pipeline.drop_near_duplicates(spark, chain, SMALL)
+    assert got.columns == chain.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, other), (1, " ".join(a))]
+    null = spark.createDataFrame([(None, t, "en", "s", 0) for t in (other, other, " ".join(a), "...", "", "")], schema)
+    kept = sorted(r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, null, SMALL).collect())
+    assert kept == sorted([other, " ".join(a), "...", "", ""])
+
+
 def test_op4(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op4_jaccard"](spark, SMALL).collect()} == brute(rows, 4, 85)
