@@ -257,7 +257,8 @@ def _reach(core: np.ndarray, rows: np.ndarray) -> np.ndarray:
     flat = np.zeros((len(core), 32), np.uint8)
     flat[:, 1:] = rows[:, 1:]
     words = flat.view(">u8").astype(U)
-    order = np.lexsort([*words.T[::-1], core])
+    # padded with zeros; of rows that differ only in how many real zeros end them the shorter comes first
+    order = np.lexsort([rows[:, 0], *words.T[::-1], core])
     c, r = core[order], rows[order]
     near = np.where(c[1:] == c[:-1], _agree(r[1:, 1:], r[:-1, 1:], np.minimum(r[1:, 0], r[:-1, 0])), 0)
     best = np.zeros(len(core), np.int64)

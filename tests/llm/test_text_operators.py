@@ -326,6 +326,18 @@ def test_repeats(spark, texts):
         assert [tuple(r)[1:] for r in suffixes.remove_repeats(table(spark, some), length=length).orderBy("doc_id").collect()] == removal(some, length)
 
 
+def test_repeats_with_runs_of_nul(spark):
+    import numpy as np
+
+    rows = np.zeros((3, 32), np.uint8)
+    rows[:, 0] = (31, 1, 31)
+    assert suffixes._reach(np.zeros(3, np.uint64), rows).tolist() == [31, 1, 31]
+    rng = random.Random(6)
+    p = "".join(rng.choice("abcd") for _ in range(64))
+    every = [f"{k}" + p[: 64 - k] + "\0" * n for k, n in enumerate((60, 1, 31, 0, 60, 33, 2, 200))] + ["\0" * n for n in (63, 64, 65, 130)]
+    assert [tuple(r)[1:] for r in suffixes.remove_repeats(table(spark, every), length=64).orderBy("doc_id").collect()] == removal(every, 64)
+
+
 def test_texts_without_repeats(spark):
     p = "".join(chr(97 + k * k % 26) for k in range(260)) + "é" * 30
     df = table(spark, ["one " + p, "two " + p + " end", None, "clean"]).withColumn("n_chars", F.lit(0))
