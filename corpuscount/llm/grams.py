@@ -17,11 +17,12 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 #: Bytes hashed at once (more only where a single word is longer).
-WINDOW = 1 << 21
+WINDOW = 1 << 18
 #: Stands for the end of a text: no byte of UTF-8.
 END = b"\xff"
+BLANKS = (9, 10, 11, 12, 13, 32)
 _BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANK[list(BLANKS)] = True
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -32,6 +33,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse; kept where they are few."""
+    return tuple(x[:n] for x in _powers(2 * WINDOW)) if n <= 2 * WINDOW else _powers.__wrapped__(n)
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -47,16 +53,16 @@ def word_hashes(buffer: bytes) -> np.ndarray:
     out, at, n = [], 0, len(buffer)
     while at < n:
         stop = min(n, at + WINDOW)
-        while stop < n and not _BLANK[buffer[stop]]:
-            stop += 1
+        if stop < n:
+            back = max(buffer.rfind(bytes([c]), at, stop + 1) for c in BLANKS)
+            stop = back if back > at else min((k for c in BLANKS if (k := buffer.find(bytes([c]), stop)) >= 0), default=n)
         own = np.frombuffer(buffer, np.uint8, stop - at, at)
         word = ~_BLANK[own]
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         start, end = edge[::2], edge[1::2]
-        size = max(WINDOW, 1 << (len(own) - 1).bit_length())
-        p, inverse = _powers(size)
+        p, inverse = powers(len(own) + 1)
         sums = np.zeros(len(own) + 1, U)
-        np.cumsum((own.astype(U) + U(1)) * p[: len(own)], out=sums[1:])
+        np.cumsum((own.astype(U) + U(1)) * p[:-1], out=sums[1:])
         out.append(mixed((sums[end] - sums[start]) * inverse[start]))
         at = stop
     return np.concatenate(out) if out else np.zeros(0, U)
@@ -112,22 +118,3 @@ def unpacked_counts(raw: bytes) -> np.ndarray:
     n = np.frombuffer(zlib.decompress(raw[4 : 4 + size]), np.uint8).astype(np.int64)
     n[n == 255] = np.frombuffer(raw, "<u8", offset=4 + size).astype(np.int64)
     return n
-
-
-def bounds(bits: int, buckets: int) -> list[int]:
-    """The least hash of each bucket, and 2**bits: equal ranges of hashes."""
-    return [(k << bits) // buckets for k in range(buckets)] + [1 << bits]
-
-
-def dealt(values: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int, int]]:
-    """(bucket, its least hash, first and last place + 1) of the buckets that ascending values fall in."""
-    edges = bounds(bits, buckets)
-    at = [0, *np.searchsorted(values, np.array(edges[1:-1], U)).tolist(), len(values)]
-    return [(b, edges[b], at[b], at[b + 1]) for b in range(buckets) if at[b] < at[b + 1]]
-
-
-def totals(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The total of each distinct hash, and for each list the places of its hashes among the distinct ones."""
-    distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-    return total, np.split(place, np.cumsum([len(x) for x in lists])[:-1])

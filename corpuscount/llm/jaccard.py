@@ -13,8 +13,8 @@ drawn for that n-gram, and each member its group's first: as many pairs at most
 only members that are still in different components meet. No link between different texts is missed, and a group of
 thousands of copies that link never makes all its pairs.
 
-The counts come from an exchange of compact sorted hash lists: each block of texts sends its hashes to the
-buckets of their ranges, and gets their counts back.
+The counts come from a tree of exchange (see exchange.py): each block of texts sends the sorted list of its hashes,
+and gets their counts back.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscount.llm import grams
+from corpuscount.llm import exchange, grams
 from corpuscount.llm.components import components
+from corpuscount.llm.exchange import Counts, Tree, lean
 from corpuscount.llm.grams import U
-from corpuscount.runtime import parallelism, prepare, written
+from corpuscount.llm.skew import joined
+from corpuscount.runtime import prepare, written
 
 #: Bits of an n-gram's hash in the exchange.
 BITS = 56
@@ -126,9 +128,9 @@ def blocks_of(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
                     keep.append(k)
             part = b.take(pa.array(keep, pa.int32()))
             block = np.array(part.column(0)).astype(np.int64) % blocks
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), part.column(2)], ["block", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), part.column(2)], ["block", "text"])
 
-    return rows.mapInArrow(run, "block int, text string")
+    return exchange.by_block(rows.mapInArrow(run, "block long, text string"), blocks)
 
 
 def _block_sets(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,35 +144,32 @@ def _block_sets(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate([h[off[k] : off[k + 1]] for k in first]), np.concatenate([[0], np.cumsum(np.diff(off)[first])]), names[first]
 
 
-def candidates(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+def candidates(docs: DataFrame, text_col: str, words: int, percent: int, fan: int = exchange.FAN) -> DataFrame:
     """(f1, f2, n, shared, prefix, bitmap) of the classes whose prefix has an n-gram that another class has too.
 
     shared: hashes of all its n-grams that others have; prefix: those of its prefix.
     """
-    spark = docs.sparkSession
-    blocks = buckets = parallelism(spark)
-    texts = blocks_of(docs, text_col, blocks)
+    blocks = exchange.blocks_for(docs, text_col)
+    tree = Tree(blocks, [Counts(BITS)], fan)
 
     def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, _, _ = _block_sets(pdf["text"], words)
-        u, c = np.unique(h, return_counts=True)
-        out = [(b, key[0], grams.packed(u[i:j], low), grams.packed_counts(c[i:j])) for b, low, i, j in grams.dealt(u, BITS, buckets)]
-        return pd.DataFrame(out, columns=["bucket", "block", "hashes", "counts"])
+        def work() -> pd.DataFrame:
+            u, c = np.unique(_block_sets(pdf["text"], words)[0], return_counts=True)
+            return tree.sent([(u, c[None])], int(key[0]))
 
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low = grams.bounds(BITS, buckets)[key[0]]
-        total, places = grams.totals([grams.unpacked(x, low) for x in pdf["hashes"]], [grams.unpacked_counts(x) for x in pdf["counts"]])
-        return pd.DataFrame({"block": pdf["block"], "bucket": key[0], "counts": [grams.packed_counts(total[p]) for p in places]})
+        return lean(work)
 
-    sent = texts.groupBy("block").applyInPandas(emit, "bucket int, block int, hashes binary, counts binary")
-    back = written(sent.groupBy("bucket").applyInPandas(count, "block int, bucket int, counts binary"))
+    back = tree.run(blocks_of(docs, text_col, blocks).groupBy("block").applyInPandas(emit, tree.up_schema), lambda own: ([own[0][1]], None))
 
     def choose(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return lean(_chosen, own, got)
+
+    def _chosen(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         h, off, names = _block_sets(own["text"], words)
         rows = []
         if len(h):
             u, place = np.unique(h, return_inverse=True)
-            df = np.concatenate([grams.unpacked_counts(x) for x in got.sort_values("bucket")["counts"]])
+            df = tree.answered(got)[0][0]
             if len(df) != len(u):
                 raise ValueError("a block's texts are not those that were counted")
             df = df[place]
@@ -185,7 +184,7 @@ def candidates(docs: DataFrame, text_col: str, words: int, percent: int) -> Data
         return pd.DataFrame(rows, columns=["f1", "f2", "n", "shared", "prefix", *MAP])
 
     again = blocks_of(docs, text_col, blocks)
-    found = again.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(choose, "f1 long, f2 long, n long, shared array<long>, prefix array<long>, " + ", ".join(f"{c} long" for c in MAP))
+    found = again.groupBy("block").cogroup(back.groupBy("g")).applyInPandas(choose, "f1 long, f2 long, n long, shared array<long>, prefix array<long>, " + ", ".join(f"{c} long" for c in MAP))
     # texts of several blocks may have one set
     return found.groupBy("f1", "f2").agg(F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), F.any_value("prefix").alias("prefix"), *[F.any_value(c).alias(c) for c in MAP])
 
@@ -282,6 +281,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cand = candidates(docs, text_col, words, percent).join(classes, ["f1", "f2"]).select("k", "n", "shared", "prefix", *MAP)
     roots = components(links(cand, percent))
     of_class = written(classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("f1", "f2", "id", F.coalesce("root", "k").alias("root")))
-    named = of_class.join(of_class.groupBy("root").agg(F.min("id").alias("component")), "root").select("f1", "f2", "component")
-    full = rows.where("n > 0").join(named, ["f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # a component of many classes, then a class of many rows
+    named = joined(of_class, of_class.groupBy("root").agg(F.min("id").alias("component")), ["root"]).select("f1", "f2", "component")
+    full = joined(rows.where("n > 0"), named, ["f1", "f2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return full.unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

@@ -1,17 +1,18 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of a word after its context (bigrams), of the word alone, and a
-smoothed unigram that knows unseen words too. The weights depend on how often the context was seen: contexts are
-bucketed by the binary logarithm of their count. Expectation-maximisation learns each bucket's weights on held-out
-counts: a tenth of the training texts is scored by the counts of the others, its own deleted from them.
-
-Counts are of all training texts and grow with them, so no task ever holds them all. Texts are dealt into blocks. A
-block sends the distinct hashes of its n-grams, with its own counts, to the buckets of their ranges, and gets the
-totals back in the same order: that is its own dictionary, by which it scores its texts. The texts for
+The model mixes maximum-likelihood estimates of a word after the two before it (trigrams), after the one before it
+(bigrams), of the word alone, and a smoothed unigram that knows unseen words too. The weights depend on how often the
+context was seen: contexts are bucketed by the binary logarithm of the count of both words before, or where
+these never met, of the last of them. Expectation-maximisation learns each bucket's weights on held-out counts: a
+tenth of the training texts is scored by the counts of the others, its own deleted from them.
+
+Counts are of all training texts and grow with them, so no task ever holds them all. Texts are dealt into blocks of
+some megabytes. A block sends the distinct hashes of its n-grams with its own counts through the tree of exchange, and
+gets the totals back in the same order: that is its own dictionary, by which it scores its texts. The texts for
 the weights have blocks of their own, so learning reads only those again.
 
-Hashes have 56 bits for words and 44 for bigrams: at 10**7 words and 10**8 bigrams, two share a hash with
-probability 10**-3 for any pair of words, and for 6 in a million bigrams. BITS is a parameter of the module.
+Hashes have 56 bits for words, and for longer n-grams 44 and more, as the corpus grows: at 10**7 words and 10**8 n-grams
+two words share a hash with probability 10**-3 for any pair, and 6 n-grams in a million share theirs.
 """
 
 from __future__ import annotations
@@ -23,133 +24,125 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscount.llm import grams
+from corpuscount.llm import exchange, grams
+from corpuscount.llm.exchange import Counts, Tree, lean
 from corpuscount.llm.grams import U
-from corpuscount.runtime import parallelism, prepare, written
+from corpuscount.runtime import parallelism, prepare
 
-#: Bits of the hashes of words and of bigrams.
-BITS = (56, 44)
+#: Bits of the hashes of words; least and most bits of those of longer n-grams.
+WORD_BITS, GRAM_BITS = 56, (44, 60)
+ORDERS = 3
 #: Held-out texts for the weights: one in so many training texts.
 DELETED = 9
 ROUNDS = 60
-#: Blocks of texts for each shuffle partition: a task holds one at a time, with some ten arrays over its tokens.
+#: Blocks of texts for each shuffle partition at least: a task holds one at a time, with some fifteen arrays over its tokens.
 BLOCKS = 3
-#: Estimates are told apart, for the weights only, to a quarter of a binary logarithm.
-GRID = 4
+#: Estimates are told apart, for the weights only, to a half of a binary logarithm.
+GRID = 2
 NONE = -(1 << 20)
+#: Buckets of contexts: none known; the last word's count by powers of 2; that of the last two words.
+LOGS = 64
+NAMES = ["q3", "q2", "q1", "q0"]
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Row k: weights of (bigram, unigram, smoothed unigram) where the context's count has the binary logarithm k - 1; row 0: unseen."""
+    """A row for each bucket: weights of (trigram, bigram, unigram, smoothed unigram)."""
 
     table: np.ndarray
 
-    def of(self, context: np.ndarray) -> np.ndarray:
-        return self.table[bucket_of(context)]
+    def of(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return self.table[bucket_of(two, one)]
 
 
-def bucket_of(context: np.ndarray) -> np.ndarray:
-    return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
+def bucket_of(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bucket of contexts: the last two words were seen ``two`` times, the last ``one`` times."""
+    log = lambda n: np.log2(np.maximum(n, 1)).astype(np.int64)
+    return np.where(two > 0, 1 + LOGS + log(two), np.where(one > 0, 1 + log(one), 0))
+
+
+def gram_bits(total: int) -> int:
+    """Bits of the hashes of bigrams and trigrams of so many bytes of text."""
+    return min(GRAM_BITS[1], max(GRAM_BITS[0], total.bit_length() + 8))
 
 
 class Block:
-    """The words and bigrams of some texts, and their distinct hashes."""
+    """The words, bigrams and trigrams of some texts, and their distinct hashes."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], bits: int):
         words, self.off = grams.text_words(texts)
+        first = self.off[:-1]  # a text begins after ends
         before = np.empty_like(words)
         before[1:] = words[:-1]
-        before[self.off[:-1]] = grams.END_HASH  # a text begins after an end
-        self.hashes = [words >> U(64 - BITS[0]), grams.mixed(words * U(3) + grams.mixed(before)) >> U(64 - BITS[1])]
-        del before
-        self.distinct, self.place = zip(*(np.unique(h, return_inverse=True) for h in self.hashes), strict=True)
-        begin = np.searchsorted(self.distinct[0], grams.END_HASH >> U(64 - BITS[0]))
-        self.context = np.empty_like(self.place[0])  # places of the words before
-        self.context[1:] = self.place[0][:-1]
-        self.context[self.off[:-1]] = begin
-
-    def counts(self, order: int, counted: np.ndarray) -> np.ndarray:
-        """How often each distinct hash occurs in the texts that are counted."""
-        return np.bincount(self.place[order], weights=np.repeat(counted, np.diff(self.off)), minlength=len(self.distinct[order])).astype(np.int64)
-
-
-def _exchange(texts: DataFrame, buckets: int, fold_blocks: int) -> DataFrame:
-    """(block, bucket, c0, c1, c2, c3): for each block the totals of its words (c0) and bigrams (c1) in that bucket, and for
-    the deleted texts' blocks also those without the deleted texts (c2, c3). Block -1: c0 and c2 hold the bucket's tokens
-    and distinct words. One row for each pair of block and bucket, both ways."""
-
-    def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = Block(pdf["text"].tolist())
-        out: dict[int, list] = {}
-        for order in (0, 1):
-            u, c = own.distinct[order], own.counts(order, pdf["train"].to_numpy(bool))
-            for b, low, i, j in grams.dealt(u, BITS[order], buckets):
-                row = out.setdefault(b, [b, key[0], None, None, None, None])
-                row[2 + 2 * order : 4 + 2 * order] = grams.packed(u[i:j], low), grams.packed_counts(c[i:j])
-        return pd.DataFrame(list(out.values()), columns=["bucket", "block", "h0", "n0", "h1", "n1"])
-
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = key[0]
-        rows = {b: [b, bucket, None, None, None, None] for b in pdf["block"]}
-        rows[-1] = [-1, bucket, None, None, None, None]
-        for order in (0, 1):
-            own = pdf[pdf[f"h{order}"].notna()]
-            if not len(own):
-                continue
-            low = grams.bounds(BITS[order], buckets)[bucket]
-            counts = [grams.unpacked_counts(x) for x in own[f"n{order}"]]
-            total, places = grams.totals([grams.unpacked(x, low) for x in own[f"h{order}"]], counts)
-            rest = total.copy()  # without the deleted texts
-            for b, c, p in zip(own["block"], counts, places, strict=True):
-                if b < fold_blocks:
-                    rest[p] -= c
-            for b, p in zip(own["block"], places, strict=True):
-                rows[b][2 + order] = grams.packed_counts(total[p])
-                if b < fold_blocks:
-                    rows[b][4 + order] = grams.packed_counts(rest[p])
-            if not order:
-                for k, t in ((2, total), (4, rest)):
-                    rows[-1][k] = grams.packed_counts(np.array([t.sum(), (t > 0).sum()]))
-        return pd.DataFrame(list(rows.values()), columns=["block", "bucket", "c0", "c1", "c2", "c3"])
-
-    sent = texts.groupBy("block").applyInPandas(emit, "bucket int, block int, h0 binary, n0 binary, h1 binary, n1 binary")
-    return written(sent.groupBy("bucket").applyInPandas(count, "block int, bucket int, c0 binary, c1 binary, c2 binary, c3 binary"))
-
-
-def _sizes(back: DataFrame, kind: int) -> tuple[int, int]:
-    """(tokens, distinct words): a row for each bucket."""
-    rows = [grams.unpacked_counts(r[0]) for r in back.where("block = -1").select(f"c{kind}").toLocalIterator() if r[0] is not None]
-    return (int(sum(x[0] for x in rows)), int(sum(x[1] for x in rows))) if rows else (0, 0)
-
-
-def _got(pdf: pd.DataFrame, kind: int) -> np.ndarray:
-    parts = pdf[pdf[f"c{kind}"].notna()].sort_values("bucket")[f"c{kind}"]
-    return np.concatenate([grams.unpacked_counts(x) for x in parts]) if len(parts) else np.zeros(0, np.int64)
-
-
-def _estimates(own: Block, words: np.ndarray, pairs: np.ndarray, tokens: int, distinct: int) -> tuple[np.ndarray, ...]:
-    """For each token: count, count of its context, and the three estimates."""
-    if len(words) != len(own.distinct[0]) or len(pairs) != len(own.distinct[1]):
-        raise ValueError("a block's texts are not those that were counted")
-    c, before, both = words[own.place[0]], words[own.context], pairs[own.place[1]]
-    p2 = np.divide(both, before, out=np.zeros(len(c)), where=before > 0)
-    p1 = c / max(tokens, 1)
-    return c, before, np.stack([np.minimum(p2, 1), p1, (c + 0.1) / (tokens + 0.1 * (distinct + 1))], axis=1)
+        before[first] = grams.END_HASH
+        pair = grams.mixed(words * U(3) + grams.mixed(before))
+        second = np.empty_like(words)
+        second[1:] = before[:-1]
+        second[first] = grams.END_HASH
+        triple = grams.mixed(pair * U(5) + grams.mixed(second ^ U(grams.MIX[0])))
+        del before, second
+        hashes = [words >> U(64 - WORD_BITS), pair >> U(64 - bits), triple >> U(64 - bits)]
+        del words, pair, triple
+        self.distinct, self.place = [], []
+        for k in range(ORDERS):
+            u, p = np.unique(hashes[k], return_inverse=True)
+            hashes[k] = None
+            self.distinct.append(u)
+            self.place.append(p.astype(np.int32))
+        begin = np.searchsorted(self.distinct[0], grams.END_HASH >> U(64 - WORD_BITS))
+        self.context = self._shifted(self.place[0], begin)  # places of the word before
+        self.first = first
+
+    def _shifted(self, place: np.ndarray, start: int) -> np.ndarray:
+        out = np.empty_like(place)
+        out[1:] = place[:-1]
+        out[self.off[:-1]] = start
+        return out
+
+    def entries(self, counted: np.ndarray, deleted: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order the distinct hashes, how often each occurs in the texts that are counted, and in deleted ones."""
+        weights = np.repeat(counted, np.diff(self.off))
+        own = [np.bincount(p, weights=weights, minlength=len(u)).astype(np.int64) for u, p in zip(self.distinct, self.place, strict=True)]
+        return [(u, np.stack([c, c if deleted else np.zeros_like(c)])) for u, c in zip(self.distinct, own, strict=True)]
+
+    def estimates(self, counts: list[np.ndarray], tokens: int, distinct: int) -> tuple[np.ndarray, ...]:
+        """For each token: its count, the counts of its contexts of two words and of one, and the four estimates.
+
+        counts: for each order those of the distinct hashes.
+        """
+        if any(len(c) != len(u) for c, u in zip(counts, self.distinct, strict=True)):
+            raise ValueError("a block's texts are not those that were counted")
+        c, one, both, all_ = counts[0][self.place[0]], counts[0][self.context], counts[1][self.place[1]], counts[2][self.place[2]]
+        two = counts[1][self._shifted(self.place[1], 0)]
+        two[self.first] = one[self.first]  # both words before a text are ends
+        part = lambda a, b: np.minimum(np.divide(a, b, out=np.zeros(len(c)), where=b > 0), 1)
+        return c, two, one, np.stack([part(all_, two), part(both, one), c / max(tokens, 1), (c + 0.1) / (tokens + 0.1 * (distinct + 1))], axis=1)
+
+
+def _totals(own: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Answers of a range: the counts themselves; sums: tokens and distinct words, of all training texts and without the deleted."""
+    n, deleted = own[0][1]
+    return [c for _, c in own], np.array([n.sum(), (n > 0).sum(), (n - deleted).sum(), (n > deleted).sum()])
+
+
+def _sizes(back: DataFrame) -> np.ndarray:
+    """Tokens and distinct words of all training texts, and without the deleted ones: a row for each range, FAN at most a level."""
+    rows = [grams.unpacked_counts(r[0]) for r in back.where("g < 0").select("a0").toLocalIterator()]
+    return np.sum(rows, axis=0) if rows else np.zeros(4, np.int64)
 
 
 def expectation_maximisation(cells: pd.DataFrame, rounds: int = ROUNDS) -> Weights:
-    """Weights by bucket from cells (bucket, q2, q1, q0: estimates in grid steps of their binary logarithm, NONE for 0; n)."""
-    table = np.tile([0.0, 0.0, 1.0], (66, 1))
+    """Weights by bucket from cells (bucket, q3, q2, q1, q0: estimates in grid steps of their binary logarithm, NONE for 0; n)."""
+    table = np.tile([0.0, 0.0, 0.0, 1.0], (1 + 2 * LOGS, 1))
     for bucket, own in cells.groupby("bucket"):
-        p = np.stack([np.where(own[q] == NONE, 0.0, np.exp2(own[q].to_numpy() / GRID)) for q in ("q2", "q1", "q0")], axis=1)
+        p = np.stack([np.where(own[q] == NONE, 0.0, np.exp2(own[q].to_numpy() / GRID)) for q in NAMES], axis=1)
         n = own["n"].to_numpy(np.float64)
-        w = np.full(3, 1 / 3)
+        w = np.full(len(NAMES), 1 / len(NAMES))
         for _ in range(rounds):
             part = p * w
             part /= part.sum(axis=1, keepdims=True)
             w = (part * n[:, None]).sum(axis=0) / n.sum()
-        w = np.maximum(w, 1e-4 * np.array([p[:, 0].any(), 1, 1]))  # an unseen word is never impossible
+        w = np.maximum(w, 1e-4 * np.array([p[:, 0].any(), p[:, 1].any(), 1, 1]))  # an unseen word is never impossible
         table[int(bucket)] = w / w.sum()
     known = set(cells["bucket"])
     for k in range(1, len(table)):  # buckets without held-out tokens do as the one below
@@ -158,26 +151,28 @@ def expectation_maximisation(cells: pd.DataFrame, rounds: int = ROUNDS) -> Weigh
     return Weights(table)
 
 
-def _learn(texts: DataFrame, back: DataFrame) -> Weights:
-    tokens, distinct = _sizes(back, 2)
-
+def _learn(texts: DataFrame, back: DataFrame, bits: int, tree: Tree, tokens: int, distinct: int) -> Weights:
     def cells(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "q2", "q1", "q0"]
+        names = ["bucket", *NAMES]
         if not len(own):
             return pd.DataFrame({x: pd.Series(dtype="int64") for x in [*names, "n"]})
-        b = Block(own["text"].tolist())
-        _, before, p = _estimates(b, _got(got, 2), _got(got, 3), tokens, distinct)
-        with np.errstate(divide="ignore"):
-            q = np.where(p > 0, np.rint(GRID * np.log2(p)), NONE).astype(np.int64)
-        out, n = np.unique(np.concatenate([bucket_of(before)[:, None], q], axis=1), axis=0, return_counts=True)
-        return pd.DataFrame(out, columns=names).assign(n=n)
-
-    got = texts.groupBy("block").cogroup(back.where("block >= 0 and (c2 is not null or c3 is not null)").select("block", "bucket", "c2", "c3").groupBy("block")).applyInPandas(cells, "bucket long, q2 long, q1 long, q0 long, n long")
+
+        def work() -> pd.DataFrame:
+            b = Block(own["text"].tolist(), bits)
+            _, two, one, p = b.estimates([a[0] - a[1] for a in tree.answered(got)], tokens, distinct)
+            with np.errstate(divide="ignore"):
+                q = np.where(p > 0, np.rint(GRID * np.log2(p)), NONE).astype(np.int64)
+            out, n = np.unique(np.concatenate([bucket_of(two, one)[:, None], q], axis=1), axis=0, return_counts=True)
+            return pd.DataFrame(out, columns=names).assign(n=n)
+
+        return lean(work)
+
+    got = texts.groupBy("block").cogroup(back.groupBy("g")).applyInPandas(cells, "bucket long, " + ", ".join(f"{q} long" for q in NAMES) + ", n long")
     # at most one row for each cell of the grid, whatever the number of tokens
-    return expectation_maximisation(got.groupBy("bucket", "q2", "q1", "q0").agg(F.sum("n").alias("n")).orderBy("bucket", "q2", "q1", "q0").toPandas())
+    return expectation_maximisation(got.groupBy("bucket", *NAMES).agg(F.sum("n").alias("n")).orderBy("bucket", *NAMES).toPandas())
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", fan: int = exchange.FAN) -> DataFrame:
     """Score every whole text by a model of the texts for which ``train`` is true.
 
     Tokens are the words of a text (A-Z in lower case) and one end. Returns id, held_out (not train), n_tokens,
@@ -187,34 +182,44 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     table gives none.
     """
     spark = prepare(docs.sparkSession)
-    n = parallelism(spark)
-    blocks = BLOCKS * n
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    bits, blocks = gram_bits(total), max(BLOCKS * parallelism(spark), -(-total // exchange.BLOCK_BYTES))
     fold_blocks = max(1, blocks // (DELETED + 1))
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), h.alias("h"))
     deleted = F.col("train") & (F.pmod(F.xxhash64("h"), F.lit(DELETED)) == 0)
-    block = F.when(deleted, F.pmod("h", F.lit(fold_blocks))).otherwise(fold_blocks + F.pmod("h", F.lit(blocks))).cast("int")
-    texts = rows.select("id", "text", "train", "h", block.alias("block"))
-    back = _exchange(texts.select("block", "train", "text"), n, fold_blocks)
-    tokens, distinct = _sizes(back, 0)
-    weights = _learn(texts.where(F.col("block") < fold_blocks).select("block", "text"), back)
+    block = F.when(deleted, F.pmod("h", F.lit(fold_blocks))).otherwise(fold_blocks + F.pmod("h", F.lit(blocks)))
+    texts = rows.select("id", "text", "train", block.cast("long").alias("block"))
+    tree = Tree(blocks + fold_blocks, [Counts(WORD_BITS, 2), Counts(bits, 2), Counts(bits, 2)], fan)
+
+    def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(key[0])
+        return lean(lambda: tree.sent(Block(pdf["text"].tolist(), bits).entries(pdf["train"].to_numpy(bool), g < fold_blocks), g))
+
+    dealt = exchange.by_block(texts, blocks)
+    back = tree.run(dealt.select("block", "train", "text").groupBy("block").applyInPandas(emit, tree.up_schema), _totals)
+    tokens, distinct, rest, rest_distinct = (int(x) for x in _sizes(back))
+    weights = _learn(texts.where(F.col("block") < fold_blocks).select("block", "text"), back.where((F.col("g") >= 0) & (F.col("g") < fold_blocks)), bits, tree, rest, rest_distinct)
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame({id_col: own["id"], "held_out": own["train"], **{x: pd.Series(dtype="int64") for x in ("n_tokens", "n_known", "train_tokens")}, "base_score": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64")})
-        b = Block(own["text"].tolist())
-        c, before, p = _estimates(b, _got(got, 0), _got(got, 1), tokens, distinct)
-        at = b.off[:-1]
-        if tokens:
-            mix = np.log10((p * weights.of(before)).sum(axis=1))
-            base = np.log10(p[:, 2])
-        else:
-            mix = base = np.zeros(len(c))
-        return pd.DataFrame({
-            id_col: own["id"], "held_out": ~own["train"].to_numpy(bool), "n_tokens": np.diff(b.off), "n_known": np.add.reduceat((c > 0).astype(np.int64), at),
-            "train_tokens": tokens, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(mix, at),
-        })
-
-    own = texts.select("block", "id", "train", "text").groupBy("block")
-    return own.cogroup(back.where("block >= 0").select("block", "bucket", "c0", "c1").groupBy("block")).applyInPandas(scored, schema)
+
+        def work() -> pd.DataFrame:
+            b = Block(own["text"].tolist(), bits)
+            c, two, one, p = b.estimates([a[0] for a in tree.answered(got)], tokens, distinct)
+            at = b.off[:-1]
+            if tokens:
+                mix = np.log10((p * weights.of(two, one)).sum(axis=1))
+                base = np.log10(p[:, -1])
+            else:
+                mix = base = np.zeros(len(c))
+            return pd.DataFrame({
+                id_col: own["id"], "held_out": ~own["train"].to_numpy(bool), "n_tokens": np.diff(b.off), "n_known": np.add.reduceat((c > 0).astype(np.int64), at),
+                "train_tokens": tokens, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(mix, at),
+            })
+
+        return lean(work)
+
+    return dealt.select("block", "id", "train", "text").groupBy("block").cogroup(back.where("g >= 0").groupBy("g")).applyInPandas(scored, schema)

@@ -83,6 +83,24 @@ def test_jaccard_join(spark, words, percent):
     assert got == brute(rows, words, percent)
 
 
+def test_jaccard_with_a_tree_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(jaccard.candidates, "__defaults__", (2,))
+    rows = list(enumerate(near_copies(60, 1) + near_copies(40, 2) * 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df).collect()} == brute(rows, 4, 85)
+
+
+def test_skewed_join(spark):
+    from corpuscount.llm.skew import joined
+
+    rows = [(k, "hot" if k % 3 else f"k{k % 50}" if k % 5 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, key string")
+    one = spark.createDataFrame([("hot", 1)] + [(f"k{k}", 2) for k in range(40)], "key string, v long")
+    got = {r["id"]: (r["key"], r["v"]) for r in joined(df, one, ["key"]).collect()}
+    assert got == {k: (key, {"hot": 1, **{f"k{n}": 2 for n in range(40)}}.get(key)) for k, key in rows}
+    assert joined(df.where("false"), one, ["key"]).count() == 0 and joined(df, one.where("false"), ["key"]).count() == 3000
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join_components(df).count() == 0

@@ -265,10 +265,89 @@ def test_scoring_cases(spark):
 def test_weights_by_expectation_maximisation():
     import pandas as pd
 
-    cells = pd.DataFrame({"bucket": [1, 1], "q2": [-4, scoring.NONE], "q1": [-20, -8], "q0": [-24, -12], "n": [90, 10]})
+    none = scoring.NONE
+    cells = pd.DataFrame({"bucket": [1, 1], "q3": [none, none], "q2": [-2, none], "q1": [-10, -4], "q0": [-12, -6], "n": [90, 10]})
     w = scoring.expectation_maximisation(cells).table
-    assert w[1][0] == pytest.approx(0.9, abs=0.02) and w.sum(axis=1) == pytest.approx(1)
-    assert (w[5] == w[1]).all() and (w[0] == [0, 0, 1]).all()
+    assert w[1][1] == pytest.approx(0.9, abs=0.02) and w[1][0] == 0 and w.sum(axis=1) == pytest.approx(1)
+    assert (w[5] == w[1]).all() and (w[0] == [0, 0, 0, 1]).all()
+
+
+def mixture(tok, train, weights):
+    """The score of every text, by plain counts of n-grams."""
+    import math
+    from collections import Counter
+
+    one, two, three = Counter(), Counter(), Counter()
+    grams_of = lambda w: zip(w, [None, *w[:-1]], [None, None, *w[:-2]][: len(w)])
+    for i in train:
+        for z, y, x in grams_of(tok[i]):
+            one[z] += 1
+            two[y, z] += 1
+            three[x, y, z] += 1
+    total, kinds = sum(one.values()), len(one)
+    out = {}
+    for i, w in tok.items():
+        s = 0.0
+        for k, (z, y, x) in enumerate(grams_of(w)):
+            c1, c2 = one[y], one[None] if k == 0 else two[x, y]
+            p = [three[x, y, z] / c2 if c2 else 0, two[y, z] / c1 if c1 else 0, one[z] / total, (one[z] + 0.1) / (total + 0.1 * (kinds + 1))]
+            bucket = 1 + scoring.LOGS + int(math.log2(c2)) if c2 else 1 + int(math.log2(c1)) if c1 else 0
+            s += math.log10(sum(a * b for a, b in zip(p, weights.table[bucket])))
+        out[i] = s
+    return out
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_scores_equal_plain_counts(spark, texts, monkeypatch, fan):
+    made = []
+    learn = scoring._learn
+    monkeypatch.setattr(scoring, "_learn", lambda *a: made.append(learn(*a)) or made[0])
+    every = [*ODD, *texts.values()]
+    tok = {k: [*words_of(t), None] for k, t in enumerate(every)}
+    got = {r["doc_id"]: r["score"] for r in scoring.score(table(spark, every), F.col("doc_id") % 5 != 0, fan=fan).collect()}
+    want = mixture(tok, [k for k in tok if k % 5], made[0])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+@pytest.mark.parametrize(("blocks", "fan"), [(1, 64), (7, 64), (7, 2), (10, 3), (65, 4)])
+def test_exchange_of_lists(blocks, fan):
+    """The tree's nodes by hand: counts of all blocks come back in each block's own order."""
+    import numpy as np
+    import pandas as pd
+
+    from corpuscount.llm.exchange import Counts, Tree
+
+    rng = np.random.default_rng(blocks)
+    tree = Tree(blocks, [Counts(16), Counts(20, 2, most=3)], fan)
+    own = []
+    for _ in range(blocks):
+        keys = [np.unique(rng.integers(0, 1 << b, rng.integers(0, 200)).astype(np.uint64)) for b in (16, 6)]
+        own.append([(keys[0], rng.integers(1, 9, (1, len(keys[0])))), (keys[1], rng.integers(0, 2, (2, len(keys[1]))))])
+
+    class Frame:
+        """Rows by group, as Spark deals them."""
+
+        def __init__(self, pdf):
+            self.pdf = pdf
+
+        def nodes(self):
+            return self.pdf.groupby(["g", "r"])
+
+    ups = [Frame(pd.concat([tree.sent(x, g) for g, x in enumerate(own)], ignore_index=True))]
+    for level in range(1, tree.levels):
+        ups.append(Frame(pd.concat([tree.sent([e for e, _ in tree._merged(p, r, level)], g, r, level) for (g, r), p in ups[-1].nodes()], ignore_index=True)))
+    down = pd.concat([tree._returned(m := tree._merged(p, r, tree.levels), [e[1] for e, _ in m], r) for (g, r), p in ups[-1].nodes()], ignore_index=True)
+    for level in range(tree.levels - 1, 0, -1):
+        assert len(down) <= tree.width ** (tree.levels + 1)
+        down = pd.concat([tree._returned(tree._merged(p, r, level), tree.answered(down[(down.g == g) & (down.r == r)]), r) for (g, r), p in ups[level - 1].nodes()], ignore_index=True)
+    for k, most in ((0, 1 << 60), (1, 3)):
+        total = {}
+        for x in own:
+            for key, c in zip(x[k][0].tolist(), x[k][1].T):
+                total[key] = np.minimum(total.get(key, 0) + c, most)
+        for g, x in enumerate(own):
+            got = tree.answered(down[down.g == g])[k]
+            assert got.T.tolist() == [total[key].tolist() for key in x[k][0].tolist()]
 
 
 def test_word_hashes_and_packing_of_lists():
@@ -311,7 +390,34 @@ def test_suffix_arrays():
         assert suffixes.grouping(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_repeats(spark, texts):
+def test_many_suffix_arrays_at_once():
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(100):
+        ts = sorted(([rng.randrange(1, rng.choice([2, 3, 6]) + 1) for _ in range(rng.randrange(0, 60))] + [0] for _ in range(rng.randrange(1, 12))), key=len, reverse=True)
+        off = np.cumsum([0, *map(len, ts)])
+        got = suffixes.grouping_many(np.array(sum(ts, [])), off)
+        for t, a, b in zip(ts, off[:-1], off[1:]):
+            assert (got[a:b] - a).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_repeats_come_from_the_arrays(monkeypatch):
+    """Without the suffix arrays nothing repeats, equal tiles included."""
+    import numpy as np
+
+    rows = np.zeros((3, 64), np.uint8)
+    rows[:, 0] = rows[:, 32] = 31
+    rows[2, 1:32] = 7
+    core, several = np.array([5, 5, 9], np.uint64), np.array([False, False, True])
+    rows[1, 40] = 1
+    full = suffixes.repeated_starts(core, rows, several)
+    assert full.tolist() == [(1 << 8) - 1, (1 << 8) - 1, (1 << 32) - 1]
+    monkeypatch.setattr(suffixes, "_by_suffixes", lambda *a: np.zeros(0, np.int64))
+    assert not suffixes.repeated_starts(core, rows, several).any()
+
+
+def test_repeats(spark, texts, monkeypatch):
     rng = random.Random(2)
     ab = "".join(rng.choice("abcdefgh ") for _ in range(5000))
     made = ["a" * 199, "a" * 200, "a" * 1000, "ab" * 300, ab[:200], ab[1:202], ab[100:420] + "X" + ab[500:719], "é" * 150, ab[2000:2200], "Q" + ab[2000:2200] + "Z", "R" + ab[1999:2201], ab[3000:3199], ab[3000:3199] + "K", ab[3500:3700], ab[3500:3700]]
@@ -322,6 +428,7 @@ def test_repeats(spark, texts):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
     assert suffixes.remove_repeats(empty(spark)).count() == 0
     for length in (64, 100):
+        monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", ("text", 200, 2))  # a tree of several levels
         some = every[len(ODD) : len(ODD) + len(made)]
         assert [tuple(r)[1:] for r in suffixes.remove_repeats(table(spark, some), length=length).orderBy("doc_id").collect()] == removal(some, length)
 
