@@ -1,20 +1,24 @@
 """Merkle fingerprints of documents.
 
-A text is a tree: sections of paragraphs, and paragraphs of sentences. A paragraph is a line with its line
-break. A section ends after an empty line, or after a paragraph whose own hash ends in three zero bits, so that an
-edit moves no section border but those it touches. A sentence runs up to its full stops and the white space
-after them; one of over LONG code points is cut into blocks. Joined, the leaves give the text again. A node's
-hash is that of its children's hashes; the root is 128 bits long.
-
-A fingerprint is text: the root, then the sections with their leaves. It stands by itself: equal roots
-mean equal texts, and otherwise equal sections, and then equal leaves of the sections that differ, tell what
-two texts share and where they differ. Hashes of leaves are 32 bits long and go with the leaf's length.
+A text is a tree: sections of paragraphs, paragraphs of leaves. A leaf is a sentence, which runs up to its full stops
+and the white space after them; one of over LONG code points is cut into blocks. A paragraph is a line with its line break. A
+section ends after an empty line, or after a paragraph whose hash ends in three zero bits, so that an edit moves no
+section border but those it touches. Joined, the leaves give the text again.
+
+Every node has a hash of 128 bits. A leaf's is that of its bytes; any other node's is that of its children's hashes alone,
+with the node's level. So the root can be computed from the branches, and equal roots mean equal texts.
+
+A fingerprint is text, and the whole tree: the root, then for each section its hash, and for each paragraph its hash and its
+leaves, each with the leaf's length in code points. It stands by itself: where roots differ, equal sections are set
+against each other first, then equal paragraphs of the sections that differ, then equal leaves of the paragraphs that
+differ. What is left locates the edits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from base64 import b64encode
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,10 +30,19 @@ from pyspark.sql import functions as F
 from corpuscount.runtime import parallelism, prepare
 
 LONG, BLOCK = 64, 32
+#: A section ends where the last but one of a paragraph's 22 base-64 digits is one of these 8 of 64.
+_LAST = "08AIQYgo"
+#: Ids that are looked at for each bound between ranges: they only even out the ranges.
+SAMPLED = 50
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+[^\S\n]*\n?|\n|\Z)")
-#: A section: (its hash, its code points, its leaves as "hash:length" texts).
-Section = tuple[str, int, list[str]]
-Tree = tuple[str, list[Section]]
+#: A node: (its hash, its code points, its children; a leaf has none).
+Node = tuple[str, int, tuple]
+#: Root's hash, and the sections.
+Tree = tuple[str, list[Node]]
+
+
+def _hash(raw: bytes) -> str:
+    return b64encode(xxhash.xxh3_128_digest(raw), b"-_")[:22].decode()
 
 
 def leaves_of(text: str) -> Iterator[str]:
@@ -41,99 +54,114 @@ def leaves_of(text: str) -> Iterator[str]:
             yield from (s[k : k + BLOCK] for k in range(0, len(s), BLOCK))
 
 
-def tree_of(text: str) -> Tree:
-    sections: list[Section] = []
-    leaves: list[str] = []
-    paragraph = xxhash.xxh64()
-    start = size = 0
+def node_of(level: str, children: list[Node]) -> Node:
+    """The node over some children: level is p, s or r for paragraphs, sections and the root."""
+    return _hash((level + "".join([c[0] for c in children])).encode()), sum([c[1] for c in children]), tuple(children)
 
-    def close() -> None:
-        nonlocal leaves, size
-        sections.append((xxhash.xxh64_hexdigest(",".join(leaves))[:12], size, leaves))
-        leaves, size = [], 0
 
+def tree_of(text: str) -> Tree:
+    sections: list[Node] = []
+    paragraphs: list[Node] = []
+    leaves: list[Node] = []
     for leaf in leaves_of(text):
-        raw = leaf.encode("utf-8", "surrogatepass")
-        h = xxhash.xxh32_hexdigest(raw)
-        leaves.append(f"{h}:{len(leaf):x}")
-        size += len(leaf)
-        paragraph.update(raw)
+        leaves.append((_hash(b"l" + leaf.encode("utf-8", "surrogatepass")), len(leaf), ()))
         if leaf[-1] == "\n":
-            if (leaf == "\n" and not start) or not paragraph.intdigest() & 7:
-                close()
-            start = 0
-            paragraph.reset()
-        else:
-            start = 1
+            node = node_of("p", leaves)
+            paragraphs.append(node)
+            leaves = []
+            if node[1] == 1 or node[0][20] in _LAST:
+                sections.append(node_of("s", paragraphs))
+                paragraphs = []
     if leaves:
-        close()
-    # the root binds the exact text too: 128 bits over the branches and over the bytes
-    root = hashlib.md5(",".join(x[0] for x in sections).encode() + b"|" + xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))).hexdigest()
-    return root, sections
+        paragraphs.append(node_of("p", leaves))
+    if paragraphs:
+        sections.append(node_of("s", paragraphs))
+    return node_of("r", sections)[0], sections
 
 
 def render(tree: Tree) -> str:
     root, sections = tree
-    return "/".join([root, *(f"{h};{n:x};{','.join(leaves)}" for h, n, leaves in sections)])
+    leaf = lambda x: f"{x[0]}:{x[1]:x}"
+    return "/".join([root, *[";".join([s[0], *[",".join([p[0], *map(leaf, p[2])]) for p in s[2]]]) for s in sections]])
 
 
 def parse(fingerprint: str) -> Tree:
     root, *sections = fingerprint.split("/")
-    split = [x.split(";") for x in sections]
-    return root, [(h, int(n, 16), leaves.split(",")) for h, n, leaves in split]
+
+    def over(name: str, children: tuple) -> Node:
+        return name, sum([c[1] for c in children]), children
+
+    def paragraph(x: str) -> Node:
+        name, *leaves = x.split(",")
+        return over(name, tuple([(h, int(n, 16), ()) for h, n in (y.split(":") for y in leaves)]))
+
+    def section(x: str) -> Node:
+        name, *paragraphs = x.split(";")
+        return over(name, tuple([paragraph(y) for y in paragraphs]))
+
+    return root, [section(x) for x in sections]
 
 
 def fingerprint_of(text: str | None) -> str:
     return render(tree_of(text or ""))
 
 
+def _unmatched(a: list[Node], b: list[Node], at: list[int]) -> tuple[list[tuple[Node, int]], list[Node]]:
+    """The nodes of a and of b that are left when equal ones are set against each other, first ones first; a's with their places."""
+    have = Counter([x[0] for x in b])
+    left, used = [], Counter()
+    for x, place in zip(a, at, strict=True):
+        if used[x[0]] < have[x[0]]:
+            used[x[0]] += 1
+        else:
+            left.append((x, place))
+    rest = []
+    for x in b:
+        if used[x[0]] > 0:
+            used[x[0]] -= 1
+        else:
+            rest.append(x)
+    return left, rest
+
+
+def _places(nodes: list[Node], start: int) -> list[int]:
+    out = [start]
+    for x in nodes:
+        out.append(out[-1] + x[1])
+    return out[:-1]
+
+
+def _differing(a: Tree | str, b: Tree | str) -> tuple[list[tuple[Node, int]], int]:
+    """The leaves of a, with their places, that b doesn't have; and a's code points: level by level, only below what differs."""
+    (ra, sa), (rb, sb) = (parse(x) if isinstance(x, str) else x for x in (a, b))
+    total = sum([x[1] for x in sa])
+    if ra == rb:
+        return [], total
+    left, rest = _unmatched(sa, sb, _places(sa, 0))
+    for _ in range(2):  # paragraphs, then leaves
+        own = [(c, place) for x, at in left for c, place in zip(x[2], _places(x[2], at), strict=True)]
+        left, rest = _unmatched([x for x, _ in own], [c for x in rest for c in x[2]], [p for _, p in own])
+    return left, total
+
+
 def likeness(a: Tree | str, b: Tree | str) -> float:
-    """Twice the code points in what both trees hold, over those of both: 1 for equal texts, 0 with nothing in common."""
+    """Twice the code points in branches that both trees hold, over those of both: 1 for equal texts, 0 with nothing in common."""
     (ra, sa), (rb, sb) = (parse(x) if isinstance(x, str) else x for x in (a, b))
     if ra == rb:
         return 1.0
-    total = sum(x[1] for x in sa) + sum(x[1] for x in sb)
-    if not sa or not sb:
-        return 0.0
-    same = Counter(x[0] for x in sa) & Counter(x[0] for x in sb)
-    shared, left = 0, []
-    for sections in (sa, sb):
-        have, rest = Counter(same), Counter()
-        for h, n, leaves in sections:
-            if have[h] > 0:
-                have[h] -= 1
-                shared += n
-            else:
-                rest.update(leaves)
-        left.append(rest)
-    return min(1.0, (shared + 2 * sum(int(x.partition(":")[2], 16) * n for x, n in (left[0] & left[1]).items())) / total)
+    own, total = _differing((ra, sa), (rb, sb))
+    both = total + sum([x[1] for x in sb])
+    return 2 * (total - sum([x[1] for x, _ in own])) / both if both else 1.0
 
 
 def differing(a: Tree | str, b: Tree | str) -> list[tuple[int, int]]:
     """The spans of a, in code points, that lie in branches which b doesn't have."""
-    (ra, sa), (rb, sb) = (parse(x) if isinstance(x, str) else x for x in (a, b))
-    if ra == rb:
-        return []
-    have, leaves_b = Counter(x[0] for x in sb), Counter(y for x in sb for y in x[2])
-    for h, _, leaves in sa:  # what equal sections use up is not there for others
-        if have[h] > 0:
-            have[h] -= 1
-            leaves_b.subtract(leaves)
-    have, at, out = Counter(x[0] for x in sb), 0, []
-    for h, n, leaves in sa:
-        if have[h] > 0:
-            have[h] -= 1
-            at += n
-            continue
-        for x in leaves:
-            size = int(x.partition(":")[2], 16)
-            if leaves_b[x] > 0:
-                leaves_b[x] -= 1
-            elif out and out[-1][1] == at:
-                out[-1] = (out[-1][0], at + size)
-            else:
-                out.append((at, at + size))
-            at += size
+    out: list[tuple[int, int]] = []
+    for (_, size, _), at in _differing(a, b)[0]:
+        if out and out[-1][1] == at:
+            out[-1] = (out[-1][0], at + size)
+        else:
+            out.append((at, at + size))
     return out
 
 
@@ -154,14 +182,17 @@ def in_descending_order(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     """(bucket, ghost, id, text): buckets are ranges of ids, each whole in one partition and in descending order, and
     each followed by a ghost: the row that comes next after the bucket's last one (after the last of all: the first).
 
-    Only range bounds and the largest id of each range, one of each for a partition, come to the driver. The texts
-    are moved once. Equal ids follow each other in the order of their texts; null ids come last.
+    Only range bounds, a sample of ids for them, and the largest id of each range, one of each for a partition, come to the
+    driver. The texts are moved once. Ids may be of any type that has an order and literals. Equal ids follow each other in
+    the order of their texts; null ids come last.
     """
     n = parallelism(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] if n > 1 else None
-    cuts = sorted(set(bounds or []))
-    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.lit(1) + sum((F.when(F.col("id") > c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 40 else F.expr(f"1 + size(filter(array({','.join(f'{c}L' if isinstance(c, int) else repr(c) for c in cuts)}), c -> c < id))"))
+    some = rows.select("id").where("id is not null").orderBy(F.xxhash64("id")).limit(SAMPLED * n).collect()
+    ids = sorted(r[0] for r in some)
+    cuts = sorted({ids[k * len(ids) // n] for k in range(1, n)}) if ids else []
+    above_cuts = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("id"))) if cuts else F.lit(0)
+    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.lit(1) + above_cuts)
     most = {r[0]: r[1] for r in rows.select("id").groupBy(bucket.cast("int").alias("b")).agg(F.max("id")).collect()}
     have = sorted(most)
     above = {b: have[(k + 1) % len(have)] for k, b in enumerate(have)}

@@ -95,6 +95,51 @@ def edited(a, b):
     return a[: len(a) - half] + b[:half]
 
 
+def digest(raw):
+    import base64
+
+    import xxhash
+
+    return base64.urlsafe_b64encode(xxhash.xxh3_128(raw).digest()).decode().rstrip("=")
+
+
+def branches(f):
+    """A fingerprint read by hand: the root, and sections as (hash, [(paragraph's hash, [(leaf's hash, length)])])."""
+    root, *sections = f.split("/")
+    out = []
+    for x in sections:
+        name, *paragraphs = x.split(";")
+        out.append((name, [(p.split(",")[0], [(h, int(n, 16)) for h, n in (y.split(":") for y in p.split(",")[1:])]) for p in paragraphs]))
+    return root, out
+
+
+def by_hand(f, g):
+    """Likeness from the branches: equal sections, then paragraphs, then leaves go together."""
+    from collections import Counter
+
+    (rf, sf), (rg, sg) = branches(f), branches(g)
+    if rf == rg:
+        return 1.0
+    size = lambda node: node[1] if isinstance(node[1], int) else sum(map(size, node[1]))
+    both = sum(map(size, sf)) + sum(map(size, sg))
+    shared, a, b = 0, sf, sg
+    for _ in range(3):
+        same = Counter(x[0] for x in a) & Counter(x[0] for x in b)
+        rest = []
+        for nodes, counts in ((a, True), (b, False)):
+            left = Counter(same)
+            out = []
+            for x in nodes:
+                if left[x[0]]:
+                    left[x[0]] -= 1
+                    shared += size(x) if counts else 0
+                else:
+                    out.append(x)
+            rest.append(out)
+        a, b = ([c for x in r if not isinstance(x[1], int) for c in x[1]] for r in rest)
+    return 2 * shared / both
+
+
 def test_fingerprints(spark, texts):
     rows = {r["doc_id"]: r for r in QUERIES["op6_fingerprint"](spark, SMALL).collect()}
     order = sorted(texts, reverse=True)
@@ -105,8 +150,29 @@ def test_fingerprints(spark, texts):
         r = rows[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(texts[i]), hashlib.sha256(e.encode()).hexdigest())
         assert r["fingerprint"] == fingerprint.fingerprint_of(texts[i]) and r["edited_fingerprint"] == fingerprint.fingerprint_of(e)
-        assert r["near_edited"] == pytest.approx(fingerprint.likeness(r["fingerprint"], r["edited_fingerprint"]))
-        assert r["near_next"] == pytest.approx(fingerprint.likeness(r["fingerprint"], fingerprint.fingerprint_of(nxt)))
+        assert r["near_edited"] == pytest.approx(by_hand(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(by_hand(r["fingerprint"], fingerprint.fingerprint_of(nxt)))
+    for t in [*texts.values(), *(x or "" for x in ODD)]:  # the root, from the leaves up
+        root, sections = branches(fingerprint.fingerprint_of(t))
+        at = 0
+        for name, paragraphs in sections:
+            for own, leaves in paragraphs:
+                for h, n in leaves:
+                    assert h == digest(b"l" + t[at : at + n].encode())
+                    at += n
+                assert own == digest(("p" + "".join(h for h, _ in leaves)).encode())
+            assert name == digest(("s" + "".join(h for h, _ in paragraphs)).encode())
+        assert at == len(t) and root == digest(("r" + "".join(h for h, _ in sections)).encode())
+
+
+def test_fingerprints_of_other_ids(spark):
+    every = ["one. two. three.", "two. three. four.", "x", None]
+    for ids in (["b", "a", "c", None], [__import__("datetime").date(2024, 1, k) for k in (2, 1, 3)] + [None]):
+        kind = "string" if isinstance(ids[0], str) else "date"
+        df = spark.createDataFrame(list(zip(ids, every)), f"doc_id {kind}, text string")
+        order = [every[2], every[0], every[1], ""]
+        got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edit_fingerprints(df).collect()}
+        assert got == {i: hashlib.sha256(edited(t, order[(k + 1) % 4]).encode()).hexdigest() for k, (i, t) in enumerate(zip((ids[2], ids[0], ids[1], None), order))}
 
 
 def test_fingerprint_cases(spark, texts):
