@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscount.llm.exchange import trim
 from corpuscount.runtime import prepare
 
 #: Fixed value: what the vocabulary's pattern counts as a pre-token, here for pieces of ASCII and Latin-1 only.
@@ -204,6 +205,7 @@ class Pieces:
         end = model.get("end_of_word_suffix") or ""
         self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        self.marks = {x[:2] for x in self.specials}  # how special tokens begin: other texts aren't searched
         self.text = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.specials.items()}
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -265,7 +267,7 @@ class Pieces:
 
     def parts(self, text: str | None) -> list[list[str] | str]:
         """Lists of pieces, and between them the special tokens that the text holds."""
-        if text and self.cut and "<|" in text and len(found := self.cut.split(text)) > 1:
+        if text and self.cut and any(x in text for x in self.marks) and len(found := self.cut.split(text)) > 1:
             return [x if k % 2 else self.pieces(x) for k, x in enumerate(found)]
         return [self.pieces(text)]
 
@@ -318,6 +320,13 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces_of(tokenizer)
         gc.disable()  # millions of small tuples live long and form no cycles
+        try:
+            yield from coded(own, batches)
+        finally:
+            gc.enable()
+            trim()
+
+    def coded(own: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digests, decoded, ids, texts = [], [], [], [], []
             for raw, text in own.encoded(b.column(1).to_pylist()):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpuscount.llm.exchange import trim
 from corpuscount.runtime import prepare
 
 DIMENSIONS, SEED = 1024, 7
@@ -43,7 +44,7 @@ def letter_codes() -> np.ndarray:
     return codes
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 13)
 def letter_vector(code: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng([SEED, code]).integers(0, 2, dimensions, np.int8) * np.int8(2) - np.int8(1)
 
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix:
     lang_pred: the language whose prototype has the largest cosine with the text's vector; ties go to the
     alphabetically first. score: that cosine, 0 where it is negative. ``und`` and 0 for a null text, one
     without a letter, and all texts if no language is known. Every row stays, with all its columns as they are
-    (one named as the new ones is replaced). One pass, no shuffle; an empty table stays empty.
+    (one named as the new ones, prefix included, is replaced). One pass, no shuffle; an empty table stays empty.
     """
     spark = prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (f"{prefix}lang_pred", f"{prefix}score")]
@@ -206,6 +207,7 @@ def predict(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix:
                 langs += [own.languages[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
                 scores += [min(1.0, max(0.0, float(c[k]))) if ok else 0.0 for c, k, ok in zip(cos, best, has, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, f"{prefix}lang_pred", f"{prefix}score"])
+        trim()
 
     for name, t in ((f"{prefix}lang_pred", "string"), (f"{prefix}score", "double")):
         schema = schema.add(name, t)
@@ -213,14 +215,15 @@ def predict(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix:
 
 
 def likeness(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix: str = "__") -> DataFrame:
-    """docs with three more columns: ``letters``, ``distinct`` and ``like`` (with a prefix to their names).
+    """docs with four more columns: ``letters``, ``distinct``, ``like`` and ``best`` (with a prefix to their names).
 
     letters: whether the text has one; distinct: how many distinct trigrams; like: the largest cosine of the text's
-    structure with those of known (learned with vectors=structures), 0 where none is known. Null texts count as empty.
+    structure with those of known (learned with vectors=structures), 0 where none is known; best: the language that has it,
+    the alphabetically first of equal ones, null where none is known. Null texts count as empty.
     """
     spark = prepare(docs.sparkSession)
     schema = StructType(list(docs.schema))
-    names = [*docs.columns, *[f"{prefix}{c}" for c in ("letters", "distinct", "like")]]
+    names = [*docs.columns, *[f"{prefix}{c}" for c in ("letters", "distinct", "like", "best")]]
     place = docs.columns.index(text_col)
     model = spark.sparkContext.broadcast(known)
 
@@ -228,21 +231,25 @@ def likeness(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix:
         own = model.value
         for b in batches:
             texts = [x or "" for x in b.column(place).to_pylist()]
-            distinct, like = [], []
+            distinct, like, best = [], [], []
             for at in range(0, len(texts), TEXTS):
                 part = texts[at : at + TEXTS]
                 means, n = zip(*[expected(x, own.dimensions) for x in part], strict=True)
                 distinct += n
                 if not own.languages:
                     like += [0.0] * len(part)
+                    best += [None] * len(part)
                     continue
                 v = np.rint(bundles(part, own.dimensions) - np.stack(means))
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
-                like += (np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ own.vectors.T).max(axis=1).tolist()
+                cos = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ own.vectors.T
+                like += cos.max(axis=1).tolist()
+                best += [own.languages[k] for k in cos.argmax(axis=1)]
             letters = [any(c.isalpha() for c in x) for x in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(letters, pa.bool_()), pa.array(distinct, pa.int32()), pa.array(like, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(letters, pa.bool_()), pa.array(distinct, pa.int32()), pa.array(like, pa.float64()), pa.array(best, pa.string())], names)
+        trim()
 
-    for c, t in zip(names[-3:], ("boolean", "integer", "double"), strict=True):
+    for c, t in zip(names[-4:], ("boolean", "integer", "double", "string"), strict=True):
         schema = schema.add(c, t)
     return docs.mapInArrow(run, schema)
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscount.llm.bpe import pieces_of
+from corpuscount.llm.exchange import trim
 from corpuscount.runtime import prepare
 
 #: Remainders below C/SMALLEST share one class.
@@ -108,6 +109,13 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tokenizer's many small tuples live long and form no cycles
+        try:
+            yield from filled(batches)
+        finally:
+            gc.enable()
+            trim()
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bins, made, id_type = pieces_of(tokenizer, "library"), Bins(capacity), TaskContext.get().partitionId() << 32, pa.int64()
 
         def laid(sequences: list[list[Piece]]) -> pa.RecordBatch:
