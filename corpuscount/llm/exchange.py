@@ -12,21 +12,22 @@ Up to FAN blocks there is one level: an exchange of rows (block, range), there a
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscount.llm import grams
 from corpuscount.llm.grams import U
-from corpuscount.runtime import parallelism, written
+from corpuscount.runtime import parallelism, shared_dir, written
 
 #: Most blocks that a node merges; bytes of text in a block (more only where one text has more); most shuffle partitions asked for.
-FAN, BLOCK_BYTES, MOST_PARTS = 64, 8 << 20, 32_768
+FAN, BLOCK_BYTES, MOST_PARTS = 128, 8 << 20, 32_768
 #: What a list's entries carry: (keys in ascending order, a row of counts for each array).
 Entries = tuple[np.ndarray, np.ndarray]
 
@@ -46,6 +47,18 @@ def lean(f: Callable, *args: object) -> object:
     return out
 
 
+def freed(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables of the shared folder that nothing reads any more, and have Spark drop the shuffles that were cut off.
+
+    Spark drops a shuffle's files once the driver collects its last reference; a small heap may not do so for long.
+    """
+    for path in paths or ():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def blocks_for(docs: DataFrame, text_col: str) -> int:
     """How many blocks the texts need: one for each BLOCK_BYTES, and one for each shuffle partition at least."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
@@ -195,12 +208,17 @@ class Tree:
 
             return at_node
 
-        ups = [rows]
+        spark, ups, paths = rows.sparkSession, [rows], []
         for level in range(1, self.levels):
-            ups[-1] = written(ups[-1])
+            paths.append(shared_dir(spark))
+            ups[-1].write.parquet(paths[-1])
+            ups[-1] = spark.read.schema(ups[-1].schema).parquet(paths[-1])
             ups.append(ups[-1].groupBy("g", "r").applyInPandas(climb(level), self.up_schema))
         down = written(ups[-1].groupBy("g", "r").applyInPandas(at_top, self.down_schema))
         sums = down.where("g < 0")
         for level in range(self.levels - 1, 0, -1):
             down = ups[level - 1].groupBy("g", "r").cogroup(down.where("g >= 0").groupBy("g", "r")).applyInPandas(descend(level), self.down_schema)
-        return down if self.levels == 1 else written(down.unionByName(sums))
+        if self.levels > 1:
+            down = written(down.unionByName(sums))
+        freed(spark, paths)
+        return down

@@ -222,6 +222,7 @@ def links(cand: DataFrame, percent: int) -> DataFrame:
     cand: (k, n, shared, prefix, bitmap), k naming the class.
     """
     cand = written(cand)
+    exchange.freed(cand.sparkSession)
     groups = cand.groupBy("prefix", "n").agg(F.min("k").alias("g"))
     members = written(cand.join(groups, ["prefix", "n"]).select("g", "k", "n", F.size("shared").alias("s"), *MAP, F.when(F.col("g") == F.col("k"), F.col("prefix")).alias("prefix")))
     # places count from 0 and include those that no other set has

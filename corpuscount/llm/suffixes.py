@@ -581,6 +581,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200,
     found = repeated_spans(docs, text_col, length)
     # of texts that lose something, what is left; all others stay out of the exchange
     new = written(found.where("n_removed > 0").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("kept").alias("__kept")))
+    exchange.freed(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
     both = joined(keyed, new, ["__h1", "__h2"])
