@@ -1,6 +1,9 @@
-"""Command line: count, validate, stream.
+"""Command line: ingest, count, validate, crawl, stream.
 
-    python -m corpuscount.cli count -i INPUT -o OUTPUT -j wordcount -r 8 [-n SPLITS] [--clean direct]
+    python -m corpuscount.cli ingest -i wet.paths.gz --base s3a://bucket -o SPLITS [-n SPLITS] [--clean predownload] [--missing-only]
+    python -m corpuscount.cli crawl -i wet.paths.gz --base s3a://bucket -o FOLDER [--index 0] [--max-lines 200000]
+
+    python -m corpuscount.cli count -i INPUT -o OUTPUT -j wordcount -r 8 [-n SPLITS] [--clean direct] [--direct-read --base s3a://bucket]
     python -m corpuscount.cli validate -i INPUT -o OUTPUT -j wordcount [-n SPLITS] [--show 10]
     python -m corpuscount.cli stream -i FOLDER -o CHANGELOG -c CHECKPOINT [--top 20] [--timeout 15]
 
@@ -13,6 +16,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuscount.operators import compare, jobs
 from corpuscount.sources import sinks, splits
@@ -23,11 +27,24 @@ def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     corpus = splits.read_splits(spark, a.input, a.splits)
     if not a.clean:
         return corpus
-    from pyspark.sql import functions as F
+    # headers go within each text, without an exchange; where bytes are decoded, from the bytes
+    text = F.encode("text", "ISO-8859-1") if a.clean in ("predownload", "ondemand") else F.col("text")
+    return corpus.withColumn("text", F.array_join(splits.kept_lines(text, a.clean), "\n"))
+
+
+def _counts(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    if not a.direct_read:
+        return jobs.count(_corpus(spark, a), a.job)
+    # splits by line, of any length, from files that Spark reads where they are: gzip or text
+    lines = splits.read_sources(spark, splits.below(_listed(spark, a), a.splits))
+    lines = splits.cleaned(lines, a.clean or "direct")
+    return jobs.long_split_bigrams(lines, ["block", "line_no"]) if a.job == "bigram" else jobs.count(lines.select("split_id", "text"), a.job)
+
 
-    lines = corpus.select("split_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    kept = splits.cleaned(lines, a.clean)
-    return kept.groupBy("split_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+def _listed(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """(split_id, path): a crawl's list of paths below --base."""
+    paths = splits.read_paths(spark, a.input)
+    return paths.select(F.col("index").cast("int").alias("split_id"), F.concat(F.lit(a.base.rstrip("/") + "/" if a.base else ""), "path").alias("path"))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -42,6 +59,18 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--clean", choices=splits.CLEAN_MODES)
         c.add_argument("-r", "--reducers", type=int, default=8)
         c.add_argument("--show", type=int, default=10)
+        c.add_argument("--direct-read", action="store_true", help="the input is a crawl's list of paths, read where they are")
+        c.add_argument("--base")
+    for name in ("ingest", "crawl"):
+        c = sub.add_parser(name)
+        c.add_argument("-i", "--input", required=True, help="a crawl's list of paths")
+        c.add_argument("--base", help="what stands before each path")
+        c.add_argument("-o", "--output", required=True)
+    sub.choices["ingest"].add_argument("-n", "--splits", type=int)
+    sub.choices["ingest"].add_argument("--clean", choices=splits.CLEAN_MODES, default="predownload")
+    sub.choices["ingest"].add_argument("--missing-only", action="store_true")
+    sub.choices["crawl"].add_argument("--index", type=int, default=0)
+    sub.choices["crawl"].add_argument("--max-lines", type=int, default=200_000)
     c = sub.add_parser("stream")
     c.add_argument("-i", "--input", required=True)
     c.add_argument("-o", "--output", required=True)
@@ -51,13 +80,19 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("corpuscount").getOrCreate()
     if a.command == "count":
-        sinks.write_parts(jobs.count(_corpus(spark, a), a.job), a.output, a.reducers)
+        sinks.write_parts(_counts(spark, a), a.output, a.reducers)
+        return 0
+    if a.command == "ingest":
+        (splits.add_missing if a.missing_only else splits.ingest)(spark, splits.below(_listed(spark, a), a.splits), a.output, a.clean)
+        return 0
+    if a.command == "crawl":
+        stream.publish(splits.read_sources(spark, _listed(spark, a).where(F.col("split_id") == a.index)), a.output, a.max_lines)
         return 0
     if a.command == "stream":
         stream.run(stream.line_stream(spark, a.input, strict=True), a.output, a.checkpoint, a.timeout)
         sinks.show_top(stream.latest(stream.read_changelog(spark, a.output)), a.top)
         return 0
-    expected, actual = jobs.count(_corpus(spark, a), a.job), splits.read_parts(spark, a.output).select("key", "n")
+    expected, actual = _counts(spark, a), splits.read_parts(spark, a.output).select("key", "n")
     found = compare.summary(expected, actual).first()
     print(found.asDict())
     if not found["expected_keys"] or not found["actual_keys"]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The score of a machine whose figures can't be read, and the domain that machine names get.
-UNREADABLE, DOMAIN = 999.0, ".enst.fr"
+#: Fixed value: the score of a machine whose figures can't be read.
+UNREADABLE = 999.0
 
 
 def plain_host(host: Column) -> Column:
@@ -18,7 +18,7 @@ def numeric_or(value: Column, default: float = UNREADABLE) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(float(default)))
 
 
-def full_name(name: Column, domain: str = DOMAIN) -> Column:
+def full_name(name: Column, domain: str) -> Column:
     return F.concat(name, F.lit(domain))
 
 

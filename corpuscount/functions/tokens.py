@@ -42,7 +42,13 @@ def reducer(key: Column | str, reducers: int) -> Column:
     return (crc(key) % reducers).cast("int")
 
 
+#: Byte sequences of UTF-8, one character for each byte.
+_UTF8 = r"[\x00-\x7F]++|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+
+
 def decoded(content: Column | str) -> Column:
-    """UTF-8 without the bytes that aren't: what stands around them is joined. A genuine U+FFFD goes too."""
+    """UTF-8 without the bytes that aren't: what stands around them is joined. Only invalid content is looked at byte by byte."""
     c = F.col(content) if isinstance(content, str) else content
-    return F.regexp_replace(F.make_valid_utf8(c.cast("string")), "�", "")
+    raw = c.cast("binary")
+    mended = F.decode(F.encode(F.regexp_replace(latin1(raw), f"({_UTF8})|[\\s\\S]", "$1"), "ISO-8859-1"), "UTF-8")
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(mended)

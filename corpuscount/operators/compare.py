@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(key, expected, actual, status): differing, missing and extra keys. One full outer join."""
+def matched(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(key, expected, actual, status) of all keys: same, differs, missing or extra. One full outer join."""
     a = expected.select(F.col("key").alias("ka"), F.col("n").alias("expected"))
     b = actual.select(F.col("key").alias("kb"), F.col("n").alias("actual"))
     both = a.join(b, a["ka"].eqNullSafe(b["kb"]), "full_outer")
-    status = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("differs")
-    return both.where(~F.col("expected").eqNullSafe(F.col("actual"))).select(F.coalesce("ka", "kb").alias("key"), "expected", "actual", status.alias("status"))
+    same = F.col("expected").eqNullSafe(F.col("actual"))
+    status = F.when(same, "same").when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("differs")
+    return both.select(F.coalesce("ka", "kb").alias("key"), "expected", "actual", status.alias("status"))
+
+
+def diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(key, expected, actual, status): differing, missing and extra keys."""
+    return matched(expected, actual).where("status <> 'same'")
 
 
 def mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -26,11 +32,14 @@ def extras(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def summary(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row: distinct keys and totals of both, how many keys differ, are missing or extra, and whether all agrees."""
-    sides = expected.select("n", F.lit(0).alias("side")).unionByName(actual.select("n", F.lit(1).alias("side")))
-    of = lambda side, value: F.coalesce(F.sum(F.when(F.col("side") == side, value)), F.lit(0)).cast("long")
-    sizes = sides.agg(of(0, F.lit(1)).alias("expected_keys"), of(1, F.lit(1)).alias("actual_keys"), of(0, F.col("n")).alias("expected_total"), of(1, F.col("n")).alias("actual_total"))
-    found = diff(expected, actual).agg(*[F.count(F.when(F.col("status") == s, 1)).alias(c) for s, c in (("differs", "differing"), ("missing", "missing"), ("extra", "extra"))])
-    return sizes.join(found).withColumn("equal", F.expr("differing + missing + extra = 0 and expected_keys = actual_keys and expected_total = actual_total"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    times = lambda s: F.count(F.when(F.col("status") == s, 1))
+    # one join, one aggregation
+    found = matched(expected, actual).agg(
+        F.count("expected").alias("expected_keys"), F.count("actual").alias("actual_keys"), total("expected").alias("expected_total"), total("actual").alias("actual_total"),
+        times("differs").alias("differing"), times("missing").alias("missing"), times("extra").alias("extra"),
+    )
+    return found.withColumn("equal", F.expr("differing + missing + extra = 0 and expected_keys = actual_keys and expected_total = actual_total"))
 
 
 def agree(expected: DataFrame, actual: DataFrame) -> bool:

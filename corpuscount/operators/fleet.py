@@ -27,8 +27,8 @@ def usable(machines: DataFrame, prefixes: list[str]) -> DataFrame:
     return machines.where((F.size("m") >= 5) & F.get("m", F.lit(1)).isin("true", "1", "True") & known)
 
 
-def least_occupied(machines: DataFrame, prefixes: list[str], n: int = 10, per_figure: bool = True) -> DataFrame:
-    """(host, score) of the n least occupied machines, ties by name. score: the sum of the three figures.
+def least_occupied(machines: DataFrame, prefixes: list[str], n: int = 10, per_figure: bool = True, domain: str = "") -> DataFrame:
+    """(host, score) of the n least occupied machines, ties by name; the domain follows each name. score: the sum of the three figures.
 
     A figure that can't be read counts as 999; with per_figure False, one such makes the whole score 999.
     """
@@ -37,4 +37,4 @@ def least_occupied(machines: DataFrame, prefixes: list[str], n: int = 10, per_fi
         score = sum((numeric_or(x) for x in figures[1:]), numeric_or(figures[0]))
     else:
         score = numeric_or((figures[0].try_cast("double") + figures[1].try_cast("double") + figures[2].try_cast("double")).cast("string"))
-    return usable(machines, prefixes).select(full_name(F.get("m", F.lit(0))).alias("host"), score.alias("score")).orderBy("score", "host").limit(n)
+    return usable(machines, prefixes).select(full_name(F.get("m", F.lit(0)), domain).alias("host"), score.alias("score")).orderBy("score", "host").limit(n)

@@ -70,10 +70,12 @@ def corpus_of(df: DataFrame, split_id: str, text: str = "text") -> DataFrame:
 def spread(corpus: DataFrame) -> DataFrame:
     """The corpus over all cores, where its files have fewer parts than there are cores.
 
-    A large input has more, and is left as it is: no exchange of text.
+    A large input has more, and is left as it is: no exchange of text. The plan's own estimate of bytes decides; no job is run.
     """
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    if corpus.rdd.getNumPartitions() >= cores:
+    spark = corpus.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * part:
         return corpus
     return corpus.repartition(cores, F.xxhash64(*[c for c, t in corpus.dtypes if c != "text"] or ["text"]))
 

@@ -62,14 +62,22 @@ def curve(runs: DataFrame, serial: float) -> DataFrame:
     return speedup(runs).select("n_workers", "speedup", amdahl(F.col("n_workers"), serial).alias("amdahl"))
 
 
+def phase_breakdown(runs: DataFrame) -> DataFrame:
+    """(n_workers, phase, seconds, percent) of mapping, reducing and the rest of each run: what a stacked figure shows."""
+    rest = F.greatest(F.col("t_total") - F.col("t_map") - F.col("t_reduce"), F.lit(0.0))
+    parts = F.array(*[F.struct(F.lit(p).alias("phase"), c.alias("seconds")) for p, c in (("map", F.col("t_map")), ("reduce", F.col("t_reduce")), ("other", rest))])
+    rows = runs.where("t_total is not null").select("n_workers", "t_total", F.explode(parts).alias("p"))
+    return rows.select("n_workers", "p.phase", "p.seconds", F.when(F.col("t_total") > 0, 100.0 * F.col("p.seconds") / F.col("t_total")).alias("percent"))
+
+
 def best_run(runs: DataFrame) -> DataFrame:
     """The run with the least total time; of equal ones that with the fewest workers."""
     return runs.where("t_total is not null").orderBy("t_total", "n_workers").limit(1)
 
 
-def phase_durations(marks: DataFrame) -> DataFrame:
+def phase_durations(marks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(t_total, t_map, t_reduce) from the times at which a run began, ended mapping and ended."""
-    return marks.select(F.round(F.col("t_end") - F.col("t_start"), 3).alias("t_total"), F.round(F.col("t_map_end") - F.col("t_start"), 3).alias("t_map"), F.round(F.col("t_end") - F.col("t_map_end"), 3).alias("t_reduce"))
+    return marks.select(*(keep or []), F.round(F.col("t_end") - F.col("t_start"), 3).alias("t_total"), F.round(F.col("t_map_end") - F.col("t_start"), 3).alias("t_map"), F.round(F.col("t_end") - F.col("t_map_end"), 3).alias("t_reduce"))
 
 
 def worker_sums(records: DataFrame) -> DataFrame:

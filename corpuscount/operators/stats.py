@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -91,5 +92,21 @@ class Recorder:
             if spent >= min_time * 1e9:
                 break
 
+    def report(self, spark: SparkSession) -> str:
+        """Phases by falling total with their share, categories, the largest of both, and the noisy series: lines of text."""
+        samples = self.samples(spark)
+        lines = [f"{r['label']}: {r['total'] / 1e9:.6f} s ({r['percent']:.1f} %)" for r in phases(samples).collect()]
+        lines += [f"[{r['category']}] {r['total'] / 1e9:.6f} s ({r['percent']:.1f} %)" for r in category_rollup(samples).collect()]
+        lines += [f"largest {r['kind']}: {r['name']}" for r in bottleneck(samples).orderBy("kind").collect()]
+        return "\n".join(lines + [f"noisy: {r['label']} (cv {r['cv']:.2f})" for r in noisy(samples).orderBy("label").collect()])
+
+    def save(self, path: str) -> None:
+        """The series as JSON: label -> category and samples in nanoseconds."""
+        out: dict[str, dict] = {}
+        for _, label, category, ns in self.rows:
+            out.setdefault(label, {"category": category, "samples_ns": []})["samples_ns"].append(ns)
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(out, f, indent=1)
+
     def samples(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "seq long, label string, category string, sample long")

@@ -15,8 +15,6 @@ from corpuscount.sources import splits
 from corpuscount.streaming import wordcount as stream
 
 REDUCERS = 8
-#: Measured runs (workers, total, map, reduce seconds).
-RUNS = ((1, 521.659, 490.546, 31.114), (2, 262.795, 245.258, 17.537), (4, 137.150, 126.892, 10.258), (8, 84.596, 77.686, 6.909), (16, 67.367, 60.986, 6.382))
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,35 +147,42 @@ def reducer_load(spark: SparkSession, d: str) -> DataFrame:
     return layout.load(wordcount(spark, d), REDUCERS)
 
 
-@query(f"WITH {_WC} SELECT key, CAST(0 AS BIGINT) AS reducers FROM wc WHERE n < 0")
-def reducer_disjoint(spark: SparkSession, d: str) -> DataFrame:
-    """Written parts, read again: keys that lie in more than one (none)."""
+def _misplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Written parts, read again, with every key of 12 letters in a second reducer's part as well."""
     from corpuscount.sources.sinks import write_parts
 
     path = shared_dir(spark)
     write_parts(wordcount(spark, d), path, REDUCERS)
-    return layout.split_keys(splits.read_parts(spark, path))
+    parts = splits.read_parts(spark, path).select("key", "n", "reducer_id")
+    return parts.unionByName(parts.where(F.length("key") == 12).withColumn("reducer_id", ((F.col("reducer_id") + 1) % REDUCERS).cast("int")))
+
+
+@query(f"WITH {_WC} SELECT key, CAST(2 AS BIGINT) AS reducers FROM wc WHERE length(key) = 12")
+def reducer_disjoint(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that lie in more than one part: those that were put there, and no others."""
+    return layout.split_keys(_misplaced(spark, d))
 
 
 @query(f"WITH {_WC} SELECT key, n, CAST(row_number() OVER (PARTITION BY reducer_id ORDER BY n DESC, key) AS BIGINT) AS place FROM (WITH {_CRC} SELECT * FROM rid) AS r")
 def parts_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Parts as they were written: each key with its place in its part."""
-    from pyspark.sql import Window as W
-
     from corpuscount.sources.sinks import write_parts
 
     path = shared_dir(spark)
     write_parts(wordcount(spark, d), path, REDUCERS)
-    w = W.partitionBy("reducer_id").orderBy(F.desc("n"), "key")
-    return splits.read_parts(spark, path).select("key", "n", F.row_number().over(w).cast("long").alias("place"))
+    return splits.read_parts(spark, path).select("key", "n", "place")
 
 
 @query(f"""WITH {_TOK}, {_SW}, {_BG}, k AS (SELECT 'wordcount' AS job, t AS key FROM tok UNION ALL SELECT 'wordlen', CAST(length(t) AS VARCHAR) FROM tok UNION ALL SELECT 'lang', sw.lang FROM tok JOIN sw ON tok.t = sw.word UNION ALL SELECT 'bigram', key FROM bt)
 SELECT job, count(DISTINCT key) AS distinct_keys, count(*) AS total FROM k GROUP BY job""")
 def job_totals(spark: SparkSession, d: str) -> DataFrame:
+    # lengths and languages are those of the counted words: two passes over the text, not four
+    words = jobs.count(_docs(spark, d), "wordcount")
+    lengths = words.groupBy(F.length("key").alias("key")).agg(F.sum("n").alias("n"))
+    langs = words.join(F.broadcast(langdict.language_words(spark)), words["key"] == F.col("word")).groupBy(F.col("lang").alias("key")).agg(F.sum("n").alias("n"))
     out = None
-    for name in ("wordcount", "lang", "wordlen", "bigram"):
-        one = jobs.totals(jobs.count(_docs(spark, d), name)).select(F.lit(name).alias("job"), "distinct_keys", "total")
+    for name, counts in (("wordcount", words), ("lang", langs), ("wordlen", lengths), ("bigram", jobs.count(_docs(spark, d), "bigram"))):
+        one = jobs.totals(counts).select(F.lit(name).alias("job"), "distinct_keys", "total")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -191,12 +196,12 @@ def conservation(spark: SparkSession, d: str) -> DataFrame:
 
 def _changed(counts: DataFrame) -> DataFrame:
     """A copy with some keys dropped, some counts raised and one key added."""
-    c = F.crc32(F.col("key").cast("binary"))
+    c = F.col("n") + 7 * F.length("key")
     changed = counts.where(c % 97 != 0).select("key", F.when(c % 89 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("n"))
     return changed.unionByName(counts.sparkSession.sql("select '#extra' as key, 5L as n"))
 
 
-_PERTURBED = f"{_WC}, {_CRC.replace('% 8 AS INTEGER) AS reducer_id', 'AS BIGINT) AS crc')}, b AS (SELECT key, CASE WHEN crc % 89 = 0 THEN n + 1 ELSE n END AS n FROM rid WHERE crc % 97 <> 0 UNION ALL SELECT '#extra', 5), f AS (SELECT coalesce(wc.key, b.key) AS key, wc.n AS expected, b.n AS actual, CASE WHEN b.n IS NULL THEN 'missing' WHEN wc.n IS NULL THEN 'extra' ELSE 'differs' END AS status FROM wc FULL JOIN b ON wc.key = b.key WHERE wc.n IS DISTINCT FROM b.n)"
+_PERTURBED = f"{_TOK}, wc AS MATERIALIZED (SELECT t AS key, count(*) AS n FROM tok GROUP BY t), b AS (SELECT key, CASE WHEN (n + 7 * length(key)) % 89 = 0 THEN n + 1 ELSE n END AS n FROM wc WHERE (n + 7 * length(key)) % 97 <> 0 UNION ALL SELECT '#extra', 5), f AS (SELECT coalesce(wc.key, b.key) AS key, wc.n AS expected, b.n AS actual, CASE WHEN b.n IS NULL THEN 'missing' WHEN wc.n IS NULL THEN 'extra' ELSE 'differs' END AS status FROM wc FULL JOIN b ON wc.key = b.key WHERE wc.n IS DISTINCT FROM b.n)"
 
 
 @query(f"WITH {_PERTURBED} SELECT key, expected, actual, status FROM f")
@@ -242,9 +247,11 @@ def lang_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return langdict.language_words(spark)
 
 
-@query("SELECT event_type AS key, CAST(arg_max(event_id, event_id) AS BIGINT) AS n FROM events GROUP BY 1")
+@query("SELECT event_type AS key, CAST(arg_max(event_id * 7919 % 1000 - event_id, event_id) AS BIGINT) AS n FROM events GROUP BY 1")
 def changelog_last(spark: SparkSession, d: str) -> DataFrame:
-    return stream.latest(_table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("n"), F.col("event_id").alias("seq")), "seq")
+    """Values that rise and fall: the last one counts, not the largest."""
+    k = F.col("event_id")
+    return stream.latest(_table(spark, d, "events").select(F.col("event_type").alias("key"), (k * 7919 % 1000 - k).alias("n"), k.alias("seq")), "seq")
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -292,37 +299,46 @@ def bottleneck(spark: SparkSession, d: str) -> DataFrame:
     return _r(stats.bottleneck(_samples(spark, d)), "total")
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({n}, {t}D, {m}D, {r}D)" for n, t, m, r in RUNS)
-    return spark.sql(f"select n_workers, t_total, t_map, t_reduce from values {rows} as v(n_workers, t_total, t_map, t_reduce)")
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of 1, 3, … 15 workers, made of events: their number gives the work, their largest value a serial part."""
+    e = _table(spark, d, "events").groupBy((F.col("event_id") % 8 * 2 + 1).cast("int").alias("n_workers")).agg(F.count(F.lit(1)).alias("c"), F.max("value").alias("m"))
+    return e.select("n_workers", (20.0 + F.col("c") / F.col("n_workers") + F.col("m") / 64.0).alias("t_total"), (F.col("c") / F.col("n_workers")).alias("t_map"), (F.col("m") / 64.0).alias("t_reduce"))
 
 
-_RUNS = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, CAST({t} AS DOUBLE), CAST({m} AS DOUBLE), CAST({x} AS DOUBLE))" for n, t, m, x in RUNS) + ") AS v(n_workers, t_total, t_map, t_reduce)), sp AS (SELECT *, 521.659 / t_total AS speedup FROM r)"
+_RUNS = """ev AS (SELECT CAST(event_id % 8 * 2 + 1 AS INTEGER) AS n_workers, count(*) AS c, max(value) AS m FROM events GROUP BY 1),
+r AS (SELECT n_workers, 20::DOUBLE + c::DOUBLE / n_workers + m::DOUBLE / 64 AS t_total, c::DOUBLE / n_workers AS t_map, m::DOUBLE / 64 AS t_reduce FROM ev), sp AS (SELECT *, (SELECT t_total FROM r WHERE n_workers = 1) / t_total AS speedup FROM r)"""
 
 
 @query(f"WITH {_RUNS} SELECT n_workers, t_total, round(speedup, 6) AS speedup FROM sp")
 def speedup(spark: SparkSession, d: str) -> DataFrame:
-    return _r(scaling.speedup(_runs(spark)).select("n_workers", "t_total", "speedup"), "speedup", digits=6)
+    return _r(scaling.speedup(_runs(spark, d)).select("n_workers", "t_total", "speedup"), "speedup", digits=6)
 
 
-@query(f"WITH {_RUNS} SELECT n_workers, round(1 / (0.065 + 0.935 / n_workers), 6) AS amdahl FROM sp")
+@query(f"WITH {_RUNS} SELECT n_workers, round(1 / (0.065::DOUBLE + (1 - 0.065::DOUBLE) / n_workers), 6) AS amdahl FROM sp")
 def amdahl_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark).select("n_workers", F.round(amdahl(F.col("n_workers"), 0.065), 6).alias("amdahl"))
+    return _runs(spark, d).select("n_workers", F.round(amdahl(F.col("n_workers"), 0.065), 6).alias("amdahl"))
 
 
-@query(f"WITH {_RUNS} SELECT n_workers, CASE WHEN n_workers > 1 THEN round((1 / speedup - 1.0 / n_workers) / (1 - 1.0 / n_workers), 6) END AS serial FROM sp")
+@query(f"WITH {_RUNS} SELECT n_workers, CASE WHEN n_workers > 1 THEN round((1 / speedup - 1::DOUBLE / n_workers) / (1 - 1::DOUBLE / n_workers), 6) END AS serial FROM sp")
 def karp_flatt_serial(spark: SparkSession, d: str) -> DataFrame:
-    return scaling.speedup(_runs(spark)).select("n_workers", F.round(karp_flatt(F.col("speedup"), F.col("n_workers")), 6).alias("serial"))
+    return scaling.speedup(_runs(spark, d)).select("n_workers", F.round(karp_flatt(F.col("speedup"), F.col("n_workers")), 6).alias("serial"))
+
 
+#: The least squared distance over ever finer grids, each around the best of the one before.
+_FIT = _RUNS + "".join(
+    f", g{k} AS (SELECT f FROM (SELECT f, sum((1 / (f + (1 - f) / n_workers) - speedup) * (1 / (f + (1 - f) / n_workers) - speedup)) AS e FROM sp, (SELECT {at} AS f FROM (SELECT unnest(range(0, 1001)) AS i)) AS grid WHERE f BETWEEN 1e-12 AND 1 GROUP BY f) ORDER BY e, f LIMIT 1)"
+    for k, at in ((1, "i / 1000.0::DOUBLE"), (2, "(SELECT f FROM g1) + (i - 500) / 400000.0::DOUBLE"), (3, "(SELECT f FROM g2) + (i - 500) / 160000000.0::DOUBLE"))
+)
 
-@query()
+
+@query(f"WITH {_FIT} SELECT round(f, 6) AS serial_fraction, round(1 / f, 4) AS max_speedup FROM g3")
 def amdahl_fit(spark: SparkSession, d: str) -> DataFrame:
-    return scaling.amdahl_fit(_runs(spark))
+    return scaling.amdahl_fit(_runs(spark, d))
 
 
 @query(f"WITH {_RUNS} SELECT n_workers, t_total FROM sp ORDER BY t_total, n_workers LIMIT 1")
 def best_run(spark: SparkSession, d: str) -> DataFrame:
-    return scaling.best_run(_runs(spark)).select("n_workers", "t_total")
+    return scaling.best_run(_runs(spark, d)).select("n_workers", "t_total")
 
 
 @query("SELECT event_id, CASE WHEN ns >= 1e9 THEN printf('%.3f s', ns / 1e9) WHEN ns >= 1e6 THEN printf('%.3f ms', ns / 1e6) WHEN ns >= 1e3 THEN printf('%.3f µs', ns / 1e3) ELSE printf('%d ns', ns) END AS took FROM (SELECT event_id, (event_id % 10 + 1) * CAST(power(10, event_id % 10) AS BIGINT) AS ns FROM events)")
@@ -352,13 +368,13 @@ def hosts_by_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT (CASE WHEN c_custkey % 3 = 0 THEN 'tp-' ELSE 'xx-' END) || CAST(c_custkey AS VARCHAR) AS name, c_custkey % 5 <> 0 AS alive, c_custkey % 11 AS a, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 7 END AS b, c_nationkey AS c FROM customer)
-SELECT name || '.enst.fr' AS host, CAST(a + coalesce(b, 999) + c AS DOUBLE) AS score FROM m WHERE alive AND starts_with(name, 'tp-') ORDER BY score, host LIMIT 10""")
+SELECT name || '.example.org' AS host, CAST(a + coalesce(b, 999) + c AS DOUBLE) AS score FROM m WHERE alive AND starts_with(name, 'tp-') ORDER BY score, host LIMIT 10""")
 def host_rank(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     text = lambda c: c.cast("string")
     name = F.concat(F.when(k % 3 == 0, "tp-").otherwise("xx-"), text(k))
     m = F.array(name, text(k % 5 != 0), text(k % 11), F.when(k % 13 == 0, "n/a").otherwise(text(k % 7)), text(F.col("c_nationkey")))
-    return fleet.least_occupied(_table(spark, d, "customer").select(m.alias("m")), ["tp-"], 10)
+    return fleet.least_occupied(_table(spark, d, "customer").select(m.alias("m")), ["tp-"], 10, domain=".example.org")
 
 
 def _staged(spark: SparkSession, d: str) -> str:
@@ -383,11 +399,7 @@ def tokens_by_split(spark: SparkSession, d: str) -> DataFrame:
     return jobs.job("wordcount").keys(docs, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 1 AS one WHERE false")
+@query(f"WITH {_WC} SELECT key, n FROM wc WHERE length(key) = 12")
 def keys_of_wrong_reducer(spark: SparkSession, d: str) -> DataFrame:
-    """Read parts whose key's checksum names another reducer (none)."""
-    from corpuscount.sources.sinks import write_parts
-
-    path = shared_dir(spark)
-    write_parts(wordcount(spark, d), path, REDUCERS)
-    return splits.read_parts(spark, path).where(F.col("reducer_id") != reducer("key", REDUCERS)).select(F.lit(1).alias("one"))
+    """Read parts whose key's checksum names another reducer: those that were put there, and no others."""
+    return _misplaced(spark, d).where(F.col("reducer_id") != reducer("key", REDUCERS)).select("key", "n")

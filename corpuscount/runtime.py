@@ -35,11 +35,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a folder of this machine stands in
-    only where that setting is absent, as in tests.
+    The cluster names the folder in ``spark.checkpoint.dir``. A folder of this machine stands in only where that setting is
+    absent and all of Spark runs on this machine, as in tests; elsewhere that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "corpuscount-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/corpuscount-{uuid.uuid4().hex}"

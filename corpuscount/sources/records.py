@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import socket
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +64,36 @@ def read_load(spark: SparkSession, path: str, host: Column) -> DataFrame:
     return load_samples(spark.read.text(path).select(host.alias("host"), F.col("value").alias("line")))
 
 
+def ask_hosts(hosts: DataFrame, port: int, timeout: float = 3.0, at_once: int = 20) -> DataFrame:
+    """(host, l1, l5, l15) from the load service of every host: a line of text on a TCP port; nulls where a host doesn't answer.
+
+    Each task asks its own hosts, ``at_once`` at a time. A refused or late answer is data, not a failure.
+    """
+
+    def ask(host: str) -> str | None:
+        try:
+            with socket.create_connection((host, port), timeout=timeout) as s:
+                s.settimeout(timeout)
+                got = b""
+                while chunk := s.recv(4096):
+                    got += chunk
+                return got.decode("utf-8", "ignore").strip() or None
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                yield pd.DataFrame({"host": b["host"], "line": list(pool.map(ask, b["host"]))})
+
+    return load_samples(hosts.select("host").mapInPandas(run, "host string, line string"))
+
+
+def with_missing(hosts: DataFrame, samples: DataFrame) -> DataFrame:
+    """A row for every host: its sample, or nulls where it has none."""
+    return hosts.select("host").distinct().join(samples, "host", "left")
+
+
 def read_machines(spark: SparkSession, path: str) -> DataFrame:
     """(m): the rows under ``data`` of a machine list in JSON, each an array of strings."""
     raw = spark.read.text(path, wholetext=True)

@@ -6,9 +6,11 @@ A missing or unreadable file ends the job: nothing is left out in silence.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscount.functions.tokens import decoded, latin1
+from corpuscount.sources.sinks import write_named
 
 SPLIT_NAME = r"commoncrawl-(\d{4})\.txt$"
 #: How header lines begin, in batch (case matters) and in strict cleaning (case doesn't).
@@ -36,7 +38,7 @@ def below(df: DataFrame, n: int | None) -> DataFrame:
 
 def read_splits(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(split_id, text), a row for each file: its bytes, one character each."""
-    files = spark.read.format("binaryFile").options(**_WHOLE).option("pathGlobFilter", "commoncrawl-*.txt").load(path)
+    files = spark.read.format("binaryFile").options(**_WHOLE).option("recursiveFileLookup", "true").option("pathGlobFilter", "commoncrawl-*.txt").load(path)
     return below(files.select(split_id(F.col("path")).alias("split_id"), latin1("content").alias("text")), n)
 
 
@@ -49,29 +51,34 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
 
 
-def cleaned(lines: DataFrame, mode: str = "direct", col: str = "text") -> DataFrame:
-    """Lines as one of CLEAN_MODES leaves them."""
+def kept_lines(text: Column, mode: str = "direct") -> Column:
+    """Array of the lines of a text (or of a line) that one of CLEAN_MODES leaves, as it leaves them."""
     if mode not in CLEAN_MODES:
         raise ValueError(f"unknown clean mode {mode!r}: one of {', '.join(CLEAN_MODES)}")
-    if mode in ("predownload", "ondemand"):  # any line break counts there
-        lines = lines.withColumn(col, F.explode(F.split(decoded(col), "\r\n|\r|\n")))
-    if mode == "ondemand":
-        return lines
-    return lines.where(~F.col(col).rlike(STRICT_HEADER if mode == "strict" else BATCH_HEADER))
+    # any line break counts where text is decoded; at the end of a line that was cut at \n it belongs to that break
+    lines = F.split(F.regexp_replace(decoded(text), r"\r\z", ""), "\r\n|\r|\n") if mode in ("predownload", "ondemand") else F.split(text, "\n")
+    header = STRICT_HEADER if mode == "strict" else BATCH_HEADER
+    return lines if mode == "ondemand" else F.filter(lines, lambda x: ~x.rlike(header))
+
+
+def cleaned(lines: DataFrame, mode: str = "direct", col: str = "text") -> DataFrame:
+    """Lines as one of CLEAN_MODES leaves them."""
+    return lines.withColumn(col, F.explode(kept_lines(F.col(col), mode)))
 
 
 def capped(lines: DataFrame, most: int = 200_000) -> DataFrame:
-    """The first ``most`` lines; all of them for 0."""
-    return lines.limit(most) if most else lines
+    """The first ``most`` lines (file, block, line_no, …) in the order of files; all of them for 0."""
+    return lines.orderBy("file", "block", "line_no").limit(most) if most else lines
 
 
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
     """(index, path): the non-blank lines of a crawl's list of paths, gzip or plain, numbered from 0.
 
-    The list is one file of some megabytes, in the order that counts; gzip can't be split anyway.
+    The list is one file of some megabytes, in the order that counts, which one task numbers.
     """
-    rows = spark.read.options(**_WHOLE).text(path).where(F.trim("value") != "").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0].strip()))
-    return rows.toDF("index long, path string")
+    lines = read_lines(spark, path).where(F.trim("text") != "")
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("file", "block", "line_no"))
+    return lines.select((place - 1).cast("long").alias("index"), F.trim("text").alias("path"))
 
 
 def nth_path(paths: DataFrame, index: int) -> DataFrame:
@@ -88,31 +95,71 @@ def acquire(spark: SparkSession, wanted: int, local: str, remote: DataFrame) ->
 
     Fails where neither exists. Reading is Spark's: remote paths may be of any file system that it knows.
     """
-    # Spark's own listing of the folder: a scan would leave out empty files
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "commoncrawl-*.txt").load(local).inputFiles()
-    files = spark.createDataFrame([(p,) for p in listed], "path string")
-    here = files.select(split_id(F.col("path")).alias("split_id"), F.col("path").alias("local"))
+    here = split_files(spark, local).withColumnRenamed("path", "local")
     there = remote.select(F.col("index").cast("int").alias("split_id"), F.col("path").alias("remote"))
     ids = spark.range(wanted).select(F.col("id").cast("int").alias("split_id"))
     found = ids.join(here, "split_id", "left").join(there, "split_id", "left").select("split_id", F.coalesce("local", "remote").alias("path"))
     return found.select("split_id", F.when(F.col("path").isNull(), F.raise_error(F.concat(F.lit("no source for split "), F.col("split_id").cast("string")))).otherwise(F.col("path")).alias("path"))
 
 
-def ingest(spark: SparkSession, sources: list[str], target: str, mode: str = "predownload") -> None:
-    """Clean each source into one split file of the target folder, numbered in order (also with gzip sources)."""
-    for k, path in enumerate(sources):  # one small plan each; a single file is written for each split
-        cleaned(read_lines(spark, path).select("text"), mode).coalesce(1).write.mode("overwrite").text(f"{target}/split_id={k:04d}")
+def _plain(path: Column | str) -> Column:
+    """A path with one slash after its scheme, as file listings and users write it."""
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/*", "$1:/")
+
+
+def read_sources(spark: SparkSession, sources: DataFrame) -> DataFrame:
+    """(split_id, file, block, line_no, text): the lines of sources (split_id, path), text or gzip files that Spark reads where they are.
+
+    One scan of all files; nothing is fetched to a disk first, so there is nothing to delete. Only the paths come to the
+    driver, as for any scan.
+    """
+    default = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).toString().rstrip("/")
+    named = sources.select("split_id", "path", F.when(F.col("path").startswith("/"), F.concat(F.lit(default), "path")).otherwise(F.col("path")).alias("whole"))
+    paths = [r["path"] for r in named.select("path").toLocalIterator()]
+    if not paths:
+        raise ValueError("no source")
+    lines = spark.read.options(**_WHOLE).option("lineSep", "\n").text(paths)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
+    return lines.join(named.select("split_id", _plain("whole").alias("__file")), _plain(F.col("file")) == F.col("__file")).drop("__file")
+
+
+def ingest(spark: SparkSession, sources: DataFrame, target: str, mode: str = "predownload") -> None:
+    """Clean sources (split_id, path) into the split files of the target folder, which read_splits() reads. One job for all.
+
+    The lines are cleaned where they are read, and meet by split in the one exchange.
+    """
+    lines = read_sources(spark, sources)
+    value = F.array_join(kept_lines(F.col("text"), mode), "\n")
+    # a line of the file may be several, or none once headers are out
+    rows = lines.where(F.size(kept_lines(F.col("text"), mode)) > 0).select("split_id", "block", "line_no", value.alias("value"))
+    ids = [r[0] for r in sources.select("split_id").toLocalIterator()]
+    rows = rows.repartition(max(1, min(len(ids), 10_000)), "split_id").sortWithinPartitions("split_id", "block", "line_no")
+    write_named(rows, target, "split_id", lambda k: f"commoncrawl-{k:04d}.txt", ids)
 
 
-def read_ingested(spark: SparkSession, path: str) -> DataFrame:
-    """(split_id, line) of what ingest() wrote."""
-    return spark.read.options(**_WHOLE).text(path).select("split_id", F.col("value").alias("text"))
+def add_missing(spark: SparkSession, wanted: DataFrame, target: str, mode: str = "predownload") -> list[int]:
+    """Ingest those of wanted (split_id, path) that the target folder lacks, into a folder of their own in it; their numbers."""
+    present = split_files(spark, target)
+    new = missing(wanted, present).join(wanted, "split_id")
+    ids = sorted(r[0] for r in new.select("split_id").toLocalIterator())
+    if ids:
+        ingest(spark, new, f"{target}/from-{ids[0]:04d}", mode)
+    return ids
+
+
+def split_files(spark: SparkSession, path: str) -> DataFrame:
+    """(split_id, path) of the split files in a folder and its subfolders, empty ones too: Spark's own listing, nothing is read."""
+    files = spark.read.format("binaryFile").options(**_WHOLE).option("recursiveFileLookup", "true").option("pathGlobFilter", "commoncrawl-*.txt").load(path)
+    return spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(split_id(F.col("path")).alias("split_id"), "path")
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """(key, n, reducer_id) of a result: part files of lines ``key<tab>count``, cut at the last tab; blank lines don't count."""
-    lines = spark.read.options(**_WHOLE).text(path)
-    at = F.col("_metadata.file_path")
+    """(key, n, reducer_id, place) of a result: part files of lines ``key<tab>count``, cut at the last tab; blank lines don't count.
+
+    place: the line's place among those of its file, from 1.
+    """
+    lines = spark.read.options(**_WHOLE).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
+    at = F.col("file")
     rid = F.coalesce(F.regexp_extract(at, r"reducer_id=(\d+)", 1).try_cast("int"), F.regexp_extract(at, r"part-(\d+)\.txt$", 1).try_cast("int"))
     v = F.col("value")
-    return lines.where(F.trim(v) != "").select(v.substr(F.lit(1), F.char_length(v) - F.char_length(F.substring_index(v, "\t", -1)) - 1).alias("key"), F.substring_index(v, "\t", -1).cast("long").alias("n"), rid.alias("reducer_id"))
+    return lines.where(F.trim(v) != "").select(v.substr(F.lit(1), F.char_length(v) - F.char_length(F.substring_index(v, "\t", -1)) - 1).alias("key"), F.substring_index(v, "\t", -1).cast("long").alias("n"), rid.alias("reducer_id"), "file", "block", "line_no").select("key", "n", "reducer_id", F.row_number().over(W.partitionBy("file").orderBy("block", "line_no")).cast("long").alias("place"))

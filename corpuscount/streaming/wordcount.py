@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscount.functions.tokens import tokens
 from corpuscount.runtime import shared_dir
-from corpuscount.sources.splits import STRICT_HEADER
+from corpuscount.sources.splits import STRICT_HEADER, capped, cleaned
 
 CHANGELOG = "batch long, key string, n long"
 
@@ -30,6 +30,11 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("value"))
 
 
+def publish(lines: DataFrame, folder: str, most: int = 200_000) -> None:
+    """Put a crawl's lines (file, block, line_no, text) where line_stream() reads: headers out, then the first ``most`` (0: all)."""
+    capped(cleaned(lines, "strict"), most).select(F.col("text").alias("value")).write.mode("append").text(folder)
+
+
 def word_counts(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(tokens("value")).alias("token")).groupBy(F.lower("token").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -15,3 +15,18 @@ def test_count_then_validate(spark, tmp_path):
     assert main(["validate", "-i", str(src), "-o", str(tmp_path / "bigram"), "-j", "bigram", "-n", "1"]) == 1
     assert main(["count", "-i", str(src), "-o", str(tmp_path / "c"), "--clean", "direct"]) == 0
     assert main(["validate", "-i", str(src), "-o", str(tmp_path / "c"), "--clean", "direct"]) == 0
+
+
+def test_ingest_direct_read_and_crawl(spark, tmp_path):
+    import gzip
+
+    for k, x in enumerate(("the cat\nContent-Type: x\nsat", "le chat et the dog")):
+        (tmp_path / f"{k}.gz").write_bytes(gzip.compress(x.encode()))
+    (tmp_path / "paths.gz").write_bytes(gzip.compress(b"0.gz\n\n1.gz\n"))
+    listed = ["-i", str(tmp_path / "paths.gz"), "--base", str(tmp_path)]
+    assert main(["ingest", *listed, "-o", str(tmp_path / "s"), "-n", "1"]) == 0
+    assert main(["ingest", *listed, "-o", str(tmp_path / "s"), "--missing-only"]) == 0
+    assert main(["count", "-i", str(tmp_path / "s"), "-o", str(tmp_path / "a"), "-j", "bigram"]) == 0
+    assert main(["validate", *listed, "--direct-read", "-o", str(tmp_path / "a"), "-j", "bigram"]) == 0
+    assert main(["crawl", *listed, "-o", str(tmp_path / "topic"), "--index", "1", "--max-lines", "1"]) == 0
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "topic")).collect()] == ["le chat et the dog"]

@@ -100,7 +100,10 @@ def test_layout_and_round_trip(spark, tmp_path):
     assert got(back) == got(counts)
     assert not layout.split_keys(back).count()
     assert not back.where(F.col("reducer_id") != reducer("key", 5)).count()
-    for f in (tmp_path / "p").glob("*/part*"):
+    assert sorted(f.name for f in (tmp_path / "p").iterdir() if f.suffix == ".txt" and not f.name.startswith(".")) == [f"part-{r}.txt" for r in range(5)]
+    sinks.write_parts(counts.where("key = 'x'"), str(tmp_path / "q"), 3)
+    assert sorted(f.stat().st_size for f in (tmp_path / "q").glob("part-*.txt")) == [0, 0, 4]
+    for f in (tmp_path / "p").glob("part*"):
         n = [int(x.split("\t")[1]) for x in f.read_text().splitlines()]
         assert n == sorted(n, reverse=True)
 
@@ -144,5 +147,9 @@ def test_gzip_members_and_path_list(spark, tmp_path):
     assert [r["text"] for r in splits.read_lines(spark, str(tmp_path / "a.gz")).collect()] == ["one", "two", "three"]
     (tmp_path / "paths.gz").write_bytes(gzip.compress(b"p0\n\np1\n"))
     assert splits.nth_path(splits.read_paths(spark, str(tmp_path / "paths.gz")), 1).first()["path"] == "p1"
-    splits.ingest(spark, [str(tmp_path / "a.gz")], str(tmp_path / "out"))
-    assert {r["text"] for r in splits.read_ingested(spark, str(tmp_path / "out")).collect()} == {"one", "two", "three"}
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"Content-Type: x\r\nfo\xe9ur\nfive \xef\xbf\xbd\n"))
+    both = spark.createDataFrame([(k, str(tmp_path / f"{x}.gz")) for k, x in ((0, "a"), (3, "b"))], "split_id int, path string")
+    splits.ingest(spark, both.where("split_id = 0"), str(tmp_path / "out"))
+    assert splits.add_missing(spark, both, str(tmp_path / "out")) == [3] and splits.add_missing(spark, both, str(tmp_path / "out")) == []
+    got_ = {r["split_id"]: r["text"].encode("latin-1") for r in splits.read_splits(spark, str(tmp_path / "out")).collect()}
+    assert got_ == {0: b"one\ntwo\nthree\n", 3: b"four" [:2] + b"ur\nfive \xef\xbf\xbd\n"}

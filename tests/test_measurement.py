@@ -1,14 +1,19 @@
 import json
+import socketserver
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscount.functions.forms import human_duration, load_triple, numeric_or, plain_host
 from corpuscount.operators import fleet, scaling, stats
-from corpuscount.plans.catalogue import RUNS
 from corpuscount.sources import records
 
 
+#: Measured runs (workers, total, map, reduce seconds).
+RUNS = ((1, 521.659, 490.546, 31.114), (2, 262.795, 245.258, 17.537), (4, 137.150, 126.892, 10.258), (8, 84.596, 77.686, 6.909), (16, 67.367, 60.986, 6.382))
+
+
 def test_series(spark):
     rows = [(k, "a", "x", float(k + 1)) for k in range(4)] + [(9, "b", "y", 5.0), (10, "b", "z", 7.0)]
     s = spark.createDataFrame(rows, "seq long, label string, category string, sample double")
@@ -22,13 +27,18 @@ def test_series(spark):
     assert {(r["kind"], r["name"]) for r in stats.bottleneck(s).collect()} == {("phase", "b"), ("category", "y")}
 
 
-def test_recorder(spark):
+def test_recorder(spark, tmp_path):
     r = stats.Recorder()
     with r.phase("p", "io"):
         pass
     r.timed("t")(lambda: 1)()
     r.benchmark("b", lambda: None, min_time=0, warmup=1)
     assert {x["label"] for x in r.samples(spark).collect()} == {"p", "t", "b"}
+    for k in range(6):
+        r.record("q", 10**9 * 4**k, "io")
+    assert "largest phase: q" in r.report(spark) and "noisy: q" in r.report(spark)
+    r.save(str(tmp_path / "t.json"))
+    assert json.loads((tmp_path / "t.json").read_text())["p"]["category"] == "io"
 
 
 def test_scaling(spark):
@@ -64,7 +74,12 @@ def test_fleet(spark, tmp_path):
     assert (s["hosts"], s["reachable"], s["mean_l1"]) == (3, 2, 1.0)
     (tmp_path / "m.json").write_text(json.dumps({"data": [["tp-1", True, 1, 2, 3], ["tp-2", True, 0, "x", 0], ["tp-3", False, 0, 0, 0], ["zz-1", True, 0, 0, 0], ["tp-4", True, 1]]}))
     m = records.read_machines(spark, str(tmp_path / "m.json"))
-    assert [(r["host"], r["score"]) for r in fleet.least_occupied(m, ["tp-"]).collect()] == [("tp-1.enst.fr", 6.0), ("tp-2.enst.fr", 999.0)]
+    assert [(r["host"], r["score"]) for r in fleet.least_occupied(m, ["tp-"], domain=".example.org").collect()] == [("tp-1.example.org", 6.0), ("tp-2.example.org", 999.0)]
+    server = socketserver.TCPServer(("127.0.0.1", 0), type("Load", (socketserver.BaseRequestHandler,), {"handle": lambda self: self.request.sendall(b"0.5 0.25 1.0\n")}))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    asked = records.ask_hosts(spark.createDataFrame([("127.0.0.1",), ("host.invalid",)], "host string"), server.server_address[1], timeout=2)
+    assert sorted(map(str, asked.collect())) == ["Row(host='127.0.0.1', l1=0.5, l5=0.25, l15=1.0)", "Row(host='host.invalid', l1=None, l5=None, l15=None)"]
+    server.shutdown()
     (tmp_path / "hosts").write_text("a\n\n# b\nlocalhost\nc\n")
     assert [r["host"] for r in records.read_hosts(spark, str(tmp_path / "hosts")).collect()] == ["a", "c"]
 
