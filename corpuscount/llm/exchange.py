@@ -27,7 +27,7 @@ from corpuscount.llm.grams import U
 from corpuscount.runtime import parallelism, shared_dir, written
 
 #: Most blocks that a node merges; bytes of text in a block (more only where one text has more); most shuffle partitions asked for.
-FAN, BLOCK_BYTES, MOST_PARTS = 128, 8 << 20, 32_768
+FAN, BLOCK_BYTES, MOST_PARTS = 256, 8 << 20, 32_768
 #: What a list's entries carry: (keys in ascending order, a row of counts for each array).
 Entries = tuple[np.ndarray, np.ndarray]
 
@@ -212,6 +212,7 @@ class Tree:
         for level in range(1, self.levels):
             paths.append(shared_dir(spark))
             ups[-1].write.parquet(paths[-1])
+            freed(spark)
             ups[-1] = spark.read.schema(ups[-1].schema).parquet(paths[-1])
             ups.append(ups[-1].groupBy("g", "r").applyInPandas(climb(level), self.up_schema))
         down = written(ups[-1].groupBy("g", "r").applyInPandas(at_top, self.down_schema))

@@ -11,8 +11,8 @@ some megabytes. A block sends the distinct hashes of its n-grams with its own co
 gets the totals back in the same order: that is its own dictionary, by which it scores its texts. The texts for
 the weights have blocks of their own, so learning reads only those again.
 
-Hashes have 56 bits for words, and for longer n-grams 44 and more, as the corpus grows: at 10**7 words and 10**8 n-grams
-two words share a hash with probability 10**-3 for any pair, and 6 n-grams in a million share theirs.
+Hashes have 56 bits for words: at 10**7 words any two share one with probability 10**-3. Those of longer n-grams have 40
+and more, as the corpus grows: one n-gram in a thousand at most shares its hash with another.
 """
 
 from __future__ import annotations
@@ -30,13 +30,11 @@ from corpuscount.llm.grams import U
 from corpuscount.runtime import parallelism, prepare
 
 #: Bits of the hashes of words; least and most bits of those of longer n-grams.
-WORD_BITS, GRAM_BITS = 56, (44, 60)
+WORD_BITS, GRAM_BITS = 56, (40, 60)
 ORDERS = 3
 #: Held-out texts for the weights: one in so many training texts.
 DELETED = 9
 ROUNDS = 60
-#: Blocks of texts for each shuffle partition at least: a task holds one at a time, with some fifteen arrays over its tokens.
-BLOCKS = 3
 #: Estimates are told apart, for the weights only, to a half of a binary logarithm.
 GRID = 2
 NONE = -(1 << 20)
@@ -183,7 +181,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """
     spark = prepare(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    bits, blocks = gram_bits(total), max(BLOCKS * parallelism(spark), -(-total // exchange.BLOCK_BYTES))
+    bits, blocks = gram_bits(total), max(parallelism(spark), -(-total // exchange.BLOCK_BYTES))
     fold_blocks = max(1, blocks // (DELETED + 1))
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), h.alias("h"))
