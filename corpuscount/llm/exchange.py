@@ -14,11 +14,12 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,18 @@ def lean(f: Callable, *args: object) -> object:
     return out
 
 
+def squeezed(texts: pa.Array) -> pa.Array:
+    """Texts as compressed bytes, for an exchange."""
+    to = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if x is None else to.compress(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def plain(raw: Iterable[bytes | None]) -> list[bytes | None]:
+    """The UTF-8 of texts that were squeezed()."""
+    back = zstandard.ZstdDecompressor()
+    return [None if x is None else back.decompress(x) for x in raw]
+
+
 def freed(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables of the shared folder that nothing reads any more, and have Spark drop the shuffles that were cut off.
 

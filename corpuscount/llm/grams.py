@@ -71,11 +71,12 @@ def word_hashes(buffer: bytes) -> np.ndarray:
 END_HASH = word_hashes(END)[0]
 
 
-def text_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def text_words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of all texts, each text followed by one END_HASH; where each text begins, and the length)."""
     parts = []
     for t in texts:
-        parts += [(t or "").encode("utf-8", "surrogatepass").lower(), END]
+        raw = t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")
+        parts += [raw.lower(), END]
     words = word_hashes(b" ".join(parts))
     ends = np.flatnonzero(words == END_HASH)
     return words, np.concatenate([[0], ends + 1])

@@ -115,7 +115,7 @@ def named_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def blocks_of(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
-    """(block, text): equal texts go to one block, and each task sends a text once."""
+    """(block, text): equal texts go to one block, and each task sends a text once, compressed."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h"), F.length(text_col).alias("n"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +128,14 @@ def blocks_of(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
                     keep.append(k)
             part = b.take(pa.array(keep, pa.int32()))
             block = np.array(part.column(0)).astype(np.int64) % blocks
-            yield pa.RecordBatch.from_arrays([pa.array(block), part.column(2)], ["block", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), exchange.squeezed(part.column(2))], ["block", "text"])
 
-    return exchange.by_block(rows.mapInArrow(run, "block long, text string"), blocks)
+    return exchange.by_block(rows.mapInArrow(run, "block long, text binary"), blocks)
 
 
 def _block_sets(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sets, offsets, names) of a block's distinct sets, in the order of their names."""
-    h, off = sets_of(texts.tolist(), words)
+    h, off = sets_of(exchange.plain(texts), words)
     names = set_names(h, off)
     _, first = np.unique(names, axis=0, return_index=True)
     first = first[np.diff(off)[first] > 0]

@@ -17,10 +17,12 @@ and more, as the corpus grows: one n-gram in a thousand at most shares its hash
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +158,7 @@ def _learn(texts: DataFrame, back: DataFrame, bits: int, tree: Tree, tokens: int
             return pd.DataFrame({x: pd.Series(dtype="int64") for x in [*names, "n"]})
 
         def work() -> pd.DataFrame:
-            b = Block(own["text"].tolist(), bits)
+            b = Block(exchange.plain(own["text"]), bits)
             _, two, one, p = b.estimates([a[0] - a[1] for a in tree.answered(got)], tokens, distinct)
             with np.errstate(divide="ignore"):
                 q = np.where(p > 0, np.rint(GRID * np.log2(p)), NONE).astype(np.int64)
@@ -187,12 +189,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), h.alias("h"))
     deleted = F.col("train") & (F.pmod(F.xxhash64("h"), F.lit(DELETED)) == 0)
     block = F.when(deleted, F.pmod("h", F.lit(fold_blocks))).otherwise(fold_blocks + F.pmod("h", F.lit(blocks)))
-    texts = rows.select("id", "text", "train", block.cast("long").alias("block"))
+    texts = rows.select("id", "train", block.cast("long").alias("block"), "text")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], exchange.squeezed(b.column(3))], ["id", "train", "block", "text"])
+
+    texts = texts.mapInArrow(squeeze, f"id {rows.schema[0].dataType.simpleString()}, train boolean, block long, text binary")
     tree = Tree(blocks + fold_blocks, [Counts(WORD_BITS, 2), Counts(bits, 2), Counts(bits, 2)], fan)
 
     def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(key[0])
-        return lean(lambda: tree.sent(Block(pdf["text"].tolist(), bits).entries(pdf["train"].to_numpy(bool), g < fold_blocks), g))
+        return lean(lambda: tree.sent(Block(exchange.plain(pdf["text"]), bits).entries(pdf["train"].to_numpy(bool), g < fold_blocks), g))
 
     dealt = exchange.by_block(texts, blocks)
     back = tree.run(dealt.select("block", "train", "text").groupBy("block").applyInPandas(emit, tree.up_schema), _totals)
@@ -205,7 +213,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             return pd.DataFrame({id_col: own["id"], "held_out": own["train"], **{x: pd.Series(dtype="int64") for x in ("n_tokens", "n_known", "train_tokens")}, "base_score": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64")})
 
         def work() -> pd.DataFrame:
-            b = Block(own["text"].tolist(), bits)
+            b = Block(exchange.plain(own["text"]), bits)
             c, two, one, p = b.estimates([a[0] for a in tree.answered(got)], tokens, distinct)
             at = b.off[:-1]
             if tokens:

@@ -289,7 +289,7 @@ class Block:
         same = pdf.groupby(["h1", "h2"], sort=True)
         self.names = np.array(list(same.groups), np.int64).reshape(-1, 2)
         self.several = same.size().to_numpy() > 1
-        self.texts = [x.encode("utf-8", "surrogatepass") for x in same["text"].first()]
+        self.texts = exchange.plain(same["text"].first())
         self.bytes = [np.frombuffer(x, np.uint8) for x in self.texts]
         got = [tiles(b, length) for b in self.bytes]
         self.count = np.array([len(f) for f, _ in got])
@@ -367,7 +367,7 @@ class Tiles:
 
 
 def blocks_of(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
-    """(block, h1, h2, text): each task sends a text once, and once again without the text if it has it more than once."""
+    """(block, h1, h2, text): each task sends a text once, compressed, and once again without the text if it has it more than once."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +382,9 @@ def blocks_of(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
             for some, with_text in ((keep, True), (bare, False)):
                 part = b.take(pa.array(some, pa.int32()))
                 block = pa.array(np.array(part.column(0)).astype(np.int64) % blocks)
-                yield pa.RecordBatch.from_arrays([block, part.column(0), part.column(1), part.column(2) if with_text else pa.nulls(len(some), pa.string())], ["block", "h1", "h2", "text"])
+                yield pa.RecordBatch.from_arrays([block, part.column(0), part.column(1), exchange.squeezed(part.column(2)) if with_text else pa.nulls(len(some), pa.binary())], ["block", "h1", "h2", "text"])
 
-    return exchange.by_block(rows.mapInArrow(run, "block long, h1 long, h2 long, text string"), blocks)
+    return exchange.by_block(rows.mapInArrow(run, "block long, h1 long, h2 long, text binary"), blocks)
 
 
 # --- strings of one core -----------------------------------------------------------------------------------------
