@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscount.runtime import written
+from corpuscount.llm.exchange import compact
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges are then drawn between those. Their number falls by a factor a round, whatever the shape of the graph. Each
     round's edges and mapping are written to the shared folder; only their count comes to the driver.
     """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = compact(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = edges.selectExpr("explode(array(a, b)) as node").distinct().withColumn("root", F.col("node"))
     step = 0
     while edges.limit(1).count():
@@ -23,8 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         first = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.select(F.col("a").alias("node"), first("b").alias("x")).union(edges.select(F.col("b").alias("node"), first("a").alias("x")))
         to = both.groupBy("node").agg(F.min("x").alias("x")).select("node", F.least("x", first("node"))["to"].alias("to"))
-        to = written(to)
-        roots = written(roots.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        to = compact(to)
+        roots = compact(roots.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         new = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = written(new.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        edges = compact(new.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     return roots

@@ -72,6 +72,21 @@ def freed(spark: SparkSession, paths: list[str] | None = None) -> None:
     spark._jvm.System.gc()
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """written() for tables of narrow rows: as many files as Spark's advised size asks for, not one for each core.
+
+    On file systems without Hadoop's native library each new file costs its writer several processes, and each task its share
+    of the driver's time; tables of links are many, and mostly small. Large ones have the same parts as with written().
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return written(df)
+    finally:
+        conf.set(key, before)
+
+
 def blocks_for(docs: DataFrame, text_col: str) -> int:
     """How many blocks the texts need: one for each BLOCK_BYTES, and one for each shuffle partition at least."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

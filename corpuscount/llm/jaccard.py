@@ -224,7 +224,7 @@ def links(cand: DataFrame, percent: int) -> DataFrame:
     cand = written(cand)
     exchange.freed(cand.sparkSession)
     groups = cand.groupBy("prefix", "n").agg(F.min("k").alias("g"))
-    members = written(cand.join(groups, ["prefix", "n"]).select("g", "k", "n", F.size("shared").alias("s"), *MAP, F.when(F.col("g") == F.col("k"), F.col("prefix")).alias("prefix")))
+    members = exchange.compact(cand.join(groups, ["prefix", "n"]).select("g", "k", "n", F.size("shared").alias("s"), *MAP, F.when(F.col("g") == F.col("k"), F.col("prefix")).alias("prefix")))
     # places count from 0 and include those that no other set has
     alone = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100.0) - 1e-9) + 1 - F.size("prefix")
     placed = members.where("prefix is not null").select("g", "n", alone.alias("alone"), F.posexplode("prefix").alias("pos", "gram")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
@@ -245,16 +245,16 @@ def links(cand: DataFrame, percent: int) -> DataFrame:
         if step == 0:
             star = star.union(members.where("g <> k").select(F.col("g").alias("a"), F.col("k").alias("b")))
         star = star.distinct()
-        star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        star = exchange.compact(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
         tried = star if tried is None else tried.union(star)
-        new = written(linked(star, cand, percent))
+        new = exchange.compact(linked(star, cand, percent))
         found = new if found is None else found.union(new)
         roots = components(found).withColumnRenamed("node", "k").withColumnRenamed("root", "to")
-        members = written(members.join(roots, "k", "left").select("g", "k", "n", "s", *MAP, F.coalesce("to", "k").alias("root")))
+        members = exchange.compact(members.join(roots, "k", "left").select("g", "k", "n", "s", *MAP, F.coalesce("to", "k").alias("root")))
     # what is still apart
     entries = reach()
     mixed = entries.groupBy("gram").agg(F.min("r0").alias("m0"), F.max("r1").alias("m1"), F.count("*").alias("c")).where("c > 1 and m0 <> m1").select("gram")
-    left = written(entries.join(mixed, "gram"))
+    left = exchange.compact(entries.join(mixed, "gram"))
     right = left.select("gram", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("pos").alias("pos2"), F.col("r0").alias("q0"), F.col("r1").alias("q1"), *[F.col(c).alias(f"{c}x") for c in MAP])
     pairs = left.join(right, (left["gram"] == right["gram"]) & (left["g"] < right["g2"]) & apart & _possible("n", "s", "n2", "s2", percent) & _early("n", "pos", "n2", "pos2", percent) & F.coalesce(_alike("n", "n2", percent), F.lit(True)))
     pairs = pairs.select("g", "g2").distinct()
@@ -264,7 +264,7 @@ def links(cand: DataFrame, percent: int) -> DataFrame:
     wide = pairs.join(one, "g").join(two, "g2").where("ra <> rb").where(fit).select("a", "b")
     inner = one.join(two, (one["g"] == two["g2"]) & (one["a"] < two["b"]) & (one["ra"] != two["rb"]) & fit).select("a", "b")
     rest = wide.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return found.union(linked(written(rest), cand, percent))
+    return found.union(linked(exchange.compact(rest), cand, percent))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -278,10 +278,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     rows = written(named_sets(docs, id_col, text_col, words))
     # a class has a key of its own: ids may be null, or shared by unlike texts
-    classes = written(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id")).withColumn("k", F.monotonically_increasing_id()))
+    classes = exchange.compact(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id")).withColumn("k", F.monotonically_increasing_id()))
     cand = candidates(docs, text_col, words, percent).join(classes, ["f1", "f2"]).select("k", "n", "shared", "prefix", *MAP)
     roots = components(links(cand, percent))
-    of_class = written(classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("f1", "f2", "id", F.coalesce("root", "k").alias("root")))
+    of_class = exchange.compact(classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("f1", "f2", "id", F.coalesce("root", "k").alias("root")))
     # a component of many classes, then a class of many rows
     named = joined(of_class, of_class.groupBy("root").agg(F.min("id").alias("component")), ["root"]).select("f1", "f2", "component")
     full = joined(rows.where("n > 0"), named, ["f1", "f2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
