@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpuscount-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends here."""
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder (or to path) and read again: lineage ends here.
+
+    Nothing reads the shuffles of that write afterwards, so Spark deletes them once it has ended, and not when the driver's
+    collector comes to them.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
+    path = path or shared_dir(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
