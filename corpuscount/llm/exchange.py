@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpuscount.llm import grams
 from corpuscount.llm.grams import U
-from corpuscount.runtime import parallelism, shared_dir, written
+from corpuscount.runtime import parallelism, setting, shared_dir, written
 
 #: Most blocks that a node merges; bytes of text in a block (more only where one text has more); most shuffle partitions asked for.
 FAN, BLOCK_BYTES, MOST_PARTS = 256, 8 << 20, 32_768
@@ -78,13 +78,8 @@ def compact(df: DataFrame) -> DataFrame:
     On file systems without Hadoop's native library each new file costs its writer several processes, and each task its share
     of the driver's time; tables of links are many, and mostly small. Large ones have the same parts as with written().
     """
-    conf, key = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
+    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
         return written(df)
-    finally:
-        conf.set(key, before)
 
 
 def blocks_for(docs: DataFrame, text_col: str) -> int:
@@ -239,9 +234,8 @@ class Tree:
         spark, ups, paths = rows.sparkSession, [rows], []
         for level in range(1, self.levels):
             paths.append(shared_dir(spark))
-            ups[-1].write.parquet(paths[-1])
+            ups[-1] = written(ups[-1], paths[-1])
             freed(spark)
-            ups[-1] = spark.read.schema(ups[-1].schema).parquet(paths[-1])
             ups.append(ups[-1].groupBy("g", "r").applyInPandas(climb(level), self.up_schema))
         down = written(ups[-1].groupBy("g", "r").applyInPandas(at_top, self.down_schema))
         sums = down.where("g < 0")
