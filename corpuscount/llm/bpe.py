@@ -218,7 +218,8 @@ class Pieces:
     def words_of(self, piece: str) -> list[str]:
         """Its pre-tokens, normalised; beyond Latin-1 by the library's own tables."""
         if _LATIN.fullmatch(piece):
-            piece = piece.lower()
+            low = piece.lower()
+            piece = piece if low == piece else low  # both dictionaries then keep one string
             return [piece] if piece.isalpha() else LATIN_PRETOKEN.findall(piece)
         whole = self.library.normalizer.normalize_str(piece)
         unletter = self.unletter
