@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscount.functions.tokens import decoded, latin1, reducer
 from corpuscount.operators import compare, jobs, langdict, layout
+from corpuscount.plans import ingestion
 from corpuscount.sources import sinks, splits
 
 
@@ -153,3 +154,18 @@ def test_gzip_members_and_path_list(spark, tmp_path):
     assert splits.add_missing(spark, both, str(tmp_path / "out")) == [3] and splits.add_missing(spark, both, str(tmp_path / "out")) == []
     got_ = {r["split_id"]: r["text"].encode("latin-1") for r in splits.read_splits(spark, str(tmp_path / "out")).collect()}
     assert got_ == {0: b"one\ntwo\nthree\n", 3: b"four" [:2] + b"ur\nfive \xef\xbf\xbd\n"}
+
+
+def test_sizes_of_splits_read_no_split_as_a_row(spark, tmp_path):
+    raws = [b"one two\nthree", b"a\xe9b\r\nc d\n\n", b"\n", b"x" * 70_000 + b" y\n"]
+    for k, raw in enumerate(raws):
+        (tmp_path / f"commoncrawl-{k:04d}.txt").write_bytes(raw)
+    (tmp_path / "other.txt").write_text("no")
+    sizes = splits.split_sizes(spark, str(tmp_path))
+    whole = splits.read_splits(spark, str(tmp_path)).collect()
+    want = {(r["split_id"], len(r["text"]), len(re.findall("[A-Za-z0-9]+", r["text"]))) for r in whole}
+    assert {tuple(r) for r in sizes.collect()} == want and len(want) == len(raws)
+    assert {r["split_id"] for r in splits.split_sizes(spark, str(tmp_path), 2).collect()} == {0, 1}
+    # the query takes its figures from lines too: a file of any size is no row
+    query = ingestion.ingested_splits(spark, "/root/testdata/sf0.001")
+    assert "binaryFile" not in query._jdf.queryExecution().toString()
