@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import re
 import struct
 from array import array
@@ -196,6 +197,7 @@ class Pieces:
     def __init__(self, path: str, words: str = "trie"):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -225,20 +227,17 @@ class Pieces:
         unletter = self.unletter
         return [b"".join(unletter[x] for x in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)]
 
-    def ids_of(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
+    def ids_of(self, words: set[str]) -> Iterable[tuple[str, bytes]]:
         if self.trie is not None:
-            for w, ids in self.trie.encode([w.encode() for w in words]):
-                yield w.decode(), array("I", ids).tobytes()
-            return
-        # one call of the library for all words: each word ends with a token of a word end
+            return ((w.decode(), array("I", ids).tobytes()) for w, ids in self.trie.encode([w.encode() for w in words]))
+        # one call of the library for all words, without the places in the text: each word ends with a token of a word end
         order = list(words)
-        ids = np.array(self.library.encode(" ".join(order), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.library.encode_batch_fast([" ".join(order)], add_special_tokens=False)[0].ids, np.uint32)
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(stops) != len(order) or stops and stops[-1] != 4 * len(ids):
             raise ValueError("the vocabulary's words can't be told apart")
         raw = ids.tobytes()
-        for w, a, b in zip(order, [0, *stops], stops, strict=False):
-            yield w, raw[a:b]
+        return zip(order, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True)
 
     def learn(self, pieces: set[str]) -> None:
         """Encode what a block has of new pieces; their words are encoded once."""

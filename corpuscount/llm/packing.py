@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuscount.llm.bpe import pieces_of
 from corpuscount.llm.exchange import trim
-from corpuscount.runtime import prepare
+from corpuscount.runtime import SMALL_BATCH, prepare
 
 #: Remainders below C/SMALLEST share one class.
 SMALLEST = 32
@@ -100,7 +100,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     end = end_id.to_bytes(4, "little")
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
     kind = rows.schema[0].dataType.simpleString()

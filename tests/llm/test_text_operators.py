@@ -4,6 +4,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -517,3 +518,14 @@ def test_texts_without_repeats(spark):
     got = {r["doc_id"]: r for r in suffixes.without_repeats(df).collect()}
     assert (got[0]["text"].strip(), got[1]["text"].replace("  ", " "), got[2]["text"], got[3]["text"]) == ("one", "two end", None, "clean")
     assert got[3]["n_chars"] == 5 and suffixes.without_repeats(df).columns == df.columns
+
+
+def test_library_words_are_encoded_without_places():
+    """The library's plain encode also tracks each token's place in the text, which nothing here reads."""
+    from types import SimpleNamespace
+
+    texts = ["Plain words, plain", "naïve café 日本 x1y22 it's", "", None, "a\x1fb <unk>  z"]
+    own, plain = bpe.Pieces(tokenizer_path(), "library"), library()
+    own.library = SimpleNamespace(normalizer=plain.normalizer, pre_tokenizer=plain.pre_tokenizer, encode_batch_fast=plain.encode_batch_fast)
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [raw for raw, _ in own.encoded(texts)] == want
