@@ -37,12 +37,12 @@ from corpuscount.llm import exchange, grams
 from corpuscount.llm.exchange import Counts, Tree, lean
 from corpuscount.llm.grams import U
 from corpuscount.llm.skew import joined
-from corpuscount.runtime import prepare, written
+from corpuscount.runtime import SMALL_BATCH, prepare, written
 
 K, TILE = 32, 32
 BITS = 56
 #: Starts looked at together; letters of the texts whose arrays are built at once (more only where one core has more).
-SPAN, LETTERS = 1 << 17, 1 << 18
+SPAN, LETTERS = 1 << 17, 1 << 17
 #: Texts are built one by one where fewer than so many of the longest one's length come together.
 TOGETHER = 32
 
@@ -159,7 +159,7 @@ def grouping_many(text: np.ndarray, off: np.ndarray) -> np.ndarray:
         pointed, times = np.unique(j[j >= 0], return_counts=True)
         if not len(pointed):
             continue
-        most = np.unique(times)[::-1].tolist()
+        most = np.flatnonzero(np.bincount(times))[::-1].tolist()
         # those that a group follows more often come after those that it follows less often
         for m in most:
             js = pointed[times == m] if len(most) > 1 else pointed
@@ -247,7 +247,9 @@ def tiles(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         p, inverse = grams.powers(len(own) + 1)
         anchor = _least(_kgrams(own), width)
         offset = anchor - np.arange(len(anchor))
-        first = np.unique(anchor - (offset // TILE) * TILE) - (TILE - 1)  # one tile for each place of a core
+        here = np.zeros(len(own), bool)
+        here[anchor - (offset // TILE) * TILE] = True
+        first = np.flatnonzero(here) - (TILE - 1)  # one tile for each place of a core
         sums = np.concatenate([[U(0)], np.cumsum((own.astype(U) + U(1)) * p[: len(own)])])
         s = first + TILE - 1
         starts.append(first + at)
@@ -428,9 +430,9 @@ def repeated_starts(core: np.ndarray, rows: np.ndarray, several: np.ndarray) ->
     left[~several & (n[place] == 1)] = -1
     tile = np.concatenate([np.arange(len(core)), np.flatnonzero(several)])
     tile = tile[(left + right >= TILE - 1)[tile]]
-    mask = np.zeros(len(core), np.int64)
+    found = np.zeros((len(core), TILE), bool)
     if not len(tile):
-        return mask
+        return np.zeros(len(core), np.int64)
     tile = tile[np.argsort(core[tile], kind="stable")]
     # a text for each core; longest first
     length = (left + right + 2)[tile]
@@ -445,10 +447,9 @@ def repeated_starts(core: np.ndarray, rows: np.ndarray, several: np.ndarray) ->
         stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + LETTERS, "right")))
         own = tile[_ranges(edge[k:stop], count[k:stop])]
         hit = _by_suffixes(rows[own], left[own], right[own], count[k:stop])
-        found = np.unique(own[hit // TILE] * TILE + hit % TILE)
-        mask += np.bincount(found // TILE, weights=np.exp2(found % TILE), minlength=len(mask)).astype(np.int64)
+        found[own[hit // TILE], hit % TILE] = True
         k = stop
-    return mask
+    return found @ (1 << np.arange(TILE))
 
 
 def _by_suffixes(rows: np.ndarray, left: np.ndarray, right: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -484,7 +485,10 @@ def _by_suffixes(rows: np.ndarray, left: np.ndarray, right: np.ndarray, count: n
     on_right = _agree(rows[p, TILE + 1 :], rows[q, TILE + 1 :], np.minimum(right[p], right[q]))
     same = (on_left[place] >= TILE - 1 - x[one]) & (on_right[place] >= x[one])
     one, two = one[same], two[same]
-    return np.unique(np.concatenate([home[one] * TILE + x[one], home[two] * TILE + x[two]]))
+    hit = np.zeros(m * TILE, bool)
+    for k in (one, two):
+        hit[home[k] * TILE + x[k]] = True
+    return np.flatnonzero(hit)
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
@@ -563,7 +567,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to remove. Rows with equal texts repeat each other. Every row stays; other columns are left out; an empty table
     gives none.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     found = repeated_spans(docs, text_col, length).drop("kept")
     rows = written(docs.select(F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col)).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2"), F.col(text_col).isNull().alias("none")))
     none = F.lit(hashlib.sha256(b"").hexdigest())
@@ -577,7 +581,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200,
 
     A code point of which only some bytes go goes whole. Null texts stay null; rows and other columns stay as they are.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     found = repeated_spans(docs, text_col, length)
     # of texts that lose something, what is left; all others stay out of the exchange
     new = written(found.where("n_removed > 0").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("kept").alias("__kept")))

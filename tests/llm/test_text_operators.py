@@ -529,3 +529,32 @@ def test_library_words_are_encoded_without_places():
     own.library = SimpleNamespace(normalizer=plain.normalizer, pre_tokenizer=plain.pre_tokenizer, encode_batch_fast=plain.encode_batch_fast)
     want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [raw for raw, _ in own.encoded(texts)] == want
+
+
+def test_no_repeated_start_is_found_by_hashing(monkeypatch):
+    """Steps of the construction are many and small: numpy's hashing unique() took a fifth of it."""
+    plain = np.unique
+
+    def unique(x, **asked):
+        assert asked, "unique() without places or counts hashes its values"
+        return plain(x, **asked)
+
+    rng = np.random.default_rng(3)
+    raw = [bytes(rng.integers(97, 99, 300, np.uint8)) + b"q" * 260 + bytes(rng.integers(97, 99, 40, np.uint8)) for _ in range(30)]
+    raw += [raw[0][:280] + b"zz", raw[1][50:]]
+    data = [np.frombuffer(x, np.uint8) for x in raw]
+    monkeypatch.setattr(np, "unique", unique)
+    got = [suffixes.tiles(b, 200) for b in data]
+    core = np.concatenate([c for _, c in got])
+    rows = np.concatenate([np.concatenate(suffixes.sides(b, f, 200), axis=1) for b, (f, _) in zip(data, got, strict=True)])
+    c, r, times, place = suffixes.distinct_tiles(core, rows, np.ones(len(core), np.int64))
+    masks = suffixes.repeated_starts(c, r, times > 1)[place].astype(np.uint64)
+    seen = {}
+    for k, x in enumerate(raw):
+        for at in range(len(x) - 199):
+            seen.setdefault(x[at : at + 200], []).append((k, at))
+    want = {y for places in seen.values() if len(places) > 1 for y in places}
+    owner = np.repeat(np.arange(len(raw)), [len(f) for f, _ in got])
+    first = np.concatenate([f for f, _ in got])
+    t, x = np.nonzero((masks[:, None] >> np.arange(suffixes.TILE, dtype=np.uint64)) & np.uint64(1))
+    assert {(int(owner[k]), int(first[k] + y)) for k, y in zip(t, x, strict=True)} == want and len(want) > 100
