@@ -15,8 +15,6 @@ from corpuscount.runtime import written
 
 #: A text with fewer distinct trigrams tells too little of how its letters follow one another.
 ENOUGH = 64
-#: Labelled rows on which the language stage's least size is fitted.
-SAMPLE = 20_000
 #: No passage of over 50 words is shorter: so many words of a letter, and the blanks between them, are 101 bytes.
 REPEATED = 100
 
@@ -27,22 +25,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The prototypes are learned from the labels of all documents; without any, only documents without a letter go. A
     text is like no language if its letters follow one another as in none of them: if the cosine of its structure is
     one that random letters reach, whatever their number. Texts of fewer than ENOUGH distinct trigrams stay, as do those
-    below the least size (distinct trigrams by powers of 2) whose labelled texts are clearly above that: half by twice,
-    as some SAMPLE labelled rows show, drawn by a hash of their ids (all, if there are fewer).
+    below the least size (distinct trigrams by powers of 2) whose labelled texts are clearly above that: more than half of
+    them, all counted, by twice.
     Where a text's cosine is above the bound, lang becomes the language that it is nearest to; elsewhere it stays as it was.
     """
     known = language.learn(docs, vectors=language.structures)
-    size = F.floor(F.log2("__distinct"))
-    labelled = docs.where("lang is not null")
-    one_in = max(1, labelled.count() // SAMPLE)
-    drawn = language.likeness(labelled.where(F.pmod(F.xxhash64(F.lit(1), "doc_id", F.length("text")), F.lit(one_in)) == 0), known)
-    medians = drawn.where(F.col("__distinct") >= ENOUGH).groupBy(size.alias("size")).agg(F.percentile_approx("__like", 0.5).alias("m")).collect()
     bound = language.chance(known)
-    clear = min((r["size"] for r in medians if r["m"] >= 2 * bound), default=None)
+    size = F.floor(F.log2("__distinct"))
+    # judged once: the rows are written, so that sizes are counted over all of them before any is rejected
+    judged = written(language.likeness(docs, known).where("__letters"))
+    labelled = judged.where(F.col("lang").isNotNull() & (F.col("__distinct") >= ENOUGH))
+    counts = labelled.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__like") >= 2 * bound).alias("above")).collect()
+    clear = min((r["size"] for r in counts if 2 * r["above"] > r["n"]), default=None)
     odd = (F.col("__distinct") >= ENOUGH) & (size >= F.lit(clear).cast("long")) & (F.col("__like") < bound)
     found = F.when((F.col("__distinct") >= ENOUGH) & (F.col("__like") >= bound), F.col("__best")).otherwise(F.col("lang"))
-    judged = language.likeness(docs, known)
-    return judged.where(F.col("__letters") & ~F.coalesce(odd, F.lit(False))).withColumn("lang", found).select(docs.columns)
+    return judged.where(~F.coalesce(odd, F.lit(False))).withColumn("lang", found).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

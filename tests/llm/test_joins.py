@@ -284,3 +284,14 @@ def test_pipeline_run(spark):
     kept = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert kept == {i for i, (_, c) in brute(rows, 5, 80).items() if i == c}
+
+
+def test_pipeline_fits_its_least_size_on_all_labelled_rows(spark, monkeypatch):
+    from corpuscount.llm import language
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    seen, plain = [], language.likeness
+    monkeypatch.setattr(corpus_pipeline, "SAMPLE", 10, raising=False)
+    monkeypatch.setattr(language, "likeness", lambda rows, *a, **b: seen.append(rows.count()) or plain(rows, *a, **b))
+    assert corpus_pipeline.identify_language(spark, docs, SMALL).count() > 0
+    assert seen == [docs.count()]
