@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscount.llm import jaccard, language, packing, pii, suffixes
 from corpuscount.llm.queries import tokenizer_path
-from corpuscount.runtime import written
+from corpuscount.runtime import give_back, written
 
 #: A text with fewer distinct trigrams tells too little of how its letters follow one another.
 ENOUGH = 64
@@ -29,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     them, all counted, by twice.
     Where a text's cosine is above the bound, lang becomes the language that it is nearest to; elsewhere it stays as it was.
     """
+    give_back(spark)
     known = language.learn(docs, vectors=language.structures)
     bound = language.chance(known)
     size = F.floor(F.log2("__distinct"))
@@ -49,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group. A row without an id stays only where its group has no other. Documents without words all stay, but of rows alike
     in id and text one.
     """
+    give_back(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id"), F.lit(0)), "__h": F.xxhash64(text)}
     keyed = docs.withColumns(key)
@@ -64,17 +66,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated byte strings of REPEATED bytes and more; every document stays, with what is left of it."""
+    give_back(spark)
     return suffixes.without_repeats(docs, length=REPEATED)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind of personal data in its place; every document stays."""
+    give_back(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all tokens into sequences: a row for each piece, with its ids."""
+    give_back(spark)
     return packing.harmonic_pack(docs, tokenizer_path())
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpuscount.llm.exchange import trim
-from corpuscount.runtime import prepare
+from corpuscount.runtime import SMALL_BATCH, prepare
 
 DIMENSIONS, SEED = 1024, 7
 #: Texts counted together, trigram vectors made at a time, and code points of a text taken at a time.
@@ -145,7 +145,7 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     Every partition bundles its rows by language; what is exchanged and gathered has a row for each language and
     dimension (and partition), whatever the number of texts.
     """
-    prepare(training.sparkSession)
+    prepare(training.sparkSession, SMALL_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -157,6 +157,7 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", d
                     sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * dimensions), "dim": pa.array(range(dimensions), pa.int32()), "v": pa.array(v.astype(np.int64), pa.int64())})
+        trim()
 
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     got = rows.mapInArrow(run, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).limit(MOST_LANGUAGES * dimensions + 1).toPandas()
@@ -221,7 +222,7 @@ def likeness(docs: DataFrame, known: Prototypes, text_col: str = "text", prefix:
     structure with those of known (learned with vectors=structures), 0 where none is known; best: the language that has it,
     the alphabetically first of equal ones, null where none is known. Null texts count as empty.
     """
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, SMALL_BATCH)
     schema = StructType(list(docs.schema))
     names = [*docs.columns, *[f"{prefix}{c}" for c in ("letters", "distinct", "like", "best")]]
     place = docs.columns.index(text_col)

@@ -295,3 +295,22 @@ def test_pipeline_fits_its_least_size_on_all_labelled_rows(spark, monkeypatch):
     monkeypatch.setattr(language, "likeness", lambda rows, *a, **b: seen.append(rows.count()) or plain(rows, *a, **b))
     assert corpus_pipeline.identify_language(spark, docs, SMALL).count() > 0
     assert seen == [docs.count()]
+
+
+def test_pipeline_stages_begin_with_memory_given_back(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda s: asked.append(s))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(5)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, SMALL)
+        assert len(asked) == k
+
+
+def test_executors_collect(spark):
+    from corpuscount.runtime import give_back
+
+    bean = spark._jvm.java.lang.management.ManagementFactory
+    times = lambda: sum(x.getCollectionCount() for x in bean.getGarbageCollectorMXBeans())
+    before = times()
+    give_back(spark)
+    assert times() > before  # those asked for at once are one
