@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuscount.operators.layout import laid_out
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     """(file system of a path, the path): of any kind that Spark knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -26,7 +26,7 @@ def write_named(lines: DataFrame, path: str, column: str, names: Callable[[int],
     spark = lines.sparkSession
     staged = path.rstrip("/") + "._staged"
     lines.select(column, "value").write.mode("overwrite").partitionBy(column).text(f"{staged}/rows")
-    fs, root = _files(spark, staged)
+    fs, root = files_of(spark, staged)
     new = spark._jvm.org.apache.hadoop.fs.Path
 
     def name(k: int) -> None:

@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscount.functions.tokens import decoded, latin1, tokens
-from corpuscount.sources.sinks import write_named
+from corpuscount.sources.sinks import files_of, write_named
 
-SPLIT_NAME = r"commoncrawl-(\d{4})\.txt$"
+#: Numbers have four digits, and more from 10,000 on.
+SPLIT_NAME = r"commoncrawl-(\d{4,})\.txt$"
 #: How header lines begin, in batch (case matters) and in strict cleaning (case doesn't).
 BATCH_HEADER = "^(WARC/|CONTENT-|Content-|Metadata-)"
 STRICT_HEADER = "(?i)^(WARC/|WARC-|Content-|Metadata-)"
@@ -150,7 +151,10 @@ def ingest(spark: SparkSession, sources: DataFrame, target: str, mode: str = "pr
 
 
 def add_missing(spark: SparkSession, wanted: DataFrame, target: str, mode: str = "predownload") -> list[int]:
-    """Ingest those of wanted (split_id, path) that the target folder lacks, into a folder of their own in it; their numbers."""
+    """Ingest those of wanted (split_id, path) that the target folder lacks, into a folder of their own in it; their numbers.
+
+    A target that isn't there yet lacks all of them.
+    """
     present = split_files(spark, target)
     new = missing(wanted, present).join(wanted, "split_id")
     ids = sorted(r[0] for r in new.select("split_id").toLocalIterator())
@@ -160,7 +164,13 @@ def add_missing(spark: SparkSession, wanted: DataFrame, target: str, mode: str =
 
 
 def split_files(spark: SparkSession, path: str) -> DataFrame:
-    """(split_id, path) of the split files in a folder and its subfolders, empty ones too: Spark's own listing, nothing is read."""
+    """(split_id, path) of the split files in a folder and its subfolders, empty ones too: Spark's own listing, nothing is read.
+
+    None for a folder that doesn't exist.
+    """
+    fs, folder = files_of(spark, path)
+    if not fs.exists(folder):
+        return spark.createDataFrame([], "split_id int, path string")
     files = spark.read.format("binaryFile").options(**_WHOLE).option("recursiveFileLookup", "true").option("pathGlobFilter", "commoncrawl-*.txt").load(path)
     return spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(split_id(F.col("path")).alias("split_id"), "path")
 

@@ -116,6 +116,16 @@ def test_comparison_fails_on_any_change(spark, change):
     assert compare.agree(a, a) and not compare.agree(a, b)
 
 
+def test_comparison_is_one_exchange_without_a_join(spark):
+    a, b = (spark.createDataFrame(x, "key string, n int") for x in ([("a", 2), ("b", 1), ("c", 4), ("e", 1), ("e", 2)], [("a", 2), ("b", 3), ("d", 5), ("e", 3)]))
+    rows = {tuple(r) for r in compare.diff(a, b).collect()}
+    assert rows == {("b", 1, 3, "differs"), ("c", 4, None, "missing"), ("d", None, 5, "extra")}
+    assert {r["key"] for r in compare.mismatches(a, b).collect()} == {"b", "c"} and [tuple(r) for r in compare.extras(a, b).collect()] == [("d", 5)]
+    assert tuple(compare.summary(a, b).first())[:7] == (4, 4, 10, 13, 1, 1, 1)
+    plan = compare.diff(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
 def test_clean_modes(spark):
     lines = spark.createDataFrame([(x,) for x in ["WARC/1.0", "WARC-Type: conversion", "Content-Type: text/plain", "content-x: 1", "", "Hello"]], "text string")
     words = lambda mode: set(got(jobs.count(splits.cleaned(lines, mode).withColumn("split_id", F.lit(0)), "wordcount")))
@@ -156,6 +166,20 @@ def test_gzip_members_and_path_list(spark, tmp_path):
     assert got_ == {0: b"one\ntwo\nthree\n", 3: b"four" [:2] + b"ur\nfive \xef\xbf\xbd\n"}
 
 
+def test_splits_beyond_four_digits_are_read_and_ingested_once(spark, tmp_path):
+    """A crawl has more than 10,000 files; into a folder that isn't there yet, too."""
+    import gzip
+
+    for k in (1, 10_000):
+        (tmp_path / f"{k}.gz").write_bytes(gzip.compress(b"word%d\n" % k))
+    wanted = spark.createDataFrame([(k, str(tmp_path / f"{k}.gz")) for k in (1, 10_000)], "split_id int, path string")
+    out = str(tmp_path / "new" / "folder")
+    assert splits.add_missing(spark, wanted, out) == [1, 10_000] and splits.add_missing(spark, wanted, out) == []
+    assert {r["split_id"]: r["text"] for r in splits.read_splits(spark, out).collect()} == {1: "word1\n", 10_000: "word10000\n"}
+    assert got(jobs.count(splits.read_splits(spark, out), "wordcount")) == {"word1": 1, "word10000": 1}
+    assert [r["split_id"] for r in splits.split_sizes(spark, out, 9_999).collect()] == [1]
+
+
 def test_sizes_of_splits_read_no_split_as_a_row(spark, tmp_path):
     raws = [b"one two\nthree", b"a\xe9b\r\nc d\n\n", b"\n", b"x" * 70_000 + b" y\n"]
     for k, raw in enumerate(raws):
