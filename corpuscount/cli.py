@@ -1,4 +1,6 @@
-"""Command line: ingest, count, validate, crawl, stream.
+"""Command line: run, ingest, count, validate, crawl, stream.
+
+    python -m corpuscount.cli run -i wet.paths.gz --base s3a://bucket --splits-dir SPLITS -o OUTPUT -j wordcount [-n SPLITS] [--log LOG]
 
     python -m corpuscount.cli ingest -i wet.paths.gz --base s3a://bucket -o SPLITS [-n SPLITS] [--clean predownload] [--missing-only]
     python -m corpuscount.cli crawl -i wet.paths.gz --base s3a://bucket -o FOLDER [--index 0] [--max-lines 200000]
@@ -7,7 +9,7 @@
     python -m corpuscount.cli validate -i INPUT -o OUTPUT -j wordcount [-n SPLITS] [--show 10]
     python -m corpuscount.cli stream -i FOLDER -o CHANGELOG -c CHECKPOINT [--top 20] [--timeout 15]
 
-validate ends with 0 if all agrees, 1 if not, 2 where there is nothing to compare.
+run takes in what lacks, counts and validates. validate and run end with 0 if all agrees, 1 if not, 2 where there is nothing to compare.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscount.operators import compare, jobs
+from corpuscount.operators import compare, jobs, timing
 from corpuscount.sources import sinks, splits
 from corpuscount.streaming import wordcount as stream
 
@@ -47,12 +49,34 @@ def _listed(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return paths.select(F.col("index").cast("int").alias("split_id"), F.concat(F.lit(a.base.rstrip("/") + "/" if a.base else ""), "path").alias("path"))
 
 
+def _count(spark: SparkSession, a: argparse.Namespace, counts: DataFrame) -> None:
+    """Write the parts; with --log also a log with a record of each task, and show the run's times."""
+    work = lambda: sinks.write_parts(counts, a.output, a.reducers)
+    if not a.log:
+        work()
+        return
+    tasks = timing.timed_tasks(spark, work)
+    timing.log_lines(tasks).write.mode("append").text(a.log)
+    timing.job_timing(tasks).show(truncate=False)
+
+
+def _validate(spark: SparkSession, a: argparse.Namespace) -> int:
+    expected, actual = _counts(spark, a), splits.read_parts(spark, a.output).select("key", "n")
+    found = compare.summary(expected, actual).first()
+    print(found.asDict())
+    if not found["expected_keys"] or not found["actual_keys"]:
+        return 2
+    compare.diff(expected, actual).orderBy("key").limit(a.show).show(a.show, truncate=False)
+    sinks.show_top(actual, a.show)
+    return 0 if found["equal"] else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="corpuscount", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("count", "validate"):
+    for name in ("count", "validate", "run"):
         c = sub.add_parser(name)
-        c.add_argument("-i", "--input", required=True)
+        c.add_argument("-i", "--input", required=True, help="a folder of splits, or a crawl's list of paths")
         c.add_argument("-o", "--output", required=True)
         c.add_argument("-j", "--job", choices=sorted(jobs.JOBS), default="wordcount")
         c.add_argument("-n", "--splits", type=int)
@@ -61,6 +85,9 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--show", type=int, default=10)
         c.add_argument("--direct-read", action="store_true", help="the input is a crawl's list of paths, read where they are")
         c.add_argument("--base")
+        c.add_argument("--log", help="a folder for the run's timing records")
+    sub.choices["run"].add_argument("--splits-dir", required=True, help="where the splits go; those that are there stay")
+    sub.choices["run"].set_defaults(clean="predownload")
     for name in ("ingest", "crawl"):
         c = sub.add_parser(name)
         c.add_argument("-i", "--input", required=True, help="a crawl's list of paths")
@@ -80,8 +107,13 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("corpuscount").getOrCreate()
     if a.command == "count":
-        sinks.write_parts(_counts(spark, a), a.output, a.reducers)
+        _count(spark, a, _counts(spark, a))
         return 0
+    if a.command == "run":
+        splits.add_missing(spark, splits.below(_listed(spark, a), a.splits), a.splits_dir, a.clean)
+        a.input, a.clean, a.direct_read = a.splits_dir, None, False
+        _count(spark, a, _counts(spark, a))
+        return _validate(spark, a)
     if a.command == "ingest":
         (splits.add_missing if a.missing_only else splits.ingest)(spark, splits.below(_listed(spark, a), a.splits), a.output, a.clean)
         return 0
@@ -92,14 +124,7 @@ def main(argv: list[str] | None = None) -> int:
         stream.run(stream.line_stream(spark, a.input, strict=True), a.output, a.checkpoint, a.timeout)
         sinks.show_top(stream.latest(stream.read_changelog(spark, a.output)), a.top)
         return 0
-    expected, actual = _counts(spark, a), splits.read_parts(spark, a.output).select("key", "n")
-    found = compare.summary(expected, actual).first()
-    print(found.asDict())
-    if not found["expected_keys"] or not found["actual_keys"]:
-        return 2
-    compare.diff(expected, actual).orderBy("key").limit(a.show).show(a.show, truncate=False)
-    sinks.show_top(actual, a.show)
-    return 0 if found["equal"] else 1
+    return _validate(spark, a)
 
 
 if __name__ == "__main__":

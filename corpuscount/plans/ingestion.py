@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscount.functions.forms import plain_host, rounded, without_download
 from corpuscount.functions.tokens import decoded, tokens
-from corpuscount.operators import fleet, jobs, scaling
+from corpuscount.operators import fleet, jobs, scaling, timing
 from corpuscount.plans.catalogue import _LOADS, _RUNS, _TOK, _docs, _loads, _runs, _table, query
 from corpuscount.runtime import shared_dir
 from corpuscount.sources import records, sinks, splits
@@ -126,6 +126,31 @@ def log_worker_sums(spark: SparkSession, d: str) -> DataFrame:
     return scaling.worker_sums(records.worker_records(_log(spark, d)))
 
 
+@query(f"""WITH {_TOK} SELECT 'MAP' AS phase, CAST(NULL AS BIGINT) AS parts, count(*) AS n_rows, true AS timed FROM documents
+UNION ALL SELECT 'REDUCE', 8, count(DISTINCT t), true FROM tok""")
+def job_timings(spark: SparkSession, d: str) -> DataFrame:
+    """A word count run and timed: its tasks' records as log lines, written and read again as any log is.
+
+    n_rows are those that map tasks read from the table and those that the last reduce tasks wrote; parts are these tasks.
+    timed: no record's steps are negative, all of a run's records lie within its total, and its phases add up to it.
+    """
+    words = jobs.job("wordcount").keys(_docs(spark, d), []).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    tasks = timing.timed_tasks(spark, lambda: sinks.write_parts(words, shared_dir(spark), SPLITS))
+    path = shared_dir(spark)
+    timing.log_lines(tasks).write.text(path)
+    log = records.read_log(spark, path)
+    steps = F.col("t_io_read") + F.col("t_compute") + F.col("t_io_write") + F.col("t_shuffle")
+    workers = records.worker_records(log).withColumns({"steps": steps, "least": F.least("t_io_read", "t_compute", "t_io_write", "t_shuffle")})
+    whole = records.timing_records(log).select("t_total", (F.abs(F.col("t_map") + F.col("t_reduce") - F.col("t_total")) < 0.0015).alias("adds_up"))
+    n = F.when(F.col("phase") == "MAP", F.sum("rows_in")).otherwise(F.sum("rows_out"))
+    stages = workers.groupBy("phase", "stage_id").agg(F.count("reducer_id").alias("parts"), n.alias("n_rows"), F.max("steps").alias("most"), F.min("least").alias("least"))
+    # of a few stages: what all map tasks read, and what the last reduce tasks wrote
+    last = lambda c, every: F.when(F.col("phase") == "MAP", every(c)).otherwise(F.max_by(c, "stage_id"))
+    sums = stages.groupBy("phase").agg(last("parts", F.sum).alias("parts"), last("n_rows", F.sum).alias("n_rows"), F.max("most").alias("most"), F.min("least").alias("least"))
+    timed = F.col("adds_up") & (F.col("least") >= 0) & (F.col("most") <= F.col("t_total") + 0.01)
+    return sums.join(whole).select("phase", F.when(F.col("phase") == "REDUCE", F.col("parts")).alias("parts"), "n_rows", timed.alias("timed"))  # whole is one row
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     """A log: records of the master and of workers, plain lines, and records cut off."""
     path, k = shared_dir(spark), F.col("event_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuscount.functions.forms import load_triple
 
 TIMING = "t_total double, t_map double, t_reduce double"
-WORKER_TIMING = "phase string, split_id int, reducer_id int, t_download double, t_clean double, t_io_read double, t_compute double, t_io_write double, t_shuffle double"
+WORKER_TIMING = "phase string, stage_id int, split_id int, reducer_id int, t_download double, t_clean double, t_io_read double, t_compute double, t_io_write double, t_shuffle double, rows_in long, rows_out long"
 RUN = "n_workers int, n_splits int, n_reducers int, t_total double, t_map double, t_reduce double, crawl_id string, t_map_adj double, t_download double, t_download_max double, t_clean double, t_io_read double, t_compute double, t_shuffle double, t_io_write double"
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscount.functions.forms import human_duration, load_triple, numeric_or, plain_host
-from corpuscount.operators import fleet, scaling, stats
+from corpuscount.operators import fleet, scaling, stats, timing
 from corpuscount.sources import records
 
 
@@ -89,3 +89,40 @@ def test_forms(spark):
     assert tuple(row) == ("1.2.3.4", 999.0, None)
     took = spark.sql("select explode(array(5D, 1500D, 2500000D, 3000000000D)) as ns").select(human_duration(F.col("ns"))).collect()
     assert [r[0] for r in took] == ["5 ns", "1.500 µs", "2.500 ms", "3.000 s"]
+
+
+def test_tasks_of_an_event_log(spark, tmp_path):
+    """Failed, killed and repeated attempts count once; other jobs' tasks don't."""
+
+    def end(stage, task, at, reason="Success", fetched=0, run=1000, rows=(5, 2)):
+        metrics = {"Executor Run Time": run, "Input Metrics": {"Records Read": rows[0]}, "Output Metrics": {"Records Written": rows[1]}, "Shuffle Read Metrics": {"Fetch Wait Time": 100 * fetched, "Total Records Read": 0, "Remote Blocks Fetched": 0, "Local Blocks Fetched": fetched}, "Shuffle Write Metrics": {"Shuffle Write Time": 250_000_000, "Shuffle Records Written": 0}}
+        info = {"Index": task, "Launch Time": at - run, "Finish Time": at, "Accumulables": [{"Name": "scan time", "Update": "300"}, {"Name": "x", "Update": [1]}]}
+        return {"Event": "SparkListenerTaskEnd", "Stage ID": stage, "Stage Attempt ID": 0, "Task End Reason": {"Reason": reason}, "Task Info": info, "Task Metrics": metrics}
+
+    job = {"Event": "SparkListenerJobStart", "Job ID": 0, "Stage IDs": [1, 2], "Properties": {timing.MARK: "mine"}}
+    events = [job, end(1, 0, 2000), end(1, 0, 2500), end(1, 1, 2200, "ExceptionFailure"), end(1, 1, 3000, run=400), end(2, 0, 4000, fetched=2), end(7, 0, 9000)]
+    path = str(tmp_path / "log")
+    (tmp_path / "log").write_text("\n".join([json.dumps(x, separators=(",", ":")) for x in events] + ["cut off {"]))
+    tasks = timing.job_tasks(spark, path, "mine")
+    assert sorted((r["phase"], r["stage_id"], r["task"], r["ended"]) for r in tasks.collect()) == [("MAP", 1, 0, 2500), ("MAP", 1, 1, 3000), ("REDUCE", 2, 0, 4000)]
+    assert timing.job_tasks(spark, path).count() == 4
+    assert tuple(timing.job_timing(tasks).first()) == (2.5, 1.5, 1.0)
+    workers = {(r["phase"], r["split_id"], r["reducer_id"]): r for r in timing.worker_timings(tasks).collect()}
+    one = workers["MAP", 0, None]
+    assert (one["t_io_read"], one["t_io_write"], one["t_compute"], one["t_shuffle"], one["rows_in"], one["rows_out"]) == (0.3, 0.25, 0.45, 0.0, 5, 2)
+    short = workers["MAP", 1, None]  # steps never exceed the task
+    assert (short["t_io_read"], short["t_io_write"], short["t_compute"]) == (0.3, 0.1, 0.0)
+    assert workers["REDUCE", None, 0]["t_shuffle"] == 0.2
+    run = timing.run_record(tasks, 2, 2, 1).first()
+    assert (run["n_workers"], run["t_total"], round(run["t_io_read"], 6), run["t_map_adj"]) == (2, 2.5, 0.9, 1.5)
+    assert records.worker_records(timing.log_lines(tasks)).count() == 3 and records.timing_records(timing.log_lines(tasks)).first()["t_total"] == 2.5
+    assert timing.job_timing(tasks.where("task < 0")).count() == 0
+
+
+def test_timed_tasks_are_those_of_the_work(spark):
+    tasks = timing.timed_tasks(spark, lambda: spark.range(0, 1000, 1, 5).groupBy((F.col("id") % 7).alias("k")).count().collect())
+    got = tasks.groupBy("phase").agg(F.count("task").alias("n"), F.sum("rows_in").alias("rows")).collect()
+    assert {r["phase"]: r["n"] for r in got}["MAP"] == 5 and {r["phase"]: r["rows"] for r in got}["REDUCE"] == 35
+    with pytest.raises(ValueError), timing.event_log(spark):
+        raise ValueError
+    assert spark.sparkContext.getLocalProperty(timing.MARK) is None
