@@ -5,7 +5,7 @@
     python -m corpuscount.cli ingest -i wet.paths.gz --base s3a://bucket -o SPLITS [-n SPLITS] [--clean predownload] [--missing-only]
     python -m corpuscount.cli crawl -i wet.paths.gz --base s3a://bucket -o FOLDER [--index 0] [--max-lines 200000]
 
-    python -m corpuscount.cli count -i INPUT -o OUTPUT -j wordcount -r 8 [-n SPLITS] [--clean direct] [--direct-read --base s3a://bucket]
+    python -m corpuscount.cli count -i INPUT -o OUTPUT -j wordcount -r 8 [-n SPLITS] [--clean direct] [--direct-read [--by-members] --base s3a://bucket]
     python -m corpuscount.cli validate -i INPUT -o OUTPUT -j wordcount [-n SPLITS] [--show 10]
     python -m corpuscount.cli stream -i FOLDER -o CHANGELOG -c CHECKPOINT [--top 20] [--timeout 15]
 
@@ -25,22 +25,17 @@ from corpuscount.sources import sinks, splits
 from corpuscount.streaming import wordcount as stream
 
 
-def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    corpus = splits.read_splits(spark, a.input, a.splits)
-    if not a.clean:
-        return corpus
-    # headers go within each text, without an exchange; where bytes are decoded, from the bytes
-    text = F.encode("text", "ISO-8859-1") if a.clean in ("predownload", "ondemand") else F.col("text")
-    return corpus.withColumn("text", F.array_join(splits.kept_lines(text, a.clean), "\n"))
-
-
 def _counts(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    if not a.direct_read:
-        return jobs.count(_corpus(spark, a), a.job)
-    # splits by line, of any length, from files that Spark reads where they are: gzip or text
-    lines = splits.read_sources(spark, splits.below(_listed(spark, a), a.splits))
+    """Splits of any length: as they are, by byte ranges; with a clean mode, or straight from a crawl's files, by lines."""
+    if not a.direct_read and not a.clean:
+        return jobs.count_ranges(splits.read_ranges(spark, a.input, a.splits), a.job)
+    if a.direct_read:
+        read = splits.read_packed if a.by_members else splits.read_sources
+        lines = read(spark, splits.below(_listed(spark, a), a.splits))
+    else:
+        lines = splits.split_lines(spark, a.input, a.splits)
     lines = splits.cleaned(lines, a.clean or "direct")
-    return jobs.long_split_bigrams(lines, ["block", "line_no"]) if a.job == "bigram" else jobs.count(lines.select("split_id", "text"), a.job)
+    return jobs.long_split_bigrams(lines, ["block", "line_no"], "file") if jobs.job(a.job).pairs else jobs.count(lines.select("split_id", "text"), a.job)
 
 
 def _listed(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -84,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("-r", "--reducers", type=int, default=8)
         c.add_argument("--show", type=int, default=10)
         c.add_argument("--direct-read", action="store_true", help="the input is a crawl's list of paths, read where they are")
+        c.add_argument("--by-members", action="store_true", help="with --direct-read: several tasks unpack each gzip file")
         c.add_argument("--base")
         c.add_argument("--log", help="a folder for the run's timing records")
     sub.choices["run"].add_argument("--splits-dir", required=True, help="where the splits go; those that are there stay")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscount.functions.tokens import crc
+
+#: Buckets of keys that have a checksum each.
+BUCKETS = 1024
+
 
 def matched(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(key, expected, actual, status) of all keys: same, differs, missing or extra.
@@ -46,5 +51,36 @@ def summary(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return found.withColumn("equal", F.expr("differing + missing + extra = 0 and expected_keys = actual_keys and expected_total = actual_total"))
 
 
+def bucket(key: str = "key", buckets: int = BUCKETS) -> Column:
+    return F.pmod(crc(key), F.lit(buckets)).cast("int")
+
+
+def checksums(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, keys, total, a, b): of each bucket of keys how many there are, their sum, and two hashes of its rows in any order.
+
+    A written table of these stands for a result where it is compared again and again.
+    """
+    row = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "key", F.col("n").cast("long")))
+    return counts.groupBy(bucket(buckets=buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").cast("long").alias("total"), row(1).alias("a"), row(2).alias("b"))
+
+
+def differing_buckets(expected: DataFrame, actual: DataFrame) -> list[int]:
+    """The buckets whose checksums aren't the same: a list of BUCKETS numbers at most."""
+    both = expected.select("bucket", F.struct("keys", "total", "a", "b").alias("sum"), F.lit(1).alias("k")).unionAll(actual.select("bucket", F.struct("keys", "total", "a", "b").alias("sum"), F.lit(-1).alias("k")))
+    odd = both.groupBy("bucket", "sum").agg(F.sum("k").alias("k")).where("k <> 0")
+    return sorted({r["bucket"] for r in odd.select("bucket").collect()})
+
+
+def diff_by_buckets(expected: DataFrame, actual: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """diff(), where only the buckets of keys whose checksums differ are compared key by key.
+
+    Checksums need no exchange of keys: a row for each task and bucket. Of equal results nothing else is looked at. Rows that
+    are equal in number, sum and both hashes (128 bits) of their bucket count as the same. Each result has a key once.
+    """
+    odd = differing_buckets(checksums(expected, buckets), checksums(actual, buckets))
+    some = lambda df: df.where(bucket(buckets=buckets).isin(odd)) if odd else df.limit(0)
+    return diff(some(expected), some(actual))
+
+
 def agree(expected: DataFrame, actual: DataFrame) -> bool:
     return bool(summary(expected, actual).first()["equal"])

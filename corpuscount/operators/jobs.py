@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from corpuscount.functions.tokens import bigrams, tokens
 from corpuscount.operators.langdict import language_words
+from corpuscount.runtime import parallelism, written
 
 
 @dataclass(frozen=True)
 class JobSpec:
     """A named analysis: ``keys`` turns (…, text) into (…, key), a row for each occurrence.
 
-    keys(corpus, kept): kept are the columns that go along, by which a grouped count is made.
+    keys(corpus, kept): kept are the columns that go along, by which a grouped count is made. pairs: each key is of a token
+    and the one before it.
     """
 
     name: str
     keys: Callable[[DataFrame, list[str]], DataFrame]
+    pairs: bool = False
 
 
 def _wordcount(corpus: DataFrame, kept: list[str]) -> DataFrame:
@@ -53,7 +56,7 @@ def register(spec: JobSpec) -> JobSpec:
 
 
 for _name, _keys in (("wordcount", _wordcount), ("lang", _lang), ("wordlen", _wordlen), ("bigram", _bigram)):
-    register(JobSpec(_name, _keys))
+    register(JobSpec(_name, _keys, _name == "bigram"))
 
 
 def job(name: str) -> JobSpec:
@@ -86,14 +89,33 @@ def count(corpus: DataFrame, name: str, by: list[str] | None = None) -> DataFram
     return job(name).keys(spread(corpus), by).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def long_split_bigrams(lines: DataFrame, order: list[str], split: str = "split_id") -> DataFrame:
+def count_ranges(ranges: DataFrame, name: str) -> DataFrame:
+    """(key, n) of a job over splits of any length, given as rows (prior, text) of parts of them: prior is the token before a row.
+
+    Rows need no order and no exchange: behind the token before it, a row has all pairs that end in it.
+    """
+    spec = job(name)
+    text = F.concat_ws(" ", "prior", "text") if spec.pairs else F.col("text")
+    return spec.keys(ranges.select(text.alias("text")), []).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def long_split_bigrams(lines: DataFrame, order: list[str], split: str = "split_id", segment: Column | str | None = None) -> DataFrame:
     """Bigrams (key, n) of splits that are too long for a row: one row for a line, in the order of ``order``.
 
-    Only the first and last token of each line meet in the window; pairs within a line never leave it.
+    segment rises with the order and cuts a split into stretches of bounded length (a file's block, a thousand turns): each is
+    ordered by itself, and only its first and last token go on, one row a stretch, to meet those of its neighbours. Without
+    one, the first column of several in the order is it. Pairs within a line never leave it.
     """
-    rows = lines.select(split, *order, F.element_at(F.transform(F.array(tokens("text")), lambda t: F.struct(F.get(t, F.lit(0)).alias("a"), F.when(F.size(t) > 0, F.element_at(t, -1)).alias("b"))), 1).alias("ends"), "text")
-    across = rows.where("ends.a is not null").select(split, *order, "ends.a", "ends.b").withColumn("p", F.lag("b").over(W.partitionBy(split).orderBy(*order)))
-    keys = across.where("p is not null").select(F.lower(F.concat_ws(" ", "p", "a")).alias("key"))
+    seg = segment if segment is not None else order[0] if len(order) > 1 else F.lit(0)
+    ends = F.element_at(F.transform(F.array(tokens("text")), lambda t: F.struct(F.get(t, F.lit(0)).alias("a"), F.when(F.size(t) > 0, F.element_at(t, -1)).alias("b"))), 1)
+    rows = lines.select(F.col(split).alias("split"), (F.col(seg) if isinstance(seg, str) else seg).alias("seg"), F.struct(*order).alias("at"), ends.alias("ends"))
+    within = W.partitionBy("split", "seg").orderBy("at")
+    rows = rows.where("ends.a is not null").select("split", "seg", "at", "ends.a", "ends.b").withColumns({"p": F.lag("b").over(within), "next": F.lead("a").over(within)})
+    # the first token of a stretch and the last one of the stretch before it that has any
+    edge = rows.where("p is null or next is null").groupBy("split", "seg").agg(F.max(F.when(F.col("p").isNull(), F.col("a"))).alias("a"), F.max(F.when(F.col("next").isNull(), F.col("b"))).alias("b"))
+    across = edge.withColumn("p", F.lag("b").over(W.partitionBy("split").orderBy("seg")))
+    pairs = rows.select("p", "a").unionAll(across.select("p", "a")).where("p is not null")
+    keys = pairs.select(F.lower(F.concat_ws(" ", "p", "a")).alias("key"))
     return keys.unionByName(_bigram(lines, [])).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,11 +125,30 @@ def top(counts: DataFrame, n: int) -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """(rank, key, n, share): for results of few keys; the whole result is ordered by one task."""
+    """(rank, key, n, share): for results of few keys; the whole result is ordered by one task. ranked_all() is for any size."""
     whole = W.partitionBy(F.lit(0))
     return counts.select(F.row_number().over(whole.orderBy(F.desc("n"), "key")).cast("long").alias("rank"), "key", "n", F.round(F.col("n") / F.sum("n").over(whole), 6).alias("share"))
 
 
+def ranked_all(counts: DataFrame) -> DataFrame:
+    """(rank, key, n, share) of results of any size.
+
+    Keys are dealt out by ranges of (count, key), and numbered within a range as they are written; a range's first rank is the
+    number of keys in the ranges before it: one row a range, which is broadcast (there are as many as shuffle partitions).
+    """
+    parts = parallelism(counts.sparkSession)
+    order = [F.desc("n"), F.col("key")]
+    # an id is the partition's number and, in the lower 33 bits, the row's place in it
+    rows = written(counts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "n", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("sum"))
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("keys").over(before), F.lit(0)).alias("first"), F.sum("sum").over(W.partitionBy(F.lit(0))).alias("total"))
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    found = rows.withColumn("part", part).join(F.broadcast(starts), "part")
+    return found.select((F.col("first") + place + 1).cast("long").alias("rank"), "key", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
 def totals(counts: DataFrame) -> DataFrame:
     """(distinct_keys, total)."""
     return counts.agg(F.count(F.lit(1)).alias("distinct_keys"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))

@@ -8,23 +8,106 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from corpuscount.runtime import written
 
 #: A series is noisy from so many samples, beyond this coefficient of variation.
 NOISY_COUNT, NOISY_CV = 5, 0.5
+#: Up to so many rows, a few for each label, are held by the driver and broadcast; more are written and joined.
+FEW_ROWS = 10_000
+#: Values of a range that are put in order; of more the range is cut further.
+SORTED = 100_000
+#: The quantiles of a series.
+QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95}
+
+
+def _key(value: str) -> Column:
+    """A double as a long of the same order, read without a sign; NaN comes last, and both zeros are one."""
+    bits = F.expr(f"cast(java_method('java.lang.Double', 'doubleToLongBits', cast({value} as double) + 0.0D) as long)")
+    return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63))))
+
+
+def _value(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit(-(1 << 63)))).otherwise(F.bitwise_not(key))
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+    """The rows of df, worked out once: up to FEW_ROWS as a list of the driver's (given too), more as a written table."""
+    rows = df.limit(FEW_ROWS + 1).collect()
+    if len(rows) > FEW_ROWS:
+        return written(df), None
+    local = pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], to_arrow_schema(df.schema))
+    return df.sparkSession.createDataFrame(local, df.schema), rows
+
+
+def order_statistics(samples: DataFrame, ranks: DataFrame, most: int | None = None) -> DataFrame:
+    """(label, rank, value): the value of each wanted rank (0: the least) of each label, exactly. Labels aren't null.
+
+    Values are selected by repeated counts: of the 2**16 ranges of all doubles, those that hold a wanted rank are found from
+    the ranges' counts, then the 2**16 ranges within each of these, and so on, until none of them holds more than SORTED
+    values (four times give single values): only these are put in order. So no task holds a label's values, whatever their
+    number, and from the first counts on only the rows of the ranges found are looked at. most: values of the largest label,
+    where that is known: no ranges are needed if it is small.
+    """
+    prefix = lambda shift: F.shiftrightunsigned("key", shift) if shift < 64 else F.lit(0).cast("long")
+    rows = samples.where("sample is not null").select("label", _key("sample").alias("key"))
+    found = ranks.select("label", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").cast("long").alias("left"))
+    shift, wanted = 64, None
+    while shift and (most is None or most > SORTED):
+        if wanted is not None:
+            rows = rows.withColumn("prefix", prefix(shift)).join(wanted, ["label", "prefix"], "left_semi").drop("prefix")
+        if shift == 32:
+            rows = written(rows)  # what is left is a small share
+        counts = rows.groupBy("label", prefix(shift).alias("prefix"), prefix(shift - 16).alias("longer")).agg(F.count(F.lit(1)).alias("n"))
+        before = W.partitionBy("label", "prefix").orderBy(_signed("longer")).rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+        met = found.join(counts, ["label", "prefix"]).where("left >= before and left < before + n")
+        ranges, known = _kept(met.select("label", "rank", F.col("longer").alias("prefix"), (F.col("left") - F.col("before")).alias("left"), "n"))
+        most = max((r["n"] for r in known), default=0) if known is not None else ranges.agg(F.max("n")).first()[0]
+        found = ranges.drop("n")
+        wanted = found.select("label", "prefix").distinct() if known is None else F.broadcast(found.select("label", "prefix").distinct())
+        shift -= 16
+    if not shift:
+        return found.select("label", "rank", _value(F.col("prefix")).alias("value"))
+    few = rows.withColumn("prefix", prefix(shift))
+    few = few if wanted is None else few.join(wanted, ["label", "prefix"], "left_semi")
+    order = F.row_number().over(W.partitionBy("label", "prefix").orderBy(_signed("key")))
+    return few.withColumn("left", (order - 1).cast("long")).join(found, ["label", "prefix", "left"]).select("label", "rank", _value(F.col("key")).alias("value"))
+
+
+def _signed(key: str) -> Column:
+    """What is to be read without a sign, in the order of signed numbers."""
+    return F.col(key).bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def series_stats(samples: DataFrame) -> DataFrame:
-    """Per label: count, total, mean, median, population deviation, its ratio to the mean, extremes, and 90th and 95th percentile."""
-    quantile = lambda q: F.percentile("sample", F.lit(q))
-    return (
-        samples.where("sample is not null")
-        .groupBy("label")
-        .agg(F.count("sample").alias("count"), F.sum("sample").cast("double").alias("total"), F.avg("sample").alias("mean"), quantile(0.5).alias("median"), F.stddev_pop("sample").alias("stdev"), F.min("sample").cast("double").alias("minimum"), F.max("sample").cast("double").alias("maximum"), quantile(0.9).alias("p90"), quantile(0.95).alias("p95"))
-        .withColumn("cv", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("stdev") / F.col("mean")))
-    )
+    """Per label: count, total, mean, median, population deviation, its ratio to the mean, extremes, and 90th and 95th percentile.
+
+    Null samples don't count; a null label is a label too. Quantiles are exact, with linear interpolation between neighbours,
+    and need no memory for a label's samples (order_statistics).
+    """
+    # labels are joined below: null ones under a name of their own
+    label = F.struct(F.col("label").isNull().alias("none"), F.coalesce("label", F.lit("")).alias("name"))
+    named = samples.where("sample is not null").select(label.alias("label"), "sample")
+    sums, known = _kept(named.groupBy("label").agg(F.count("sample").alias("count"), F.sum("sample").cast("double").alias("total"), F.avg("sample").alias("mean"), F.stddev_pop("sample").alias("stdev"), F.min("sample").cast("double").alias("minimum"), F.max("sample").cast("double").alias("maximum")))
+    place = {c: (F.col("count") - 1) * F.lit(q) for c, q in QUANTILES.items()}
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)]))
+    values = order_statistics(named, sums.select("label", F.explode(ranks).alias("rank")), max((r["count"] for r in known), default=0) if known is not None else None)
+    at = values.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # two ranks a quantile at most
+
+    def between(p: Column) -> Column:
+        low, high = F.col("at")[F.floor(p).cast("long")], F.col("at")[F.ceil(p).cast("long")]
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
+    both = sums.join(at, "label").withColumns({c: between(p) for c, p in place.items()})
+    cv = F.when(F.col("mean") == 0, 0.0).otherwise(F.col("stdev") / F.col("mean"))
+    return both.select(F.when(~F.col("label.none"), F.col("label.name")).alias("label"), "count", "total", "mean", "median", "stdev", "minimum", "maximum", "p90", "p95", cv.alias("cv"))
 
 
 def category_rollup(samples: DataFrame, seq: str = "seq") -> DataFrame:

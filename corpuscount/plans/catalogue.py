@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuscount.functions.forms import amdahl, human_duration, karp_flatt
 from corpuscount.functions.tokens import reducer
 from corpuscount.operators import compare, fleet, jobs, langdict, layout, scaling, stats
-from corpuscount.runtime import shared_dir
+from corpuscount.runtime import shared_dir, written
 from corpuscount.sources import splits
 from corpuscount.streaming import wordcount as stream
 
@@ -93,6 +93,12 @@ def wordlen_share(spark: SparkSession, d: str) -> DataFrame:
     return jobs.ranked(jobs.count(_docs(spark, d), "wordlen"))
 
 
+@query(f"WITH {_WC} {_RANK.format('wc')}")
+def wordcount_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Rank and share of every word."""
+    return jobs.ranked_all(jobs.count(_docs(spark, d), "wordcount"))
+
+
 def _with_headers(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents, every third document with header lines before it: the tables have none of their own."""
     heads = F.lit("WARC/1.0\nWARC-Type: conversion\nContent-Type: text/plain\ncontent-length: 7\nMetadata-x: y\n")
@@ -119,7 +125,7 @@ def wordcount_strip_strict(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT unnest(list_transform(range(1, len(a)), lambda i: lower(a[i] || ' ' || a[i + 1]))) AS key FROM c WHERE len(a) > 1) SELECT key, count(*) AS n FROM t GROUP BY key""")
 def bigram_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Turns are lines of a split that may be long: pairs go across turns, and no conversation is held in one row."""
-    return jobs.long_split_bigrams(_table(spark, d, "conversations").select(F.col("conv_id").alias("split_id"), "turn", "text"), ["turn"])
+    return jobs.long_split_bigrams(_table(spark, d, "conversations").select(F.col("conv_id").alias("split_id"), "turn", "text"), ["turn"], segment=F.floor(F.col("turn") / 1000))
 
 
 @query("WITH t AS (SELECT lower(unnest(regexp_extract_all(html, '[A-Za-z0-9]+'))) AS key FROM pages) SELECT key, count(*) AS n FROM t GROUP BY key")
@@ -213,6 +219,13 @@ def compare_diff(spark: SparkSession, d: str) -> DataFrame:
     return compare.diff(a, _changed(a))
 
 
+@query(f"WITH {_PERTURBED} SELECT key, expected, actual, status FROM f")
+def compare_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same by checksums: only the buckets of keys that differ are compared key by key."""
+    a = written(wordcount(spark, d))
+    return compare.diff_by_buckets(a, _changed(a))
+
+
 @query(f"WITH {_PERTURBED} SELECT key, expected, actual, status FROM f WHERE status <> 'extra'")
 def compare_mismatches(spark: SparkSession, d: str) -> DataFrame:
     a = wordcount(spark, d)

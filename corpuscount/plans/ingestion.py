@@ -10,19 +10,23 @@ from corpuscount.functions.tokens import decoded, tokens
 from corpuscount.operators import fleet, jobs, scaling, timing
 from corpuscount.plans.catalogue import _LOADS, _RUNS, _TOK, _docs, _loads, _runs, _table, query
 from corpuscount.runtime import shared_dir
-from corpuscount.sources import records, sinks, splits
+from corpuscount.sources import ranges, records, sinks, splits
 from corpuscount.streaming import wordcount as stream
 
 SPLITS, CAP = 8, 500
 _HEADS = ("WARC/1.0", "WARC-Type: conversion", "Content-Type: text/plain", "content-length: 7", "Metadata-x: y")
 
 
-def _crawl(spark: SparkSession, d: str) -> DataFrame:
-    """(split_id, path) of gzip files: documents by their ids' remainder, every third with header lines before it."""
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(split_id, doc_id, value): documents by their ids' remainder, every third with header lines before it."""
     head = F.when(F.col("doc_id") % 3 == 0, F.lit("".join(x + "\n" for x in _HEADS))).otherwise("")
-    text = _table(spark, d, "documents").select((F.col("doc_id") % SPLITS).cast("int").alias("split_id"), "doc_id", F.concat(head, "text").alias("value"))
+    return _table(spark, d, "documents").where("text is not null").select((F.col("doc_id") % SPLITS).cast("int").alias("split_id"), "doc_id", F.concat(head, "text").alias("value"))
+
+
+def _crawl(spark: SparkSession, d: str) -> DataFrame:
+    """(split_id, path) of gzip files that hold these texts."""
     path = shared_dir(spark)
-    rows = text.repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id").select("split_id", "value")
+    rows = _texts(spark, d).repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id").select("split_id", "value")
     rows.write.partitionBy("split_id").option("compression", "gzip").text(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
     return spark.createDataFrame([(p,) for p in files], "path string").select(F.regexp_extract("path", r"split_id=(\d+)", 1).cast("int").alias("split_id"), "path")
@@ -52,6 +56,30 @@ def direct_read(spark: SparkSession, d: str) -> DataFrame:
     return jobs.count(splits.cleaned(splits.read_sources(spark, _crawl(spark, d)).select("split_id", "text"), "direct"), "wordcount")
 
 
+@query(f"WITH {_CRAWL}, {_BATCH}, {_WORDS.format('kept')}")
+def member_read(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl of gzip files with a member for each document, unpacked by many tasks a file; headers out."""
+    path = shared_dir(spark)
+    value = F.concat("value", F.lit("\n")).cast("binary")
+    rows = _texts(spark, d).repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id").select("split_id", value.alias("value"))
+    ranges.write_members(rows, path)
+    names = spark.range(SPLITS).select(F.col("id").cast("int").alias("split_id"), F.concat(F.lit(f"{path}/"), F.col("id").cast("string"), F.lit(".gz")).alias("path"))
+    there = _texts(spark, d).select("split_id").distinct()
+    lines = splits.read_packed(spark, names.join(there, "split_id"))
+    return jobs.count(splits.cleaned(lines.select("split_id", "text"), "direct"), "wordcount")
+
+
+@query("""WITH s AS (SELECT doc_id % 8 AS split_id, regexp_extract_all(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), '[A-Za-z0-9]+') AS a FROM documents GROUP BY 1),
+t AS (SELECT unnest(list_transform(range(1, len(a)), lambda i: lower(a[i] || ' ' || a[i + 1]))) AS key FROM s WHERE len(a) > 1) SELECT key, count(*) AS n FROM t GROUP BY key""")
+def range_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of adjacent tokens in a few long split files, each read by many tasks, a byte range each: no row holds a file."""
+    path = shared_dir(spark)
+    rows = _table(spark, d, "documents").select((F.col("doc_id") % SPLITS).cast("int").alias("split_id"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows = rows.repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id")
+    sinks.write_named(rows, path, "split_id", lambda k: f"commoncrawl-{k:04d}.txt", list(range(SPLITS)))
+    return jobs.count_ranges(splits.read_ranges(spark, path), "bigram")
+
+
 @query(f"WITH {_CRAWL}, {_WORDS.format('lines')}")
 def on_demand(spark: SparkSession, d: str) -> DataFrame:
     """Splits that are there are read as they are, the others from the crawl; headers stay."""

@@ -21,7 +21,9 @@ def write_named(lines: DataFrame, path: str, column: str, names: Callable[[int],
     """Text files of the column ``value``, one for each number in ``wanted``, an empty one where there are no rows.
 
     lines hold all rows of a number in one partition, in order. Executors write under a hidden folder beside the target; once
-    the job is committed, the driver renames: the target appears whole, or not at all. It replaces what was there.
+    the job is committed, the driver renames, and only then what was there goes: a job that fails leaves the old target whole.
+    Between two renames there is no target, for a moment; a driver that ends there leaves the new files under the hidden name
+    ``._staged`` and the old ones under ``._old``, each whole.
     """
     spark = lines.sparkSession
     staged = path.rstrip("/") + "._staged"
@@ -43,10 +45,16 @@ def write_named(lines: DataFrame, path: str, column: str, names: Callable[[int],
         list(pool.map(name, wanted))
     fs.delete(new(f"{staged}/rows"), True)
     fs.create(new(f"{staged}/_SUCCESS")).close()
-    target = new(path)
-    fs.delete(target, True)
+    target, old = new(path), new(path.rstrip("/") + "._old")
+    fs.delete(old, True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"could not rename {path}")
     if not fs.rename(root, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"could not rename {staged}")
+    fs.delete(old, True)
 
 
 def write_parts(counts: DataFrame, path: str, reducers: int) -> None:

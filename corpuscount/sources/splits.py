@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscount.functions.tokens import decoded, latin1, tokens
+from corpuscount.runtime import written
+from corpuscount.sources.ranges import RANGE, member_index, read_members, read_token_ranges
 from corpuscount.sources.sinks import files_of, write_named
 
 #: Numbers have four digits, and more from 10,000 on.
@@ -43,6 +45,22 @@ def read_splits(spark: SparkSession, path: str, n: int | None = None) -> DataFra
     return below(files.select(split_id(F.col("path")).alias("split_id"), latin1("content").alias("text")), n)
 
 
+def read_ranges(spark: SparkSession, path: str, n: int | None = None, range_bytes: int = RANGE) -> DataFrame:
+    """(split_id, file, start, prior, text) of splits of any length: their bytes, one character each, in rows of about 1 MB.
+
+    Files are cut into byte ranges where no token is; prior is the token before a row (jobs.count_ranges).
+    """
+    rows = read_token_ranges(spark, path, range_bytes=range_bytes)
+    return below(rows.select(split_id(F.col("file")).alias("split_id"), "*"), n)
+
+
+def split_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """(split_id, file, block, line_no, text) of the split files of a folder and its subfolders, a row for each line."""
+    files = spark.read.options(**_WHOLE).option("recursiveFileLookup", "true").option("pathGlobFilter", "commoncrawl-*.txt").option("lineSep", "\n").text(path)
+    lines = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
+    return below(lines.select(split_id(F.col("file")).alias("split_id"), "*"), n)
+
+
 def split_sizes(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(split_id, bytes, tokens) of the split files that read_splits() reads, a row for each file that holds a byte.
 
@@ -136,6 +154,21 @@ def read_sources(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return lines.join(named.select("split_id", _plain("whole").alias("__file")), _plain(F.col("file")) == F.col("__file")).drop("__file")
 
 
+def read_packed(spark: SparkSession, sources: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """(split_id, file, block, line_no, text), as read_sources() gives, of gzip files that many tasks unpack at once.
+
+    The files' members are found first: each file is unpacked once for that and once to be read, by as many tasks as it has
+    stretches. It pays where there are fewer files than cores, or they are very long; else read_sources() does.
+    """
+    paths = [r["path"] for r in sources.select("path").toLocalIterator()]
+    if not paths:
+        raise ValueError("no source")
+    index = member_index(spark, paths, range_bytes=range_bytes)
+    plain = lambda c: F.regexp_replace(_plain(c), "^file:", "")
+    named = sources.select("split_id", plain(F.col("path")).alias("__file"))
+    return read_members(written(index.join(named, plain(F.col("file")) == F.col("__file"))))
+
+
 def ingest(spark: SparkSession, sources: DataFrame, target: str, mode: str = "predownload") -> None:
     """Clean sources (split_id, path) into the split files of the target folder, which read_splits() reads. One job for all.
 

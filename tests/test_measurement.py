@@ -126,3 +126,32 @@ def test_timed_tasks_are_those_of_the_work(spark):
     with pytest.raises(ValueError), timing.event_log(spark):
         raise ValueError
     assert spark.sparkContext.getLocalProperty(timing.MARK) is None
+
+
+@pytest.mark.parametrize(("sorted_", "few"), [(100_000, 10_000), (3, 10_000), (3, 2), (1, 0)])
+def test_order_statistics_are_exact_without_a_buffer(spark, monkeypatch, sorted_, few):
+    """By ranges cut once, or down to single values; with lists of the driver's or written tables."""
+    import math
+    import random
+
+    monkeypatch.setattr(stats, "SORTED", sorted_)
+    monkeypatch.setattr(stats, "FEW_ROWS", few)
+    rng = random.Random(4)
+    series = {"a": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(60)], "b": [1.5] * 30 + [0.0, -0.0, 5e-324, -5e-324, float("inf"), -float("inf")], "c": [rng.gauss(100, 0.001) for _ in range(41)], None: [2.0]}
+    rows = [(k, v) for k, x in series.items() for v in x] + [("a", None), ("d", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "label string, sample double")
+    ranks = [(k, r) for k, x in series.items() if k for r in (0, 1, len(x) // 2, len(x) - 1)]
+    got = stats.order_statistics(df.where("label is not null"), spark.createDataFrame(ranks, "label string, rank long"))
+    assert {(r["label"], r["rank"]): r["value"] for r in got.collect()} == {(k, r): sorted(series[k])[r] for k, r in ranks}
+
+    def quantile(x, q):
+        x, p = sorted(x), q * (len(x) - 1)
+        low, high = x[math.floor(p)], x[math.ceil(p)]
+        return low if low == high else (math.ceil(p) - p) * low + (p - math.floor(p)) * high
+
+    found = stats.series_stats(df)
+    for r in found.collect():
+        assert [r[c] for c in ("median", "p90", "p95")] == [quantile(series[r["label"]], q) for q in (0.5, 0.9, 0.95)] and r["count"] == len(series[r["label"]])
+    assert found.count() == 4 and "percentile" not in found._jdf.queryExecution().toString()
+    assert stats.series_stats(df.where("sample > 1e308 and sample < 0")).count() == 0
