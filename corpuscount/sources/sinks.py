@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscount.operators.layout import laid_out
+from corpuscount.runtime import setting
 
 
 def files_of(spark: SparkSession, path: str):
@@ -27,7 +28,8 @@ def write_named(lines: DataFrame, path: str, column: str, names: Callable[[int],
     """
     spark = lines.sparkSession
     staged = path.rstrip("/") + "._staged"
-    lines.select(column, "value").write.mode("overwrite").partitionBy(column).text(f"{staged}/rows")
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # nothing reads its shuffles again
+        lines.select(column, "value").write.mode("overwrite").partitionBy(column).text(f"{staged}/rows")
     fs, root = files_of(spark, staged)
     new = spark._jvm.org.apache.hadoop.fs.Path
 
