@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscount.functions.forms import amdahl
 
-#: Runs that a fit may collect: a measurement series, not data that grows.
-MOST_RUNS = 10_000
-
-
 def valid_runs(runs: DataFrame) -> DataFrame:
     """Runs that ended, by number of workers; an error if there is none."""
     ok = runs.where("t_total is not null")
@@ -35,27 +30,35 @@ def speedup(runs: DataFrame) -> DataFrame:
     return out.withColumn("speedup_adj", F.when(has, F.first(adj).over(least) / adj))
 
 
-def fit_serial(runs: DataFrame) -> float:
-    """The serial fraction in [0, 1] whose law is nearest to the speedups by least squares.
+#: Places of a grid, and how much closer together they are in the next one.
+GRID, FINER = 1000, (1 / 1000, 1 / 400_000, 1 / 160_000_000)
+
 
-    The runs come to the driver: a measurement series of at most MOST_RUNS rows.
+def serial_fit(runs: DataFrame) -> DataFrame:
+    """One row (f): the serial fraction in [0, 1] whose law is nearest to the speedups by least squares.
+
+    Three grids of GRID + 1 places, each around the best place of the one before. Every run meets the places of a grid in its own
+    task, and squared distances are summed by place: only one row goes from grid to grid.
     """
-    rows = speedup(runs).select("n_workers", "speedup").limit(MOST_RUNS + 1).collect()
-    if len(rows) > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} runs")
-    n, s = (np.array([r[k] for r in rows], float) for k in (0, 1))
-    low, high = 0.0, 1.0
-    for _ in range(12):  # ever finer grids around the best so far
-        f = np.linspace(low, high, 101)
-        best = int((((1 / (f[:, None] + (1 - f[:, None]) / n)) - s) ** 2).sum(axis=1).argmin())
-        low, high = f[max(best - 1, 0)], f[min(best + 1, 100)]
-    return float((low + high) / 2)
+    rows = speedup(runs).select("n_workers", "speedup")
+    best = None
+    for step in FINER:
+        steps = F.sequence(F.lit(0), F.lit(GRID)) if best is None else F.sequence(F.lit(-GRID // 2), F.lit(GRID // 2))
+        around = rows.withColumn("at", F.lit(0.0)) if best is None else rows.join(F.broadcast(best.withColumnRenamed("f", "at")))  # one row
+        places = around.select("n_workers", "speedup", F.explode(F.transform(steps, lambda i: F.col("at") + i / F.lit(1 / step))).alias("f")).where("f between 1e-12 and 1")
+        off = amdahl(F.col("n_workers"), F.col("f")) - F.col("speedup")
+        sums = places.groupBy("f").agg(F.sum(off * off).alias("e"))
+        best = sums.agg(F.min_by("f", F.struct("e", "f")).alias("f")).where("f is not null")
+    return best
+
+
+def fit_serial(runs: DataFrame) -> float:
+    return float(serial_fit(runs).first()["f"])
 
 
 def amdahl_fit(runs: DataFrame) -> DataFrame:
     """One row: serial fraction and the speedup that it bounds."""
-    f = fit_serial(runs)
-    return runs.sparkSession.range(1).select(F.round(F.lit(f), 6).alias("serial_fraction"), F.round(F.lit(1 / f if f else float("inf")), 4).alias("max_speedup"))
+    return serial_fit(runs).select(F.round("f", 6).alias("serial_fraction"), F.round(1 / F.col("f"), 4).alias("max_speedup"))
 
 
 def curve(runs: DataFrame, serial: float) -> DataFrame:

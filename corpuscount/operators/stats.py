@@ -133,6 +133,22 @@ def noisy(samples: DataFrame) -> DataFrame:
     return series_stats(samples).where((F.col("count") >= NOISY_COUNT) & (F.col("cv") > NOISY_CV))
 
 
+def report(samples: DataFrame, seq: str = "seq") -> DataFrame:
+    """(label, category, count, total, mean, p95, percent) of each series, largest total first; its category is the one that it came with first."""
+    owner = samples.where("sample is not null").groupBy("label").agg(F.min_by("category", seq).alias("category"))
+    known = series_stats(samples)
+    both = known.join(owner, known["label"].eqNullSafe(owner["label"])).select(known["label"], "category", "count", "total", "mean", "p95")
+    return both.withColumn("percent", 100.0 * F.col("total") / F.sum("total").over(W.partitionBy(F.lit(0)))).orderBy(F.desc("total"), "label")
+
+
+def _shown(ns: float) -> str:
+    """A duration as human_duration() writes it, for this process's own report."""
+    for size, unit in ((1e9, "s"), (1e6, "ms"), (1e3, "µs")):
+        if ns >= size:
+            return f"{ns / size:.3f} {unit}"
+    return f"{int(ns)} ns"
+
+
 class Recorder:
     """Takes samples in this process: phase(), timed(), record() and benchmark(); samples() gives them as rows."""
 
@@ -175,19 +191,26 @@ class Recorder:
             if spent >= min_time * 1e9:
                 break
 
-    def report(self, spark: SparkSession) -> str:
-        """Phases by falling total with their share, categories, the largest of both, and the noisy series: lines of text."""
+    def report(self, spark: SparkSession, title: str = "timing report") -> str:
+        """Lines of text: phases by falling total with count, mean, 95th percentile and share; categories; the largest of both; noisy series."""
+        if not self.rows:
+            return f"{title}: no samples"
         samples = self.samples(spark)
-        lines = [f"{r['label']}: {r['total'] / 1e9:.6f} s ({r['percent']:.1f} %)" for r in phases(samples).collect()]
-        lines += [f"[{r['category']}] {r['total'] / 1e9:.6f} s ({r['percent']:.1f} %)" for r in category_rollup(samples).collect()]
-        lines += [f"largest {r['kind']}: {r['name']}" for r in bottleneck(samples).orderBy("kind").collect()]
+        show = lambda ns: _shown(float(ns))
+        lines = [title, f"{'phase':<26}{'n':>6}{'total':>13}{'mean':>13}{'p95':>13}{'%':>7}"]
+        lines += [f"{r['label']:<26}{r['count']:>6}{show(r['total']):>13}{show(r['mean']):>13}{show(r['p95']):>13}{r['percent']:>7.1f}" for r in report(samples).collect()]
+        lines += [f"[{r['category']}] {show(r['total'])} ({r['percent']:.1f} %)" for r in category_rollup(samples).collect()]
+        lines += [f"largest {r['kind']}: {r['name']} ({show(r['total'])})" for r in bottleneck(samples).orderBy("kind").collect()]
         return "\n".join(lines + [f"noisy: {r['label']} (cv {r['cv']:.2f})" for r in noisy(samples).orderBy("label").collect()])
 
-    def save(self, path: str) -> None:
-        """The series as JSON: label -> category and samples in nanoseconds."""
-        out: dict[str, dict] = {}
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """As JSON: clock, unit, series (label -> category and samples in nanoseconds) and, with a session, the statistics of each."""
+        series: dict[str, dict] = {}
         for _, label, category, ns in self.rows:
-            out.setdefault(label, {"category": category, "samples_ns": []})["samples_ns"].append(ns)
+            series.setdefault(label, {"category": category, "samples": []})["samples"].append(ns)
+        out = {"clock": "perf_counter_ns", "unit": "ns", "series": series}
+        if spark is not None:
+            out["stats"] = [{"label": r["label"], "category": series[r["label"]]["category"]} | {c: r[c] for c in r.asDict() if c != "label"} for r in series_stats(self.samples(spark)).orderBy("label").collect()]
         with open(path, "w", encoding="utf-8") as f:
             json.dump(out, f, indent=1)
 

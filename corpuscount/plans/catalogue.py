@@ -258,9 +258,12 @@ def split_subset(spark: SparkSession, d: str) -> DataFrame:
     return jobs.count(splits.below(_docs(spark, d), 16), "wordcount")
 
 
-@query(f"WITH {_SW} SELECT word, lang FROM sw")
+@query(f"WITH {_TOK}, {_SW} SELECT word, lang, count(tok.t) AS n FROM sw LEFT JOIN tok ON tok.t = sw.word GROUP BY 1, 2")
 def lang_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return langdict.language_words(spark)
+    """Each word that tells a language, and how often it occurs, if at all."""
+    hits = jobs.count(_docs(spark, d), "wordcount")
+    found = langdict.language_words(spark).join(hits, F.col("word") == F.col("key"), "left")
+    return found.select("word", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("SELECT event_type AS key, CAST(arg_max(event_id * 7919 % 1000 - event_id, event_id) AS BIGINT) AS n FROM events GROUP BY 1")
@@ -296,6 +299,12 @@ def noisy_series(spark: SparkSession, d: str) -> DataFrame:
     return _r(stats.noisy(_samples(spark, d)), *_STAT_COLS)
 
 
+@query(f"""WITH {_SAMPLES}, {_STATS}, w AS (SELECT label, arg_min(category, seq) AS category FROM s WHERE sample IS NOT NULL GROUP BY label)
+SELECT st.label, category, count, round(total, 4) AS total, round(mean, 4) AS mean, round(p95, 4) AS p95, round(100 * total / sum(total) OVER (), 4) AS percent FROM st JOIN w ON st.label = w.label""")
+def timing_report(spark: SparkSession, d: str) -> DataFrame:
+    return _r(stats.report(_samples(spark, d)), "total", "mean", "p95", "percent")
+
+
 _ROLL = "o AS (SELECT label, arg_min(category, seq) AS category, sum(sample) AS total FROM s GROUP BY label), c AS (SELECT category, sum(total) AS total FROM o GROUP BY category)"
 
 

@@ -11,6 +11,7 @@ from corpuscount.operators import fleet, jobs, scaling, timing
 from corpuscount.plans.catalogue import _LOADS, _RUNS, _TOK, _docs, _loads, _runs, _table, query
 from corpuscount.runtime import shared_dir
 from corpuscount.sources import ranges, records, sinks, splits
+from corpuscount.streaming import crawl
 from corpuscount.streaming import wordcount as stream
 
 SPLITS, CAP = 8, 500
@@ -59,13 +60,7 @@ def direct_read(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CRAWL}, {_BATCH}, {_WORDS.format('kept')}")
 def member_read(spark: SparkSession, d: str) -> DataFrame:
     """A crawl of gzip files with a member for each document, unpacked by many tasks a file; headers out."""
-    path = shared_dir(spark)
-    value = F.concat("value", F.lit("\n")).cast("binary")
-    rows = _texts(spark, d).repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id").select("split_id", value.alias("value"))
-    ranges.write_members(rows, path)
-    names = spark.range(SPLITS).select(F.col("id").cast("int").alias("split_id"), F.concat(F.lit(f"{path}/"), F.col("id").cast("string"), F.lit(".gz")).alias("path"))
-    there = _texts(spark, d).select("split_id").distinct()
-    lines = splits.read_packed(spark, names.join(there, "split_id"))
+    lines = splits.read_packed(spark, _members(spark, d))
     return jobs.count(splits.cleaned(lines.select("split_id", "text"), "direct"), "wordcount")
 
 
@@ -120,6 +115,40 @@ def crawl_stream(spark: SparkSession, d: str) -> DataFrame:
     return stream.latest(stream.read_changelog(spark, f"{base}/changelog"))
 
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """(split_id, path) of gzip files with a member for each document."""
+    path, k = shared_dir(spark), F.col("id").cast("int")
+    value = F.concat("value", F.lit("\n")).cast("binary")
+    rows = _texts(spark, d).repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id").select("split_id", value.alias("value"))
+    ranges.write_members(rows, path)
+    names = spark.range(SPLITS).select(k.alias("split_id"), F.concat(F.lit(f"{path}/"), k.cast("string"), F.lit(".gz")).alias("path"))
+    return names.join(_texts(spark, d).select("split_id").distinct(), "split_id")
+
+
+@query(f"WITH {_CRAWL}, kept AS (SELECT line FROM lines WHERE NOT regexp_matches(lower(line), '^(warc/|warc-|content-|metadata-)') ORDER BY split_id, doc_id, pos LIMIT {CAP}), {_WORDS.format('kept')}")
+def crawl_stream_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl read as a stream with offsets in lines: batches of 150 lines up to 200, then a new start that goes on to the cap."""
+    index, base = shared_dir(spark), shared_dir(spark)
+    crawl.line_index(spark, _members(spark, d), index)
+    for most in (200, CAP):
+        lines = crawl.crawl_stream(spark, index, f"{base}/state", per_batch=150, most=most)
+        stream.run(lines, f"{base}/changelog", f"{base}/state", timeout=600, stepwise=True)
+    return stream.latest(stream.read_changelog(spark, f"{base}/changelog"))
+
+
+@query(f"WITH {_TOK} SELECT t AS key, count(*) AS n, count(*) AS records, count(*) AS held FROM tok GROUP BY t")
+def stream_records(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of a stream: the last count of each key and its rows in a changelog of every occurrence, and what the state holds."""
+    folder, base = shared_dir(spark), shared_dir(spark)
+    docs = _docs(spark, d)
+    for half in (0, 1):
+        docs.where(F.col("split_id") % 2 == half).select("text").write.mode("append").text(folder)
+        stream.run(stream.line_stream(spark, folder), f"{base}/changelog", f"{base}/state", timeout=900, records=True)
+    log = stream.read_changelog(spark, f"{base}/changelog").groupBy("key").agg(F.max("n").alias("n"), F.count_distinct("n").alias("records"))
+    held = stream.state_counts(spark, f"{base}/state").withColumnRenamed("n", "held")
+    return log.join(held, "key").select("key", "n", "records", "held")
+
+
 @query(f"WITH {_TOK} SELECT t AS key, count(*) AS n FROM tok GROUP BY t")
 def stream_restart(spark: SparkSession, d: str) -> DataFrame:
     """Half of the texts, then a restart from the checkpoint with the others; a run with state of its own counts anew."""

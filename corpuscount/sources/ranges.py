@@ -360,7 +360,7 @@ def read_members(index: DataFrame) -> DataFrame:
             system, path = file_of(r["file"])
             with system.open_input_file(path) as f:
                 found, first = member_lines(f, r["start"], r["stop"], r["begins_line"]), 0
-                while lines := _some(found):
+                while lines := some(found):
                     n = len(lines)
                     cols = [pa.array([r["split_id"]] * n, pa.int32()), pa.array([r["file"]] * n), pa.array([r["start"]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names)
@@ -370,13 +370,13 @@ def read_members(index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "split_id int, file string, block long, line_no long, content binary").select(*names[:4], F.col("content").cast("string").alias("text"))
 
 
-def _some(lines: Iterator[bytes]) -> list[bytes]:
-    """The next lines: some BLOCK bytes."""
+def some(lines: Iterator[bytes], most: int = 4096) -> list[bytes]:
+    """The next lines: some BLOCK bytes, and no more lines than most."""
     out, size = [], 0
     for x in lines:
         out.append(x)
         size += len(x)
-        if size >= BLOCK or len(out) >= 4096:
+        if size >= BLOCK or len(out) >= min(most, 4096):
             break
     return out
 

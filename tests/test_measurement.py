@@ -38,7 +38,14 @@ def test_recorder(spark, tmp_path):
         r.record("q", 10**9 * 4**k, "io")
     assert "largest phase: q" in r.report(spark) and "noisy: q" in r.report(spark)
     r.save(str(tmp_path / "t.json"))
-    assert json.loads((tmp_path / "t.json").read_text())["p"]["category"] == "io"
+    saved = json.loads((tmp_path / "t.json").read_text())
+    assert (saved["clock"], saved["unit"], saved["series"]["p"]["category"]) == ("perf_counter_ns", "ns", "io") and len(saved["series"]["q"]["samples"]) == 6
+    r.save(str(tmp_path / "u.json"), spark)
+    of_q = next(x for x in json.loads((tmp_path / "u.json").read_text())["stats"] if x["label"] == "q")
+    assert (of_q["count"], of_q["minimum"], of_q["median"], of_q["category"]) == (6, 1e9, 40e9, "io")
+    rows = stats.report(r.samples(spark)).collect()
+    assert rows[0]["label"] == "q" and rows[0]["p95"] == 832e9 and sum(x["percent"] for x in rows) == pytest.approx(100)
+    assert "1365.000 s" in r.report(spark) and "832.000 s" in r.report(spark) and stats.Recorder().report(spark).endswith("no samples")
 
 
 def test_scaling(spark):
@@ -47,6 +54,7 @@ def test_scaling(spark):
     solo = spark.createDataFrame([(1, 1.584), (2, 1.006), (4, 0.826)], "n_workers int, t_total double")
     assert scaling.fit_serial(solo) == pytest.approx(0.3493, abs=1e-3)
     assert {r["n_workers"]: round(r["speedup"], 2) for r in scaling.speedup(runs).collect()} == {1: 1.0, 2: 1.99, 4: 3.8, 8: 6.17, 16: 7.74}
+    assert scaling.serial_fit(runs.where("n_workers > 99")).count() == 0
     assert {r["baseline"] for r in scaling.speedup(solo.where("n_workers > 1")).collect()} == {1.006}
     with pytest.raises(ValueError):
         scaling.valid_runs(solo.withColumn("t_total", F.lit(None).cast("double")))
