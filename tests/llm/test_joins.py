@@ -179,6 +179,35 @@ def test_neighbours_cases(spark):
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_recall_on_a_graph_of_many_independent_vectors():
+    """Independent directions are the hardest case; so many points that a beam covers a small share of them."""
+    rng = np.random.default_rng(3)
+    x, q = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.standard_normal((40_000, 64)), rng.standard_normal((100, 64))))
+    g = neighbours.build(neighbours.lifted(x))
+    found, _ = g.search(np.concatenate([q, np.zeros((100, 1))], axis=1).astype(np.float32), neighbours.beam_of(len(x)))
+    exact = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    pairs = lambda rows: ((i, int(p)) for i, r in enumerate(rows) for p in r)
+    assert neighbours.beam_of(len(x)) < len(x) / 100
+    assert neighbours.recall(pairs(found), pairs(exact)) >= 0.9
+
+
+def test_shards_and_blocks_of_queries(spark, monkeypatch):
+    """Many small graphs and several blocks of queries give what all pairs give."""
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 40 * 8 * 4)
+    monkeypatch.setattr(neighbours, "QUERIES", 25)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").withColumn("query", F.lit(1))
+        rows = neighbours.nearest(df, F.col("vec_id") % 2 == 0, k=5).collect()
+        score = x.astype(np.float64) @ x.astype(np.float64).T
+        np.fill_diagonal(score, -np.inf)
+        for i in range(0, 400, 2):
+            own = sorted((r for r in rows if r["query_id"] == i), key=lambda r: r["rank"])
+            want = np.argsort(-score[i], kind="stable")[:5]
+            assert [r["vec_id"] for r in own] == want.tolist() and np.allclose([r["score"] for r in own], score[i][want], rtol=1e-12)
+
+
 def test_graph_reaches_every_node():
     x = np.concatenate([np.random.default_rng(0).normal(0, 0.01, (200, 4)) + c for c in range(0, 50, 10)])
     g = neighbours.build(neighbours.lifted(x))
