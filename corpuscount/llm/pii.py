@@ -6,17 +6,19 @@ The rules' findings are the seeds, each with its own span. Candidates are spans
 - x@y with or without a dot, and x at y, written out or in brackets,
 - other tokens with a digit.
 
-A span's *instance* is its own text. Its *patterns* are the word before it with the span's shape (runs of digits and of
-letters generalised) and, where that word has a letter, the word with no more than what the span is: a number; x@y; any
-address, with @ or at. Patterns and instances form a bipartite graph, weighted by how often they meet. In each round
+A span's *instance* is its own text. Its *patterns* are the word before it, and the word after it, each with the span's shape
+(runs of digits and of letters generalised) and, where that word has a letter, with no more than what the span is: a number;
+x@y; any address, with @ or at. Patterns and instances form a bipartite graph, weighted by how often they meet. In each round
 
 - a pattern's score is the weighted mean of its instances' scores, with PRIOR more of weight and none of score,
 - an instance's score is 1 for a seed, and otherwise 1 - prod(1 - score) over its patterns, weighted.
 
-After the last round, patterns of a score of at least CONFIDENT (times the share of the kind of most of their seeds)
-that met MET different seeds extract their candidates whole, under that kind; of spans within each other the
-longest. All of it is DataFrame and SQL functions. Texts
-are scanned once; what the rounds exchange are patterns and instances, summed up before each exchange.
+Rounds end when no pattern's score changes by more than SETTLED. Then patterns of a score of at least CONFIDENT (times the
+share of the kind of most of their seeds) that met MET different seeds extract their candidates whole, under that kind; of
+spans within each other the longest. Only telling words count: of all places where a word occurs in the corpus, a share of at
+least TELLING must stand beside a seed on that side. A word such as "the", which now and then stands before a number and
+mostly before something else, is no evidence. All of it is DataFrame and SQL functions. Texts are scanned once for spans
+and once to count words; what the rounds exchange are patterns and instances, summed up before each exchange.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from pyspark.sql import Window as W
 from corpuscount.runtime import prepare, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, PRIOR, CONFIDENT, MET = 3, 1.0, 0.6, 3
+PRIOR, CONFIDENT, MET = 1.0, 0.6, 3
+#: Least share of a word's places that stand beside a seed; change of scores at which rounds end, and rounds at most (scores
+#: only rise, so they settle).
+TELLING, SETTLED, ROUNDS = 0.1, 0.01, 50
 #: The patterns of the contract, possessive where that can't change what they match: no deep recursion on long runs.
 REGEX = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -55,6 +60,7 @@ _LEFT = {
     "spelled": r"t.core rlike '[\\p{L}\\p{N}][\\x20\\[(]+([Aa][Tt]|@)[\\x20\\])]+[\\p{L}\\p{N}-]'",
     "token": r"t.core rlike '[0-9]' and t.core rlike '[^0-9+().-]' and not t.core rlike '[\\p{L}\\p{N}._%+-]@[\\p{L}\\p{N}-]'",
 }
+PATTERNS = "array<struct<side: string, word: string, what: string>>"
 #: Patterns beside the shape, by what a span is.
 NUMBER, ADDRESS, ANY_ADDRESS = "\u0002#", "\u0002@", "\u0002at"
 COARSE = {"groups": (NUMBER,), "number": (NUMBER,), "address": (ADDRESS, ANY_ADDRESS), "spelled": (ANY_ADDRESS,), "token": (), "email": (ADDRESS, ANY_ADDRESS), "ip": (NUMBER,), "card": (NUMBER,), "phone": (NUMBER,)}
@@ -66,8 +72,18 @@ def _quoted(regex: str) -> str:
     return "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _last(text: str) -> str:
+    """SQL: the last word of a text; empty if it has none."""
+    return rf"substring_index(rtrim(translate({text}, '\t\n\u000b\f\r', '     ')), ' ', -1)"
+
+
+def _first(text: str) -> str:
+    """SQL: the first word of a text from a letter or digit on; empty if it has none."""
+    return rf"regexp_extract({text}, '^[^\\p{{L}}\\p{{N}}]*([\\p{{L}}\\p{{N}}]\\S*)', 1)"
+
+
 def located(name: str, regex: str, needs: str) -> str:
-    """SQL: array of (start, end, found, before) of all matches in ``text``, in code points; before is the word before.
+    """SQL: array of (start, end, found, before, after) of all matches in ``text``, in code points; before and after are words.
 
     Starts are sums of the lengths before them: of whole blocks of 64 matches, and within the block.
     """
@@ -80,12 +96,13 @@ def located(name: str, regex: str, needs: str) -> str:
       transform(array(aggregate(
           case when size(lens) = 0 then array() else sequence(0, (size(lens) - 1) div 64) end, array(0),
           (acc, b) -> concat(acc, array(element_at(acc, -1) + aggregate(slice(lens, cast(b * 64 + 1 as int), 64), 0, (s, v) -> s + v))))), offs ->
-      case when size(x.m) = 0 then cast(array() as array<struct<start: int, end: int, found: string, before: string>>) else
+      case when size(x.m) = 0 then cast(array() as array<struct<start: int, end: int, found: string, before: string, after: string>>) else
       transform(sequence(0, size(x.m) - 1), i -> named_struct(
         'start', offs[cast(i div 64 as int)] + aggregate(slice(lens, cast((i div 64) * 64 + 1 as int), i % 64), 0, (s, v) -> s + v) + length(x.g[i]),
         'end', offs[cast(i div 64 as int)] + aggregate(slice(lens, cast((i div 64) * 64 + 1 as int), i % 64), 0, (s, v) -> s + v) + length(x.g[i]) + length(x.m[i]),
         'found', x.m[i],
-        'before', coalesce(regexp_extract(concat(case when i > 0 and length(x.g[i]) < 64 then right(x.m[i - 1], 64) else '' end, right(x.g[i], 64)), '(\\\\S+)\\\\s*$', 1), ''))) end)[0])[0])[0] as {name}"""
+        'before', {_last("concat(case when i > 0 then x.m[i - 1] else '' end, x.g[i])")},
+        'after', {_first("concat(x.g[i + 1], case when i < size(x.m) - 1 then x.m[i + 1] else '' end)")})) end)[0])[0])[0] as {name}"""
 
 
 def _luhn(found: str) -> str:
@@ -124,21 +141,42 @@ def _apart(name: str) -> str:
     """SQL: array of (start, before, core) of what the seeds in ``base`` leave of the spans in ``name``."""
     piece = "substr(r.found, p.start - r.start + 1, p.end - p.start)"
     skip = "length(regexp_extract(" + piece + r", '^(?:[^\\p{L}\\p{N}+(]|\\((?![0-9]+\\)))*', 0))"
+    rest = "concat(substr(r.found, p.end - r.start + 1), ' ', r.after)"
     pieces = f"""transform(
       aggregate(array_sort(transform(filter(base, s -> s.start < r.end and r.start < s.end), s -> named_struct('start', s.start, 'end', s.end))),
         named_struct('at', r.start, 'out', cast(array() as array<struct<start: int, end: int>>)),
         (acc, s) -> named_struct('at', greatest(acc.at, s.end), 'out', case when s.start > acc.at then concat(acc.out, array(named_struct('start', acc.at, 'end', s.start))) else acc.out end),
         acc -> case when acc.at < r.end then concat(acc.out, array(named_struct('start', acc.at, 'end', r.end))) else acc.out end),
       p -> named_struct('start', p.start + {skip},
-        'before', regexp_extract(right(concat(r.before, ' ', substr(r.found, 1, p.start - r.start + {skip})), 64), '(\\\\S+)\\\\s*$', 1),
+        'before', {_last(f"concat(r.before, ' ', substr(r.found, 1, p.start - r.start + {skip}))")},
+        'after', {_first(rest)},
         'core', substr({piece}, {skip} + 1)))"""
     left = f"""transform(flatten(transform({name}, r -> case
       when exists(base, s -> s.start < r.end and r.start < s.end) then {pieces}
-      else array(named_struct('start', r.start, 'before', r.before, 'core', r.found)) end)),
-      t -> named_struct('start', t.start, 'before', t.before, 'core', regexp_replace(t.core, '[^\\\\p{{L}}\\\\p{{N}}]+$', '')))"""
+      else array(named_struct('start', r.start, 'before', r.before, 'after', r.after, 'core', r.found)) end)),
+      t -> named_struct('start', t.start, 'before', t.before, 'after', t.after, 'core', regexp_replace(t.core, '[^\\\\p{{L}}\\\\p{{N}}]+$', '')))"""
     return f"filter({left}, t -> {_LEFT[name]}) as {name}"
 
 
+def normal(word: Column) -> Column:
+    """A word as patterns have it: in lower case, without the numbers in it."""
+    return F.regexp_replace(F.lower(word), "[0-9]+", "9")
+
+
+def telling(texts: DataFrame, tokens: DataFrame, least: float = TELLING) -> DataFrame:
+    """(side, word) of the words that tell: of whose places in all of texts (text) a share of at least ``least`` are beside a seed.
+
+    tokens are rows (side, word) of seeds, one for each. Words are counted within tasks before the exchange.
+    """
+    seeds = tokens.groupBy("side", "word").agg(F.count(F.lit(1)).alias("seeds"))
+    words = texts.select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[0-9]+", "9"), r"\s+")).alias("word")).where("word <> ''")
+    # a word after a span counts from its first letter or digit on
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    bare = words.select(F.regexp_extract("word", r"^[^\p{L}\p{N}]*(.*)$", 1).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    places = words.select(F.lit("before").alias("side"), "word", "n").unionAll(bare.select(F.lit("after").alias("side"), "word", "n"))
+    return seeds.join(places, ["side", "word"]).where(F.col("seeds") >= least * F.col("n")).select("side", "word")
+
+
 def candidates(scanned: DataFrame) -> DataFrame:
     """Adds ``base`` (all seeds) and ``tokens``: array of (start, end, kind of a seed or null, patterns, instance)."""
     lists = "concat(" + ", ".join(f"transform({k}, y -> named_struct('kind', '{k}', 'start', y.start, 'end', y.end))" for k in KINDS) + ")"
@@ -148,14 +186,19 @@ def candidates(scanned: DataFrame) -> DataFrame:
 
     def span(name: str, core: str) -> Column:
         def one(t: Column) -> Column:
-            before = F.regexp_replace(F.lower(t["before"]), "[0-9]+", "9")
-            exact = F.array(F.concat_ws(" ", before, shape(t[core])))
-            coarse = F.array(*[F.concat_ws(" ", before, F.lit(c)) for c in COARSE[name]]) if COARSE[name] else None
+            made = []
+            for side in ("before", "after"):
+                word = normal(t[side])
+                pattern = lambda what: F.struct(F.lit(side).alias("side"), word.alias("word"), what.alias("what"))  # noqa: B023,E731
+                exact = F.array(pattern(shape(t[core])))
+                if COARSE[name]:
+                    exact = F.when(word.rlike(r"\p{L}"), F.concat(exact, F.array(*[pattern(F.lit(c)) for c in COARSE[name]]))).otherwise(exact)
+                made.append(F.when(word == "", F.array().cast(PATTERNS)).otherwise(exact))
             return F.struct(
                 t["start"].alias("start"),
                 (t["start"] + F.length(t[core])).alias("end"),
                 F.lit(name if name in KINDS else None).cast("string").alias("kind"),
-                (exact if coarse is None else F.when(before.rlike(r"\p{L}"), F.concat(exact, coarse)).otherwise(exact)).alias("patterns"),
+                F.concat(*made).alias("patterns"),
                 F.lower(t[core]).alias("instance"),
             )
 
@@ -167,20 +210,26 @@ def candidates(scanned: DataFrame) -> DataFrame:
 def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, score) of the confident patterns, from rows (pattern, instance, kind or null).
 
-    Every exchange is of sums: by (pattern, instance), then by one of them. The graph is written once and read in each round.
+    Every exchange is of sums: by (pattern, instance), then by one of them. The graph is written once and read in each round;
+    patterns' scores are written, so that a round starts from a table.
     """
     edges = written(tokens.groupBy("pattern", "instance", "kind").agg(F.count("*").cast("double").alias("w")))
     met = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("met"))
     best = met.groupBy("pattern").agg(F.max_by("kind", F.struct("met", "kind")).alias("kind"), F.sum("met").alias("met"), (F.max("met") / F.sum("met")).alias("share"))
-    scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-    of_pattern = None
-    for k in range(rounds):
-        of_pattern = scored.groupBy("pattern").agg((F.sum(F.col("w") * F.col("score")) / (F.sum("w") + PRIOR)).alias("p"))
-        if k < rounds - 1:
-            open_ = edges.where("kind is null").join(of_pattern, "pattern")
-            of_instance = open_.groupBy("instance").agg((1 - F.exp(F.sum(F.col("w") * F.log1p(-F.least(F.col("p"), F.lit(0.99)))) / F.sum("w"))).alias("i"))
-            scored = edges.where("kind is not null").withColumn("score", F.lit(1.0)).unionByName(edges.where("kind is null").join(of_instance, "instance").select("pattern", "instance", "kind", "w", F.col("i").alias("score")))
-    return of_pattern.join(best.where(F.col("met") >= MET), "pattern").where(F.col("p") * F.col("share") >= CONFIDENT).select("pattern", "kind", F.col("p").alias("score"))
+    seeds, open_ = edges.where("kind is not null"), edges.where("kind is null")
+    known = seeds.groupBy("pattern").agg(F.sum("w").alias("seeds"))
+    sizes = written(edges.groupBy("pattern").agg(F.sum("w").alias("all")).join(known, "pattern", "left").withColumn("seeds", F.coalesce("seeds", F.lit(0.0))))
+    scores = written(sizes.select("pattern", (F.col("seeds") / (F.col("all") + PRIOR)).alias("p")))
+    for _ in range(rounds - 1):
+        reached = open_.join(scores, "pattern", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+        of_instance = reached.groupBy("instance").agg((1 - F.exp(F.sum(F.col("w") * F.log1p(-F.least(F.col("p"), F.lit(0.99)))) / F.sum("w"))).alias("i"))
+        gained = open_.join(of_instance.where("i > 0"), "instance").groupBy("pattern").agg(F.sum(F.col("w") * F.col("i")).alias("gained"))
+        new = sizes.join(gained, "pattern", "left").select("pattern", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("all") + PRIOR)).alias("p"))
+        before, scores = scores, written(new)
+        moved = scores.join(before.withColumnRenamed("p", "q"), "pattern").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+        if (moved or 0.0) <= SETTLED:
+            break
+    return scores.join(best.where(F.col("met") >= MET), "pattern").where(F.col("p") * F.col("share") >= CONFIDENT).select("pattern", "kind", F.col("p").alias("score"))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -189,10 +238,13 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return written(got.withColumn("row", F.monotonically_increasing_id()))
 
 
-def all_spans(scanned: DataFrame) -> DataFrame:
-    """scanned with ``spans``: base spans and those that the confident patterns add, by kind and start."""
+def all_spans(scanned: DataFrame, texts: DataFrame) -> DataFrame:
+    """scanned (of texts, with a column ``text``) with ``spans``: base spans and those that the confident patterns add, by kind and start."""
     tokens = scanned.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
     tokens = tokens.select("row", "start", "end", "kind", "instance", F.explode("patterns").alias("pattern"))
+    beside = tokens.where("kind is not null").select("row", "start", "pattern.side", "pattern.word").distinct()
+    tells = written(telling(texts, beside.select("side", "word")))
+    tokens = tokens.join(tells.select(F.col("side").alias("__s"), F.col("word").alias("__w")), (F.col("pattern.side") == F.col("__s")) & (F.col("pattern.word") == F.col("__w"))).drop("__s", "__w")
     patterns = learned_patterns(tokens.select("pattern", "instance", "kind"))
     more = tokens.where("kind is null").drop("kind", "instance").join(patterns, "pattern")
     more = more.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
@@ -218,7 +270,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    got = all_spans(scan(rows, [id_col]))
+    got = all_spans(scan(rows, [id_col]), rows.select("text"))
     return got.select(id_col, *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
@@ -231,7 +283,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), F.col(f"`{text_col}`").alias("text"))
-    got = all_spans(scan(packed, ["own"]))
+    got = all_spans(scan(packed, ["own"]), packed.select("text"))
     text = F.col("own")[text_col]
     masked = F.expr("""
       aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),

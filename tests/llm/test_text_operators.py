@@ -288,6 +288,30 @@ def test_bootstrapping_finds_whole_spans(spark):
     assert [rows[len(every) + k] for k in range(len(unseen))] == [w for _, w in unseen]
 
 
+def test_planted_identifiers_are_found_and_plain_numbers_left_alone(spark):
+    """Contexts that tell, on either side and at any distance; contexts that stand before anything, and numbers of like shape."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice("the of and a in to report was sent on time by our team with new data".split()) for _ in range(4 * n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(valid):
+        while True:
+            x = digits(16)
+            if luhn(x) == valid:
+                return x
+
+    seeds, hidden, plain = [], [], []
+    for k in range(60):
+        seeds += [f"{prose(30)} visa {card(True)} {prose(30)}", f"{prose(20)} dial +44 {digits(3)} {digits(7)} tonight {prose(20)}", f"{prose(9)} write{' ' * 100}u{digits(3)}@mail{k % 9}.org {prose(9)}", f"{prose(9)} the {card(True)} {prose(5)}"]
+    for _ in range(25):
+        hidden += [(f"{prose(30)} visa {card(False)} {prose(3)}", "card"), (f"{prose(20)} dial 0{digits(2)} {digits(3)} {digits(4)} {prose(4)}", "phone"), (f"{prose(3)} write{' ' * 100}q{digits(2)} at mail dot org {prose(2)}", "email"), (f"ring {digits(3)} {digits(7)} tonight", "phone")]
+        plain += [f"{prose(30)} the {card(False)} {prose(3)}", f"{prose(20)} of {digits(3)} {digits(7)} {prose(2)}", f"in {digits(4)} to {digits(16)} was {digits(3)} {digits(4)}", f"{prose(4)} met at noon {prose(3)}"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(table(spark, [*seeds, *(t for t, _ in hidden), *plain])).collect()}
+    got = [rows[len(seeds) + k].split(":")[0] == kind for k, (_, kind) in enumerate(hidden)]
+    left = [not set(rows[len(seeds) + len(hidden) + k].split(",")) - {f"{a}:{b}:{c}" for a, b, c in base_spans(t)} - {""} for k, t in enumerate(plain)]
+    assert sum(got) / len(got) >= 0.9 and sum(left) / len(left) == 1.0
+
+
 def test_redaction(spark):
     every = ["mail a@b.co now", "clean 12 text", None, "1.2.3.4 and x@y.zz"]
     df = table(spark, every)
