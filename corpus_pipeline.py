@@ -13,8 +13,8 @@ from corpuscount.llm import jaccard, language, packing, pii, suffixes
 from corpuscount.llm.queries import tokenizer_path
 from corpuscount.runtime import give_back, written
 
-#: A text with fewer distinct trigrams tells too little of how its letters follow one another.
-ENOUGH = 64
+#: Deviations below the mean of labelled texts of a size from which on a text is unlike them, and such texts at least.
+DEVIATIONS, LABELLED = 3, 10
 #: No passage of over 50 words is shorter: so many words of a letter, and the blanks between them, are 101 bytes.
 REPEATED = 100
 
@@ -22,25 +22,28 @@ REPEATED = 100
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those like no language; of the others ``lang`` becomes the language found.
 
-    The prototypes are learned from the labels of all documents; without any, only documents without a letter go. A
-    text is like no language if its letters follow one another as in none of them: if the cosine of its structure is
-    one that random letters reach, whatever their number. Texts of fewer than ENOUGH distinct trigrams stay, as do those
-    below the least size (distinct trigrams by powers of 2) whose labelled texts are clearly above that: more than half of
-    them, all counted, by twice.
-    Where a text's cosine is above the bound, lang becomes the language that it is nearest to; elsewhere it stays as it was.
+    The prototypes are learned from the labels of all documents; without any, only documents without a letter go. A text is
+    like no language if its letters follow one another as in none of them. The bound for its cosine is one that random letters
+    reach, whatever their number, and for short texts less: DEVIATIONS below the mean of all labelled texts of its size
+    (distinct trigrams, by powers of 2), or where these are fewer than LABELLED, the bound of the next smaller size. The fewer
+    trigrams a text has, the lower its bound: the shortest texts, whose cosines are as widely spread as those of random
+    letters, are below none and stay.
+    Where a text's cosine is above what random letters reach, lang becomes the language that it is nearest to; elsewhere it stays
+    as it was, and a text with letters and without a lang gets the nearest.
     """
     give_back(spark)
     known = language.learn(docs, vectors=language.structures)
-    bound = language.chance(known)
-    size = F.floor(F.log2("__distinct"))
+    chance = language.chance(known)
+    size = F.floor(F.log2("__distinct")).cast("int")
     # judged once: the rows are written, so that sizes are counted over all of them before any is rejected
     judged = written(language.likeness(docs, known).where("__letters"))
-    labelled = judged.where(F.col("lang").isNotNull() & (F.col("__distinct") >= ENOUGH))
-    counts = labelled.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__like") >= 2 * bound).alias("above")).collect()
-    clear = min((r["size"] for r in counts if 2 * r["above"] > r["n"]), default=None)
-    odd = (F.col("__distinct") >= ENOUGH) & (size >= F.lit(clear).cast("long")) & (F.col("__like") < bound)
-    found = F.when((F.col("__distinct") >= ENOUGH) & (F.col("__like") >= bound), F.col("__best")).otherwise(F.col("lang"))
-    return judged.where(~F.coalesce(odd, F.lit(False))).withColumn("lang", found).select(docs.columns)
+    labelled = judged.where(F.col("lang").isNotNull() & (F.col("__distinct") > 0))
+    sizes = labelled.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("__like").alias("mean"), F.stddev_pop("__like").alias("spread")).where(F.col("n") >= LABELLED).collect()
+    least = {r["size"]: min(chance, r["mean"] - DEVIATIONS * r["spread"]) for r in sizes}
+    # a row for each power of 2
+    bound = F.greatest(F.lit(-1.0), *[F.when(size >= k, F.lit(x)) for k, x in least.items()]) if least else F.lit(-1.0)
+    found = F.when(F.col("__like") >= chance, F.col("__best")).otherwise(F.coalesce("lang", "__best"))
+    return judged.where(F.col("__like") >= bound).withColumn("lang", found).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
