@@ -300,6 +300,26 @@ def test_pipeline_rejects_gibberish_of_any_length(spark):
     assert kept == {r["doc_id"] for r in docs.collect()} | {r[0] for r in made if r[0] > 0}
 
 
+def test_pipeline_judges_short_texts_by_their_size(spark):
+    """Texts of 50 to 200 characters are judged against labelled ones of their size; clean ones stay, and get a language."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in docs.orderBy("doc_id").collect() if r["text"] and r["lang"]]
+    rng = random.Random(6)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 10))) for _ in range(n // 6))
+    # labelled short texts, as a corpus of short texts has them, and unlabelled ones
+    made = [(10**6 + k, r["text"][:n], r["lang"] if k % 2 else None, "s", 0) for k, (r, n) in enumerate((r, n) for r in rows[:150] for n in (20, 50, 100, 200))]
+    junk = [(-k, noise(n), None, "s", 0) for k, n in enumerate([50, 70, 100, 200] * 25, 1)]
+    more = docs.unionByName(spark.createDataFrame(made + junk, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns))
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, more, SMALL).select("doc_id", "lang").collect()}
+    clean = [r for r in made if any(c.isalpha() for c in r[1])]
+    assert sum(r[0] in kept for r in clean) >= 0.99 * len(clean) and all(kept[r[0]] for r in clean if r[0] in kept)
+    assert sum(r[0] not in kept for r in junk) >= 0.9 * len(junk)
+    of = {10**6 + k: r["lang"] for k, (r, n) in enumerate((r, n) for r in rows[:150] for n in (20, 50, 100, 200)) if n == 200}
+    assert sum(kept.get(i) == lang for i, lang in of.items()) >= 0.97 * len(of)
+
+
 def test_pipeline_finds_repeats_of_short_words(spark):
     passage = " ".join(chr(97 + k * k % 23) for k in range(51))
     made = [(k, f"{w} {passage} {w}", "en", "s", 0) for k, w in enumerate(("alpha", "beta"))]
