@@ -131,26 +131,50 @@ def _sizes(back: DataFrame) -> np.ndarray:
     return np.sum(rows, axis=0) if rows else np.zeros(4, np.int64)
 
 
-def expectation_maximisation(cells: pd.DataFrame, rounds: int = ROUNDS) -> Weights:
-    """Weights by bucket from cells (bucket, q3, q2, q1, q0: estimates in grid steps of their binary logarithm, NONE for 0; n)."""
+def bucket_weights(own: pd.DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of one bucket from its cells (q3, q2, q1, q0, n), by expectation-maximisation."""
+    p = np.stack([np.where(own[q] == NONE, 0.0, np.exp2(own[q].to_numpy() / GRID)) for q in NAMES], axis=1)
+    n = own["n"].to_numpy(np.float64)
+    w = np.full(len(NAMES), 1 / len(NAMES))
+    for _ in range(rounds):
+        part = p * w
+        part /= part.sum(axis=1, keepdims=True)
+        w = (part * n[:, None]).sum(axis=0) / n.sum()
+    w = np.maximum(w, 1e-4 * np.array([p[:, 0].any(), p[:, 1].any(), 1, 1]))  # an unseen word is never impossible
+    return w / w.sum()
+
+
+def weights_of(found: dict[int, np.ndarray]) -> Weights:
+    """The weights of all buckets from those of the buckets that have held-out tokens; others do as the one below."""
     table = np.tile([0.0, 0.0, 0.0, 1.0], (1 + 2 * LOGS, 1))
-    for bucket, own in cells.groupby("bucket"):
-        p = np.stack([np.where(own[q] == NONE, 0.0, np.exp2(own[q].to_numpy() / GRID)) for q in NAMES], axis=1)
-        n = own["n"].to_numpy(np.float64)
-        w = np.full(len(NAMES), 1 / len(NAMES))
-        for _ in range(rounds):
-            part = p * w
-            part /= part.sum(axis=1, keepdims=True)
-            w = (part * n[:, None]).sum(axis=0) / n.sum()
-        w = np.maximum(w, 1e-4 * np.array([p[:, 0].any(), p[:, 1].any(), 1, 1]))  # an unseen word is never impossible
-        table[int(bucket)] = w / w.sum()
-    known = set(cells["bucket"])
-    for k in range(1, len(table)):  # buckets without held-out tokens do as the one below
-        if k not in known:
+    for k in range(len(table)):
+        if k in found:
+            table[k] = found[k]
+        elif k:
             table[k] = table[k - 1]
     return Weights(table)
 
 
+def expectation_maximisation(cells: pd.DataFrame, rounds: int = ROUNDS) -> Weights:
+    """learned_weights() of cells in memory."""
+    return weights_of({int(k): bucket_weights(own, rounds) for k, own in cells.groupby("bucket")})
+
+
+def learned_weights(cells: DataFrame) -> Weights:
+    """Weights by bucket from cells (bucket, q3, q2, q1, q0: estimates in grid steps of their binary logarithm, NONE for 0; n).
+
+    Each bucket is learned by a task, from its cells of the grid; only one row for each bucket comes to the driver.
+    """
+
+    def learned(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        w = bucket_weights(own.sort_values(list(NAMES), ignore_index=True))
+        return pd.DataFrame({"bucket": [key[0]], "w": [w.tolist()]})
+
+    cells = cells.groupBy("bucket", *NAMES).agg(F.sum("n").alias("n"))
+    rows = cells.groupBy("bucket").applyInPandas(learned, "bucket long, w array<double>").collect()
+    return weights_of({int(r["bucket"]): np.array(r["w"]) for r in rows})
+
+
 def _learn(texts: DataFrame, back: DataFrame, bits: int, tree: Tree, tokens: int, distinct: int) -> Weights:
     def cells(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", *NAMES]
@@ -168,8 +192,7 @@ def _learn(texts: DataFrame, back: DataFrame, bits: int, tree: Tree, tokens: int
         return lean(work)
 
     got = texts.groupBy("block").cogroup(back.groupBy("g")).applyInPandas(cells, "bucket long, " + ", ".join(f"{q} long" for q in NAMES) + ", n long")
-    # at most one row for each cell of the grid, whatever the number of tokens
-    return expectation_maximisation(got.groupBy("bucket", *NAMES).agg(F.sum("n").alias("n")).orderBy("bucket", *NAMES).toPandas())
+    return learned_weights(got)
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", fan: int = exchange.FAN) -> DataFrame:

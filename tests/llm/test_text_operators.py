@@ -363,6 +363,17 @@ def test_weights_by_expectation_maximisation():
     assert (w[5] == w[1]).all() and (w[0] == [0, 0, 0, 1]).all()
 
 
+def test_weights_learned_by_tasks_equal_those_in_memory(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    cells = pd.DataFrame({"bucket": rng.integers(0, 30, 400), **{q: rng.choice([scoring.NONE, -2, -6, -11], 400) for q in ("q3", "q2", "q1")}, "q0": rng.integers(-20, -1, 400), "n": rng.integers(1, 99, 400)})
+    whole = scoring.expectation_maximisation(cells).table
+    twice = pd.concat([cells.assign(n=cells["n"] - 1), cells.assign(n=1)])
+    assert np.allclose(scoring.learned_weights(spark.createDataFrame(twice).repartition(5)).table, whole, atol=1e-9)
+    assert (scoring.learned_weights(spark.createDataFrame(twice).where("n < 0")).table == [0, 0, 0, 1]).all()
+
+
 def mixture(tok, train, weights):
     """The score of every text, by plain counts of n-grams."""
     import math
