@@ -70,11 +70,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages have no fetch date of their own: page_id stands in for it, a day of 2024 each."""
-    from corpuscount.llm.urls import example_lists, judge
+    """Pages have no fetch date of their own: page_id stands in for it, a day of 2024 each. The lists are made of pages too."""
+    from corpuscount.llm.urls import example_lists, judge, lists_of
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 366 as int))").alias("fetched"))
-    return judge(pages, example_lists(spark)).drop("url").withColumn("fetched", F.col("fetched").cast("string"))
+    entries = example_lists(spark).unionByName(lists_of(pages))
+    return judge(pages, entries).drop("url").withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def _op7_sql() -> str:
@@ -82,11 +83,15 @@ def _op7_sql() -> str:
 
     rows = ", ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in EXAMPLE_LISTS)
     return f"""
-    WITH e AS (SELECT list, host, CAST(dated AS DATE) AS dated, action FROM (VALUES {rows}) AS v(list, host, dated, action)),
-    iv AS (SELECT *, lead(dated) OVER (PARTITION BY list, host ORDER BY dated) AS until FROM e),
-    p AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1)) AS host FROM pages),
-    a AS (SELECT p.page_id, length(iv.host) AS n, iv.host AS matched, min(iv.action) AS verdict, string_agg(DISTINCT iv.list, ',' ORDER BY iv.list) AS lists
-          FROM p JOIN iv ON (p.host = iv.host OR ends_with(p.host, '.' || iv.host)) AND p.fetched >= iv.dated AND (iv.until IS NULL OR p.fetched < iv.until)
+    WITH p AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1)) AS host FROM pages),
+    e AS (SELECT list, host, CAST(dated AS DATE) AS dated, action FROM (VALUES {rows}) AS v(list, host, dated, action)
+          UNION ALL SELECT 'list' || CAST(page_id % 4 AS VARCHAR), CASE WHEN page_id % 5 = 0 THEN 'm.' || host WHEN page_id % 7 = 0 AND length(host) - length(replace(host, '.', '')) >= 2 THEN substr(host, instr(host, '.') + 1) ELSE host END,
+          CAST(DATE '2023-06-01' + CAST(page_id * 37 % 500 AS INTEGER) AS DATE), CASE WHEN page_id % 3 = 0 THEN 'allow' WHEN page_id % 11 = 0 THEN 'clear' ELSE 'block' END FROM p WHERE host <> ''),
+    one AS (SELECT list, host, dated, max(action) AS action FROM e GROUP BY ALL),
+    iv AS (SELECT *, lead(dated) OVER (PARTITION BY list, host ORDER BY dated) AS until FROM one),
+    s AS (SELECT page_id, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[-k:], '.'))) AS suffix FROM p),
+    a AS (SELECT s.page_id, length(iv.host) AS n, iv.host AS matched, min(iv.action) AS verdict, string_agg(DISTINCT iv.list, ',' ORDER BY iv.list) AS lists
+          FROM s JOIN iv ON s.suffix = iv.host AND s.fetched >= iv.dated AND (iv.until IS NULL OR s.fetched < iv.until)
           WHERE iv.action IN ('allow', 'block') GROUP BY 1, 2, 3),
     b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC) AS k FROM a)
     SELECT p.page_id, CAST(p.fetched AS VARCHAR) AS fetched, p.host, coalesce(b.verdict, 'none') AS verdict, b.matched, b.lists

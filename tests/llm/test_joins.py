@@ -254,6 +254,16 @@ def test_op7_equals_sql(spark):
     assert sorted(map(str, df.select(names).collect())) == sorted(str(df.select(names).collect()[0].__class__(**dict(zip(names, r)))) for r in want.fetchall())
 
 
+def test_urls_with_clashing_columns_and_hot_hosts(spark):
+    """Columns named as those of the operator; a host and date of nearly all captures, and a suffix of all of them."""
+    df = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".com/"))).when(F.col("id") % 10 == 1, F.lit(None)).otherwise("http://big.com/x").alias("url"), F.lit("2024-03-01").alias("fetched"))
+    df = df.withColumns({c: F.lit(5) for c in ("host", "matched", "lists", "verdict", "_fetched", "_key", "_own", "_entries", "d", "__salt", "__hot")})
+    entries = spark.createDataFrame([("a", "big.com", "2024-01-01", "block"), ("b", "big.com", "2024-02-01", "block"), ("b", "big.com", "2024-04-01", "allow"), ("a", "h10.com", "2024-01-01", "allow"), ("a", "h20.com", "2024-03-02", "block"), ("a", None, "2024-01-01", "block")], "list string, host string, dated string, action string")
+    rows = {r["page_id"]: r for r in urls.judge(df, entries).collect()}
+    assert len(rows) == 3000 and rows[5]["_key"] == rows[5]["__salt"] == rows[5]["_fetched"] == 5
+    assert all((r["verdict"], r["matched"], r["lists"]) == (("block", "big.com", "a,b") if i % 10 > 1 else ("allow", "h10.com", "a") if i == 10 else ("none", None, None)) for i, r in rows.items())
+
+
 def test_pipeline_stages(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     long = " ".join(f"word{k * k % 997}" for k in range(300))
