@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,21 @@ def direct_read(spark: SparkSession, d: str) -> DataFrame:
     return jobs.count(splits.cleaned(splits.read_sources(spark, _crawl(spark, d)).select("split_id", "text"), "direct"), "wordcount")
 
 
+@query(f"WITH {_CRAWL}, {_BATCH}, {_WORDS.format('kept')}")
+def command_line(spark: SparkSession, d: str) -> DataFrame:
+    """One command takes in a crawl, counts, validates and writes a log; its part files, which must be found equal."""
+    from corpuscount import cli
+
+    listed, base = shared_dir(spark), shared_dir(spark)
+    _crawl(spark, d).repartition(1).sortWithinPartitions("split_id").select(F.col("path").alias("value")).write.text(listed)
+    ended = io.StringIO()
+    with contextlib.redirect_stdout(ended):
+        code = cli.main(["run", "-i", listed, "--splits-dir", f"{base}/splits", "-o", f"{base}/parts", "-j", "wordcount", "-r", str(SPLITS), "--log", f"{base}/log"])
+    if code:
+        raise ValueError(ended.getvalue())
+    return splits.read_parts(spark, f"{base}/parts").select("key", "n")
+
+
 @query(f"WITH {_CRAWL}, {_BATCH}, {_WORDS.format('kept')}")
 def member_read(spark: SparkSession, d: str) -> DataFrame:
     """A crawl of gzip files with a member for each document, unpacked by many tasks a file; headers out."""
