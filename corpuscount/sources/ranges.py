@@ -23,7 +23,7 @@ from corpuscount.functions.tokens import latin1
 from corpuscount.runtime import prepare
 
 #: Bytes of a part, at most and (so that all cores have some) at least; of a row of a split; of what a task reads and unpacks at once.
-RANGE, LEAST_RANGE, BLOCK, READ, UNPACKED = 64 << 20, 64 << 10, 1 << 20, 1 << 20, 4 << 20
+RANGE, LEAST_RANGE, BLOCK, READ, UNPACKED = 64 << 20, 64 << 10, 128 << 10, 1 << 20, 4 << 20
 _TOKEN = re.compile(rb"[A-Za-z0-9]+")
 _NOT_TOKEN = re.compile(rb"[^A-Za-z0-9]")
 #: Fixed value: how a gzip member begins (magic number, method deflate).

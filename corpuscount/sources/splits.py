@@ -46,7 +46,7 @@ def read_splits(spark: SparkSession, path: str, n: int | None = None) -> DataFra
 
 
 def read_ranges(spark: SparkSession, path: str, n: int | None = None, range_bytes: int = RANGE) -> DataFrame:
-    """(split_id, file, start, prior, text) of splits of any length: their bytes, one character each, in rows of about 1 MB.
+    """(split_id, file, start, prior, text) of splits of any length: their bytes, one character each, in rows of about 128 KB.
 
     Files are cut into byte ranges where no token is; prior is the token before a row (jobs.count_ranges).
     """
