@@ -88,7 +88,7 @@ def range_bigrams(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of adjacent tokens in a few long split files, each read by many tasks, a byte range each: no row holds a file."""
     path = shared_dir(spark)
     rows = _table(spark, d, "documents").select((F.col("doc_id") % SPLITS).cast("int").alias("split_id"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows = rows.repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id")
+    rows = rows.repartitionById(SPLITS, F.col("split_id")).sortWithinPartitions("split_id", "doc_id")
     sinks.write_named(rows, path, "split_id", lambda k: f"commoncrawl-{k:04d}.txt", list(range(SPLITS)))
     return jobs.count_ranges(splits.read_ranges(spark, path), "bigram")
 
@@ -137,7 +137,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     """(split_id, path) of gzip files with a member for each document."""
     path, k = shared_dir(spark), F.col("id").cast("int")
     value = F.concat("value", F.lit("\n")).cast("binary")
-    rows = _texts(spark, d).repartition(SPLITS, "split_id").sortWithinPartitions("split_id", "doc_id").select("split_id", value.alias("value"))
+    rows = _texts(spark, d).repartitionById(SPLITS, F.col("split_id")).sortWithinPartitions("split_id", "doc_id").select("split_id", value.alias("value"))
     ranges.write_members(rows, path)
     names = spark.range(SPLITS).select(k.alias("split_id"), F.concat(F.lit(f"{path}/"), k.cast("string"), F.lit(".gz")).alias("path"))
     return names.join(_texts(spark, d).select("split_id").distinct(), "split_id")
