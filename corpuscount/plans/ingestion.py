@@ -154,17 +154,18 @@ def crawl_stream_rows(spark: SparkSession, d: str) -> DataFrame:
     return stream.latest(stream.read_changelog(spark, f"{base}/changelog"))
 
 
-@query(f"WITH {_TOK} SELECT t AS key, count(*) AS n, count(*) AS records, count(*) AS held FROM tok GROUP BY t")
+@query(f"WITH {_TOK} SELECT t AS key, count(*) AS n, count(*) AS records, CAST(count(*) * (count(*) + 1) // 2 AS BIGINT) AS total, count(*) AS held FROM tok GROUP BY t")
 def stream_records(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs of a stream: the last count of each key and its rows in a changelog of every occurrence, and what the state holds."""
+    """Two runs of a stream: the last count of each key, its rows in a changelog of every occurrence and their sum (counts from 1
+    on, each once), and what the state holds."""
     folder, base = shared_dir(spark), shared_dir(spark)
     docs = _docs(spark, d)
     for half in (0, 1):
-        docs.where(F.col("split_id") % 2 == half).select("text").write.mode("append").text(folder)
+        docs.where(F.col("split_id") % 2 == half).select("text").write.mode("append").option("compression", "gzip").text(folder)
         stream.run(stream.line_stream(spark, folder), f"{base}/changelog", f"{base}/state", timeout=900, records=True)
-    log = stream.read_changelog(spark, f"{base}/changelog").groupBy("key").agg(F.max("n").alias("n"), F.count_distinct("n").alias("records"))
+    log = stream.read_changelog(spark, f"{base}/changelog").groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("records"), F.sum("n").alias("total"))
     held = stream.state_counts(spark, f"{base}/state").withColumnRenamed("n", "held")
-    return log.join(held, "key").select("key", "n", "records", "held")
+    return log.join(held, "key").select("key", "n", "records", "total", "held")
 
 
 @query(f"WITH {_TOK} SELECT t AS key, count(*) AS n FROM tok GROUP BY t")
