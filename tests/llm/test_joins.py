@@ -196,13 +196,13 @@ def test_shards_and_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_BYTES", 40 * 8 * 4)
     monkeypatch.setattr(neighbours, "QUERIES", 25)
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((400, 8)).astype(np.float32)
+    x = rng.standard_normal((240, 8)).astype(np.float32)
     for kind in ("float", "double"):
         df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").withColumn("query", F.lit(1))
         rows = neighbours.nearest(df, F.col("vec_id") % 2 == 0, k=5).collect()
         score = x.astype(np.float64) @ x.astype(np.float64).T
         np.fill_diagonal(score, -np.inf)
-        for i in range(0, 400, 2):
+        for i in range(0, 240, 2):
             own = sorted((r for r in rows if r["query_id"] == i), key=lambda r: r["rank"])
             want = np.argsort(-score[i], kind="stable")[:5]
             assert [r["vec_id"] for r in own] == want.tolist() and np.allclose([r["score"] for r in own], score[i][want], rtol=1e-12)

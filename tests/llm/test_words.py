@@ -231,3 +231,36 @@ def test_op13(spark, texts):
     cols = ["word", "form", "root", "n", "n_near", "form_n"]
     assert sorted(map(str, con.execute(f"select {', '.join(cols)} from ({ORACLES['op13_variants']})").fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in rows)
 
+
+
+def test_long_texts_are_cut_nowhere(spark, monkeypatch):
+    """Texts of several megabytes: language bundles over spans, and the BPE of a text beyond a block."""
+    import numpy as np
+
+    from corpuscount.llm import bpe, language
+
+    rng = random.Random(12)
+    words = ["the", "Straße", "été", "x1", "naïve", "日本", "end.", "\n", "it's"]
+    long = " ".join(rng.choice(words) + rng.choice(["", ",", "s"]) for _ in range(400_000))
+    assert len(long) > language.SPAN
+    whole = language.bundles([long, "the end"], 64)
+    monkeypatch.setattr(language, "SPAN", 1000)
+    assert np.array_equal(language.bundles([long, "the end"], 64), whole)
+    lib = bpe.Pieces(tokenizer_path(), "library").library
+    text = (long + " ") * 5
+    assert len(text) > bpe.BLOCK_CHARS
+    ids = lib.encode(text, add_special_tokens=False).ids
+    for r in bpe.bpe_round_trip(table(spark, [text, "the end"]), tokenizer_path(), keep_ids=False).where("doc_id = 0").collect():
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = out
