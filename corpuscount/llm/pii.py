@@ -174,7 +174,9 @@ def telling(texts: DataFrame, tokens: DataFrame, least: float = TELLING) -> Data
     words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     bare = words.select(F.regexp_extract("word", r"^[^\p{L}\p{N}]*(.*)$", 1).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
     places = words.select(F.lit("before").alias("side"), "word", "n").unionAll(bare.select(F.lit("after").alias("side"), "word", "n"))
-    return seeds.join(places, ["side", "word"]).where(F.col("seeds") >= least * F.col("n")).select("side", "word")
+    # what is never a word by itself, as in "tel:+44", has no other places; without a letter it tells nothing
+    n = F.coalesce("n", F.when(F.col("word").rlike(r"\p{L}"), F.col("seeds")))
+    return seeds.join(places, ["side", "word"], "left").where(F.col("seeds") >= least * n).select("side", "word")
 
 
 def candidates(scanned: DataFrame) -> DataFrame:

@@ -312,6 +312,13 @@ def test_planted_identifiers_are_found_and_plain_numbers_left_alone(spark):
     assert sum(got) / len(got) >= 0.9 and sum(left) / len(left) == 1.0
 
 
+def test_words_written_onto_a_span_tell(spark):
+    seeds = [f"reach us: tel:+44 20 7946 0{k:03d} or ({k}) see (+44 20 7946 1{k:03d})" for k in range(8)]
+    unseen = [("tel:020 7946 0958", "phone:4:17"), ("see (020 7946 0958)", ""), ("x:020 7946 0958", "")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(table(spark, seeds + [t for t, _ in unseen])).collect()}
+    assert [rows[len(seeds) + k] for k in range(3)] == [w for _, w in unseen]
+
+
 def test_redaction(spark):
     every = ["mail a@b.co now", "clean 12 text", None, "1.2.3.4 and x@y.zz"]
     df = table(spark, every)
