@@ -227,8 +227,10 @@ def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         of_instance = reached.groupBy("instance").agg((1 - F.exp(F.sum(F.col("w") * F.log1p(-F.least(F.col("p"), F.lit(0.99)))) / F.sum("w"))).alias("i"))
         gained = open_.join(of_instance.where("i > 0"), "instance").groupBy("pattern").agg(F.sum(F.col("w") * F.col("i")).alias("gained"))
         new = sizes.join(gained, "pattern", "left").select("pattern", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("all") + PRIOR)).alias("p"))
-        before, scores = scores, written(new)
-        moved = scores.join(before.withColumnRenamed("p", "q"), "pattern").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+        # the change is written beside the score: nothing is exchanged to measure it, and no shuffle stays
+        scores = written(new.join(scores.withColumnRenamed("p", "q"), "pattern").select("pattern", "p", F.abs(F.col("p") - F.col("q")).alias("change")))
+        moved = scores.agg(F.max("change")).first()[0]
+        scores = scores.drop("change")
         if (moved or 0.0) <= SETTLED:
             break
     return scores.join(best.where(F.col("met") >= MET), "pattern").where(F.col("p") * F.col("share") >= CONFIDENT).select("pattern", "kind", F.col("p").alias("score"))
