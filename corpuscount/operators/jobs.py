@@ -74,13 +74,16 @@ def spread(corpus: DataFrame) -> DataFrame:
     """The corpus over all cores, where its files have fewer parts than there are cores.
 
     A large input has more, and is left as it is: no exchange of text. The plan's own estimate of bytes decides; no job is run.
+    Rows are dealt out in turn, whatever they hold: by a column of few values (a language, a split) some task would get a share
+    of the corpus that more cores don't make smaller.
     """
     spark = corpus.sparkSession
     cores = spark.sparkContext.defaultParallelism
     part = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    if int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * part:
+    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * part:
         return corpus
-    return corpus.repartition(cores, F.xxhash64(*[c for c, t in corpus.dtypes if c != "text"] or ["text"]))
+    return corpus.repartition(max(cores, size // (part // 8)))
 
 
 def count(corpus: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

@@ -193,3 +193,11 @@ def test_sizes_of_splits_read_no_split_as_a_row(spark, tmp_path):
     # the query takes its figures from lines too: a file of any size is no row
     query = ingestion.ingested_splits(spark, "/root/testdata/sf0.001")
     assert "binaryFile" not in query._jdf.queryExecution().toString()
+
+
+def test_few_labels_do_not_gather_in_a_task(spark):
+    """Text of one language, or of one split, is dealt out over all cores."""
+    rows = spark.range(0, 400, 1, 2).select(F.lit("en").alias("lang"), F.lit("a b").alias("text"))
+    parts = jobs.spread(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 4 and max(r["count"] for r in parts) <= 150
+    assert [tuple(r) for r in jobs.count(rows, "wordlen", ["lang"]).collect()] == [("en", "1", 800)]
