@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscount.plans import catalogue, ingestion
+from corpuscount.runtime import setting
 from corpuscount.streaming import crawl
 from corpuscount.streaming import wordcount as stream
 
@@ -103,3 +105,20 @@ def test_a_crawl_stream_that_fails_says_so(spark, tmp_path, indexed):
     (tmp_path / "1.gz").write_bytes(b"no gzip")
     with pytest.raises(Exception, match="member"):
         stream.run(crawl.crawl_stream(spark, index, str(tmp_path / "s"), most=0), str(tmp_path / "l"), str(tmp_path / "s"), timeout=300, stepwise=True)
+
+
+def test_staged_files_are_as_many_as_the_tables_parts(spark, tmp_path, monkeypatch):
+    """No fixed number of files that grow with the table: neither before a restart nor for batches by files."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    for module in (ingestion, catalogue):
+        monkeypatch.setattr(module, "shared_dir", lambda s: made.append(f"{tmp_path}/made-{len(made)}") or made[-1])
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "20000b"), setting(spark, "spark.sql.files.openCostInBytes", "20000b"):
+        found = ingestion.stream_restart(spark, str(tmp_path))
+        want = {r["key"]: r["n"] for r in catalogue.wordcount(spark, str(tmp_path)).collect()}
+        assert {r["key"]: r["n"] for r in found.collect()} == want
+        assert len(spark.read.text(made[0]).inputFiles()) >= 18
+        folder = catalogue._staged(spark, str(tmp_path))
+        assert len(spark.read.text(folder).inputFiles()) >= 9
+        assert {r["key"]: r["n"] for r in catalogue.stream_wordcount(spark, str(tmp_path)).collect()} == want
