@@ -35,7 +35,7 @@ def _counts(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     else:
         lines = splits.split_lines(spark, a.input, a.splits)
     lines = splits.cleaned(lines, a.clean or "direct")
-    return jobs.long_split_bigrams(lines, ["block", "line_no"], "file") if jobs.job(a.job).pairs else jobs.count(lines.select("split_id", "text"), a.job)
+    return jobs.long_split_bigrams(lines, ["block", "line_no"], "file") if jobs.job(a.job).pairs else jobs.count(lines.select("split_id", "text"), a.job, dealt=a.direct_read and a.by_members)
 
 
 def _listed(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

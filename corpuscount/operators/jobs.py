@@ -86,10 +86,13 @@ def spread(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(max(cores, size // (part // 8)))
 
 
-def count(corpus: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """(…by, key, n) of a job. Counts are summed within tasks before the one exchange."""
+def count(corpus: DataFrame, name: str, by: list[str] | None = None, dealt: bool = False) -> DataFrame:
+    """(…by, key, n) of a job. Counts are summed within tasks before the one exchange.
+
+    dealt: the corpus is made by as many tasks as suits it, and no text is moved.
+    """
     by = by or []
-    return job(name).keys(spread(corpus), by).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"))
+    return job(name).keys(corpus if dealt else spread(corpus), by).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_ranges(ranges: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscount.functions.tokens import decoded, latin1, reducer
 from corpuscount.operators import compare, jobs, langdict, layout
 from corpuscount.plans import ingestion
+from corpuscount.runtime import setting
 from corpuscount.sources import sinks, splits
 
 
@@ -201,3 +202,28 @@ def test_few_labels_do_not_gather_in_a_task(spark):
     parts = jobs.spread(rows).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) >= 4 and max(r["count"] for r in parts) <= 150
     assert [tuple(r) for r in jobs.count(rows, "wordlen", ["lang"]).collect()] == [("en", "1", 800)]
+
+
+def test_each_split_is_written_by_a_task_of_its_own(spark):
+    """As a crawl and as taken in: split numbers aren't hashed, so no task has several while others have none."""
+    paths = [r["path"] for r in ingestion._crawl(spark, "/root/testdata/sf0.001").collect()]
+    assert len({re.search(r"part-(\d+)", p)[1] for p in paths}) == len(paths) == ingestion.SPLITS
+    ids = [1, 2, 4, 5, 7, 9000]
+    rows = spark.range(60).select(F.element_at(F.array(*map(F.lit, ids)), (F.col("id") % 6 + 1).cast("int")).alias("split_id"), "id")
+    where = splits.dealt(rows, ids).withColumn("at", F.spark_partition_id()).groupBy("split_id").agg(F.collect_set("at").alias("at")).collect()
+    assert sorted(r["split_id"] for r in where) == ids and sorted(x for r in where for x in r["at"]) == list(range(6))
+
+
+def test_lines_of_sources_do_not_move_to_their_paths(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny")
+    sources = spark.createDataFrame([(3, str(tmp_path / "a.txt"))], "split_id int, path string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):  # as where lines are many
+        lines = splits.read_sources(spark, sources)
+        assert "BroadcastHashJoin" in (plan := lines._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    assert sorted((r["split_id"], r["text"]) for r in lines.collect()) == [(3, "x"), (3, "y")]
+
+
+def test_text_that_is_dealt_out_is_not_moved(spark):
+    rows = spark.range(9).selectExpr("id as split_id", "'a b' as text")
+    plan = lambda **k: jobs.count(rows, "wordcount", **k)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan() and "Repartition" not in plan(dealt=True)
