@@ -600,3 +600,14 @@ def test_no_repeated_start_is_found_by_hashing(monkeypatch):
     first = np.concatenate([f for f, _ in got])
     t, x = np.nonzero((masks[:, None] >> np.arange(suffixes.TILE, dtype=np.uint64)) & np.uint64(1))
     assert {(int(owner[k]), int(first[k] + y)) for k, y in zip(t, x, strict=True)} == want and len(want) > 100
+
+
+def test_a_round_of_patterns_is_one_write_with_two_joins(spark, monkeypatch):
+    """Rounds are many: what a pattern has and gains is summed in one exchange, and its change is seen as it is written."""
+    plans, keep = [], pii.written
+    monkeypatch.setattr(pii, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    # p0 has seeds; each next pattern shares an instance with the one before it
+    rows = [("p0", f"s{k}", "card") for k in range(9)] + [x for k in range(6) for x in ((f"p{k}", f"i{k}", None), (f"p{k + 1}", f"i{k}", None))]
+    found = pii.learned_patterns(spark.createDataFrame(rows, "pattern string, instance string, kind string")).collect()
+    assert [(r["pattern"], r["kind"]) for r in found] == [("p0", "card")] and found[0]["score"] > 9 / 11
+    assert len(plans) > 3 and not any("Join" in x for x in plans[:2]) and all(x.count("Join ") == 2 for x in plans[2:])
