@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpuscount.runtime import prepare, written
+from corpuscount.runtime import few, prepare, written
 
 KINDS = ("email", "ip", "card", "phone")
 PRIOR, CONFIDENT, MET = 1.0, 0.6, 3
@@ -213,26 +213,27 @@ def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, score) of the confident patterns, from rows (pattern, instance, kind or null).
 
     Every exchange is of sums: by (pattern, instance), then by one of them. The graph is written once and read in each round;
-    patterns' scores are written, so that a round starts from a table. A round is one job with two joins: where there are many
-    rounds, many small tasks cost more than the rows.
+    patterns' scores are written, so that a round starts from a table. A round is one job with two joins, by as many tasks as
+    the graph needs: where there are many rounds, many small tasks cost more than the rows.
     """
     edges = written(tokens.groupBy("pattern", "instance", "kind").agg(F.count("*").cast("double").alias("w")))
+    n = edges.count()
     met = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("met"))
     best = met.groupBy("pattern").agg(F.max_by("kind", F.struct("met", "kind")).alias("kind"), F.sum("met").alias("met"), (F.max("met") / F.sum("met")).alias("share"))
     open_ = edges.where("kind is null")
     of_seeds = F.sum(F.when(F.col("kind").isNotNull(), F.col("w")).otherwise(0.0))
     scores = edges.groupBy("pattern").agg(F.sum("w").alias("all"), of_seeds.alias("seeds"))
-    scores = written(scores.withColumn("p", F.col("seeds") / (F.col("all") + PRIOR)))
+    scores = written(few(scores.withColumn("p", F.col("seeds") / (F.col("all") + PRIOR)), n))
     zero = F.lit(0.0)
     for _ in range(rounds - 1):
-        reached = open_.join(scores.select("pattern", "p"), "pattern", "left").withColumn("p", F.coalesce("p", zero))
-        of_instance = reached.groupBy("instance").agg((1 - F.exp(F.sum(F.col("w") * F.log1p(-F.least(F.col("p"), F.lit(0.99)))) / F.sum("w"))).alias("i"))
-        gained = open_.join(of_instance.where("i > 0"), "instance").select("pattern", (F.col("w") * F.col("i")).alias("gained"))
+        reached = few(open_.join(scores.select("pattern", "p"), "pattern", "left").withColumn("p", F.coalesce("p", zero)), n)
+        of_instance = few(reached.groupBy("instance").agg((1 - F.exp(F.sum(F.col("w") * F.log1p(-F.least(F.col("p"), F.lit(0.99)))) / F.sum("w"))).alias("i")), n)
+        gained = few(open_.join(of_instance.where("i > 0"), "instance").select("pattern", (F.col("w") * F.col("i")).alias("gained")), n)
         # what a pattern has and what it gains are summed together: one exchange and no join
         rows = scores.select("pattern", "all", "seeds", F.col("p").alias("q"), zero.alias("gained"))
         rows = rows.unionByName(gained.select("pattern", zero.alias("all"), zero.alias("seeds"), zero.alias("q"), "gained"))
         new = rows.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("all", "seeds", "q", "gained")])
-        new = new.withColumn("p", (F.col("seeds") + F.col("gained")) / (F.col("all") + PRIOR))
+        new = few(new.withColumn("p", (F.col("seeds") + F.col("gained")) / (F.col("all") + PRIOR)), n)
         # the change is seen as the scores are written
         seen = Observation()
         scores = written(new.observe(seen, F.max(F.abs(F.col("p") - F.col("q"))).alias("moved")).select("pattern", "all", "seeds", "p"))

@@ -35,6 +35,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_small_graphs_have_few_tasks(spark, monkeypatch):
+    from corpuscount.llm import exchange, pii
+    from corpuscount.runtime import few, setting
+
+    files = []
+    for module in (exchange, pii):
+        monkeypatch.setattr(module, "written", lambda df: files.append(out := written(df)) or out)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 100], "a long, b long")
+    seeds = [(f"p{k}", f"s{k}{x}", "card") for k in range(60) for x in range(10)]
+    tokens = spark.createDataFrame([*seeds, *((f"p{k}", f"c{k}", None) for k in range(60)), *((f"p{k + 1}", f"c{k}", None) for k in range(59))], "pattern string, instance string, kind string")
+    with setting(spark, "spark.sql.shuffle.partitions", "40"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        roots = {r["node"]: r["root"] for r in components(edges).collect()}
+        assert len(roots) == 300 and {len({roots[k] for k in range(a + 1, a + 101) if k in roots}) for a in (0, 100, 200)} == {1} and len(set(roots.values())) == 3
+        assert len(pii.learned_patterns(tokens).collect()) == 60
+        # what is written once may have as many files as there are shuffle partitions; the tables of rounds have one for each core at most
+        assert len(files) > 8 and sorted(len(x.inputFiles()) for x in files)[-3] <= spark.sparkContext.defaultParallelism
+        assert few(spark.range(0, 100, 1, 40), 10_000_000).rdd.getNumPartitions() == 40
+
+
+
 def sets(rows, words):
     out = {}
     for i, t in rows:
