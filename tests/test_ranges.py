@@ -169,3 +169,23 @@ def test_a_failed_write_leaves_the_old_files(spark, tmp_path):
     assert got(splits.read_parts(spark, target)) == {"a": 2, "b": 1}
     sinks.write_parts(counts.where("key = 'a'"), target, 2)
     assert got(splits.read_parts(spark, target)) == {"a": 2} and not [p for p in tmp_path.iterdir() if p.name.endswith("._old")]
+
+
+def test_crawl_of_the_command_line_has_more_files_and_not_longer_ones(spark, monkeypatch):
+    import duckdb
+
+    from corpuscount.plans import ingestion
+    from corpuscount.plans.catalogue import ORACLES
+
+    d, made = "/root/testdata/sf0.001", []
+    whole = ingestion._texts(spark, d).selectExpr("sum(octet_length(value))").first()[0]
+    crawl, most = ingestion._crawl, whole // 40
+    monkeypatch.setattr(ingestion, "FILE", most)
+    monkeypatch.setattr(ingestion, "_crawl", lambda *a: made.append(out := crawl(*a)) or out)
+    got = {(r["key"], r["n"]) for r in ingestion.command_line(spark, d).collect()}
+    paths = [r["path"] for r in made[0].collect()]
+    largest = spark.read.text(paths).selectExpr("_metadata.file_path AS f", "octet_length(value) + 1 AS n").groupBy("f").sum("n").selectExpr("max(`sum(n)`)").first()[0]
+    assert len(paths) > 32 and largest < 2.5 * most
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+        assert got == set(db.execute(ORACLES["command_line"]).fetchall())
